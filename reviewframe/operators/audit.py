@@ -104,7 +104,7 @@ def review_runs(audit: DataFrame) -> DataFrame:
         .alias("_done"),
         F.max(data_field("comments_posted").try_cast("bigint")).alias("comments_posted"),
         F.max(data_field("duration_ms").try_cast("bigint")).alias("logged_ms"))
-    elapsed = (F.unix_millis("ended_at") - F.unix_millis("started_at"))
+    elapsed = F.floor((F.unix_micros("ended_at") - F.unix_micros("started_at")) / 1000)
     return runs.select(
         "task_id", "vcs", "repo", "pr_number", "started_at", "ended_at",
         F.when(F.col("_done") == 1, "completed").when(F.col("_failed") == 1, "failed")

@@ -25,7 +25,8 @@ def _walk(edges: DataFrame, seeds: DataFrame, max_depth: int, salts: int) -> Dat
     for hop in range(1, max_depth + 1):
         spread = frontier.select(
             "graph_id", "seed", F.col("name").alias("here"),
-            F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint").alias("salt"))
+            F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
+            .alias("salt"))
         step = (spread.join(salted, ["graph_id", "here", "salt"])
                 .select("graph_id", "seed", F.col("there").alias("name"))
                 .filter(F.col("name") != F.col("seed")).distinct())

@@ -6,7 +6,7 @@ import ast
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,9 +16,16 @@ from .diffs import changed_lines
 _DEFINITIONS = {ast.FunctionDef: "function_definition",
                 ast.AsyncFunctionDef: "function_definition",
                 ast.ClassDef: "class_definition"}
-_EXTRACTED = ("repo string, ref string, file_path string, node_type string, node_name string, "
-              "content string, start_line int, end_line int, dependencies array<string>, "
-              "has_docstring boolean, error string")
+_EXTRACTED = pa.schema([
+    ("repo", pa.string()), ("ref", pa.string()), ("file_path", pa.string()),
+    ("node_type", pa.string()), ("node_name", pa.string()), ("content", pa.string()),
+    ("start_line", pa.int32()), ("end_line", pa.int32()), ("dependencies", pa.list_(pa.string())),
+    ("has_docstring", pa.bool_()), ("error", pa.string())])
+_EXTRACTED_DDL = ("repo string, ref string, file_path string, node_type string, "
+                  "node_name string, content string, start_line int, end_line int, "
+                  "dependencies array<string>, has_docstring boolean, error string")
+# Files are large, so definitions leave in small batches.
+_ROWS_OUT = 1000
 
 
 def python_nodes(source: str) -> list[dict]:
@@ -58,27 +65,27 @@ EXTRACTORS: dict[str, Callable[[str], list[dict]]] = {"py": python_nodes}
 
 
 def _extract(files: DataFrame, extractors: dict[str, Callable[[str], list[dict]]]) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [part.split(" ")[0] for part in _EXTRACTED.split(", ")]
-        for frame in frames:
-            rows = []
-            for file in frame.itertuples(index=False):
-                base = {"repo": file.repo, "ref": file.ref, "file_path": file.file_path}
-                try:
-                    nodes = extractors[file.ext](file.content)
-                except Exception as e:  # one unreadable file must not fail the job
-                    rows.append({**base, "error": f"{type(e).__name__}: {e}"[:300]})
-                    continue
-                rows.extend({**base, **node} for node in nodes)
-            out = pd.DataFrame(rows, columns=columns)
-            for number in ("start_line", "end_line"):
-                out[number] = out[number].astype("Int32")
-            yield out
+    def read(file: dict) -> list[dict]:
+        base = {"repo": file["repo"], "ref": file["ref"], "file_path": file["file_path"]}
+        try:
+            return [{**base, **node} for node in extractors[file["ext"]](file["content"])]
+        except Exception as e:  # one unreadable file must not fail the job
+            return [{**base, "error": f"{type(e).__name__}: {e}"[:300]}]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
+        for batch in batches:
+            for at in range(batch.num_rows):
+                rows.extend(read(batch.slice(at, 1).to_pylist()[0]))
+                if len(rows) >= _ROWS_OUT:
+                    yield pa.RecordBatch.from_pylist(rows, schema=_EXTRACTED)
+                    rows = []
+        yield pa.RecordBatch.from_pylist(rows, schema=_EXTRACTED)
 
     readable = (files.select("repo", "ref", "file_path", "content",
                              extension(F.col("file_path")).alias("ext"))
                 .filter(F.col("ext").isin(list(extractors)) & (F.length("content") > 0)))
-    return readable.mapInPandas(run, _EXTRACTED)
+    return readable.mapInArrow(run, _EXTRACTED_DDL)
 
 
 def extract_nodes(files: DataFrame,

@@ -221,9 +221,11 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int = fx.SEARCH_K, by: str | N
     otherwise both sides meet in bounded blocks.
     """
     owner = (lambda df: F.col(by).cast("string")) if by else (lambda df: F.lit("*"))
-    q = queries.select("query_id", owner(queries).alias("by"), "embedding").filter(
+    # Fresh aliases: both sides may come from one table.
+    vec = F.col("embedding").alias("embedding")
+    q = queries.select(F.col("query_id").alias("query_id"), owner(queries).alias("by"), vec).filter(
         F.col("by").isNotNull() & (F.size("embedding") > 0))
-    c = chunks.select("chunk_id", owner(chunks).alias("by"), "embedding").filter(
+    c = chunks.select(F.col("chunk_id").alias("chunk_id"), owner(chunks).alias("by"), vec).filter(
         F.col("by").isNotNull() & (F.size("embedding") > 0))
     few = q.limit(broadcast_queries + 1).toArrow()
     if few.num_rows <= broadcast_queries and few.nbytes <= BROADCAST_BYTES:
