@@ -7,6 +7,7 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.once import computed
 from ..functions.text import parse_ts
 
 _ENTRY = "ts STRING, event STRING, actor STRING, data STRING, _corrupt STRING"
@@ -16,12 +17,13 @@ _OPTIONS = {"columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false
 def parse_audit(lines: DataFrame, line_col: str = "value") -> DataFrame:
     """Log lines to typed entries; blank lines vanish, unreadable ones stay with ``malformed``."""
     rest = [c for c in lines.columns if c != line_col]
+    # A cheap test on the scan; the trimmed text is computed once, below.
     raw = F.regexp_replace(F.col(line_col), r"(?U)\A\s+|\s+\z", "")
-    parsed = (lines.select(*rest, raw.alias("raw")).filter(F.col("raw") != "")
-              .withColumn("e", F.from_json("raw", _ENTRY, _OPTIONS))
-              .withColumn("malformed", F.col("e").isNull() | F.col("e._corrupt").isNotNull()
-                          | ~F.col("raw").startswith("{") | ~F.col("raw").endswith("}")))
+    trimmed = computed(lines.filter(F.col(line_col).rlike(r"(?U)\S")), rest, raw=raw)
+    parsed = computed(trimmed, [*rest, "raw"], e=F.from_json("raw", _ENTRY, _OPTIONS))
     ok = ~F.col("malformed")
+    parsed = parsed.withColumn("malformed", F.col("e").isNull() | F.col("e._corrupt").isNotNull()
+                               | ~F.col("raw").startswith("{") | ~F.col("raw").endswith("}"))
     return parsed.select(*rest, F.when(ok, parse_ts(F.col("e.ts"))).alias("ts"),
                          F.when(ok, F.col("e.event")).alias("event"),
                          F.when(ok, F.col("e.actor")).alias("actor"),

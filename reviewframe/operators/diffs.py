@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fx
+from ..functions.once import computed
 from ..functions.text import ALL, hunk_start, normalise_newlines
 
 _BREAK_SET = r"\n\r\x0b\x0c\x1c-\x1e\u0085\u2028\u2029"
@@ -62,7 +63,7 @@ def hunk_table(files: DataFrame, carry: list[str] | None = None) -> DataFrame:
 def touched_lines(files: DataFrame) -> DataFrame:
     """(review_id, filename, line_nums) straight from the patch, without exploding a line."""
     nums = F.transform(F.flatten(hunks_of(F.col("patch"))), lambda x: x["line_num"])
-    return (files.select("review_id", "filename", nums.alias("line_nums"))
+    return (computed(files, ["review_id", "filename"], line_nums=nums)
             .filter(F.size("line_nums") > 0))
 
 
@@ -79,7 +80,7 @@ def nested_hunks(files: DataFrame) -> DataFrame:
     """The nested form straight from the patch, within the row."""
     hunks = F.transform(hunks_of(F.col("patch")), lambda h: F.transform(
         h, lambda x: F.struct(x["line_num"].alias("line_num"), x["content"].alias("content"))))
-    return (files.select("review_id", "filename", hunks.alias("hunks"))
+    return (computed(files, ["review_id", "filename"], hunks=hunks)
             .filter(F.size("hunks") > 0))
 
 
@@ -91,8 +92,7 @@ def lines_of_nested(nested: DataFrame) -> DataFrame:
 
 def added_lines_json(nested: DataFrame) -> DataFrame:
     """All added lines of a file as one JSON array, the form a model is given."""
-    return nested.select("review_id", "filename",
-                         F.to_json(F.flatten("hunks")).alias("added_lines"))
+    return computed(nested, ["review_id", "filename"], added_lines=F.to_json(F.flatten("hunks")))
 
 
 def changed_lines(lines: DataFrame) -> DataFrame:

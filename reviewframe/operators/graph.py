@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fx
 from ..session import materialise
 
-SALTS = 16
 # Beyond this depth each frontier is written out, so the plan does not grow with the depth.
 LAZY_DEPTH = 3
 
@@ -16,18 +15,22 @@ LAZY_DEPTH = 3
 def _walk(edges: DataFrame, seeds: DataFrame, max_depth: int, salts: int) -> DataFrame:
     """Shortest hop counts along ``edges`` (graph_id, here, there) from each seed.
 
-    A hub (a name everybody calls) may own a large share of the edges, so they are salted by their
-    far end and the small frontier is repeated per salt.
+    A hub (a name everybody calls) may own a large share of the edges. The join's output is shuffled
+    again by other keys, so the adaptive planner is free to split the hub's partition. With ``salts``
+    above 1 the edges are also salted by their far end and the frontier is repeated per salt.
     """
-    salted = edges.withColumn("salt", F.pmod(F.xxhash64("there"), F.lit(salts)))
+    keys = ["graph_id", "here"]
+    if salts > 1:
+        keys.append("salt")
+        edges = edges.withColumn("salt", F.pmod(F.xxhash64("there"), F.lit(salts)))
     frontier = seeds.select("graph_id", F.col("name").alias("seed"), "name")
     reached = None
     for hop in range(1, max_depth + 1):
-        spread = frontier.select(
-            "graph_id", "seed", F.col("name").alias("here"),
-            F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
-            .alias("salt"))
-        step = (spread.join(salted, ["graph_id", "here", "salt"])
+        spread = frontier.withColumnRenamed("name", "here")
+        if salts > 1:
+            spread = spread.withColumn("salt", F.explode(F.sequence(
+                F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+        step = (spread.join(edges, keys)
                 .select("graph_id", "seed", F.col("there").alias("name"))
                 .filter(F.col("name") != F.col("seed")).distinct())
         if reached is not None:
@@ -41,7 +44,7 @@ def _walk(edges: DataFrame, seeds: DataFrame, max_depth: int, salts: int) -> Dat
 
 
 def blast_radius(edges: DataFrame, seeds: DataFrame, max_depth: int = fx.BLAST_DEPTH,
-                 salts: int = SALTS) -> DataFrame:
+                 salts: int = 1) -> DataFrame:
     """(graph_id, seed, name, direction, hops) within ``max_depth`` of each seed.
 
     Callees and callers are walked apart and never mixed; seeds outside the graph give nothing.

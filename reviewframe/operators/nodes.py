@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import re
+import warnings
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -43,20 +44,40 @@ def python_nodes(source: str) -> list[dict]:
         return piece.decode("utf-8")
 
     found = []
-    for node in ast.walk(tree):
+    # One pass: every node carries the call sets of the definitions it lies in.
+    pending: list[tuple[ast.AST, tuple[set, ...]]] = [(tree, ())]
+    while pending:
+        node, owners = pending.pop()
         kind = _DEFINITIONS.get(type(node))
-        if kind is None:
-            continue
-        # Decorators stand before the definition and are not part of it.
-        inside = [child for name, value in ast.iter_fields(node) if name != "decorator_list"
-                  for child in (value if isinstance(value, list) else [value])
-                  if isinstance(child, ast.AST)]
-        calls = {text(call.func) for child in inside for call in ast.walk(child)
-                 if isinstance(call, ast.Call) and isinstance(call.func, (ast.Name, ast.Attribute))}
-        found.append({"node_type": kind, "node_name": node.name, "content": text(node),
-                      "start_line": node.lineno, "end_line": node.end_lineno,
-                      "dependencies": sorted(calls),
-                      "has_docstring": ast.get_docstring(node, clean=False) is not None})
+        inside = owners
+        if kind is not None:
+            calls: set[str] = set()
+            inside = (*owners, calls)
+            found.append({"node_type": kind, "node_name": node.name, "content": text(node),
+                          "start_line": node.lineno, "end_line": node.end_lineno,
+                          "dependencies": calls,
+                          "has_docstring": ast.get_docstring(node, clean=False) is not None})
+        elif owners and type(node) is ast.Call:
+            called = node.func
+            if type(called) is ast.Name:
+                name = called.id
+            elif type(called) is ast.Attribute:
+                name = text(called)
+            else:
+                name = None
+            if name is not None:
+                for calls in owners:
+                    calls.add(name)
+        for field in node._fields:
+            value = getattr(node, field, None)
+            # Decorators stand before the definition and are not part of it.
+            scope = owners if field == "decorator_list" else inside
+            if type(value) is list:
+                pending.extend((child, scope) for child in value if isinstance(child, ast.AST))
+            elif isinstance(value, ast.AST) and not isinstance(value, ast.expr_context):
+                pending.append((value, scope))
+    for node in found:
+        node["dependencies"] = sorted(node["dependencies"])
     found.sort(key=lambda n: (n["start_line"], -n["end_line"]))
     return found
 
@@ -73,6 +94,7 @@ def _extract(files: DataFrame, extractors: dict[str, Callable[[str], list[dict]]
             return [{**base, "error": f"{type(e).__name__}: {e}"[:300]}]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        warnings.simplefilter("ignore", SyntaxWarning)
         rows: list[dict] = []
         for batch in batches:
             for at in range(batch.num_rows):
@@ -85,6 +107,9 @@ def _extract(files: DataFrame, extractors: dict[str, Callable[[str], list[dict]]
     readable = (files.select("repo", "ref", "file_path", "content",
                              extension(F.col("file_path")).alias("ext"))
                 .filter(F.col("ext").isin(list(extractors)) & (F.length("content") > 0)))
+    # Parsing costs far more than moving a file: spread the files evenly, whatever the layout of
+    # the input, so that neither a big repo nor a single input split keeps one task busy.
+    readable = readable.repartition("repo", "ref", "file_path")
     return readable.mapInArrow(run, _EXTRACTED_DDL)
 
 

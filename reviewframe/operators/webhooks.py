@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fx
 from ..functions.hmac import hmac_sha256
+from ..functions.once import computed
 
 # One parse serves the three providers; numbers are read as text and cast.
 _BODY = ("action STRING, number STRING, repository STRUCT<full_name: STRING>, "
@@ -62,8 +63,9 @@ def normalise_webhooks(deliveries: DataFrame, self_name: str,
     blank = F.lit("")
     vcs, event = F.col("vcs"), F.col("event")
     p = F.col("p")
-    checked = verify_signature(deliveries, secrets or {}).withColumn(
-        "p", F.from_json("body", _BODY, _OPTIONS))
+    checked = computed(deliveries, ["delivery_id", "vcs", "event", "received_at"],
+                       signature_ok=signature_valid(secrets or {}),
+                       p=F.from_json("body", _BODY, _OPTIONS))
     commented = (vcs == "github") & (event == "issue_comment")
     by_vcs = lambda gh, gl, bb: F.when(vcs == "github", gh).when(vcs == "gitlab", gl).otherwise(bb)
     repo = F.coalesce(by_vcs(p["repository"]["full_name"], p["project"]["path_with_namespace"],
@@ -89,13 +91,15 @@ def normalise_webhooks(deliveries: DataFrame, self_name: str,
         .when((repo == "") | (F.coalesce(number, F.lit(0)) == 0), "missing_fields")
         .otherwise("accepted"))
     review_id = F.concat_ws(":", vcs, repo, number.cast("string"), sha)
-    return checked.select(
-        "delivery_id", review_id.alias("review_id"), "vcs", repo.alias("repo"),
-        number.alias("pr_number"), sha.alias("head_sha"),
-        F.when(vcs == "gitlab", p["project"]["id"].try_cast("bigint")).alias("project_id"),
-        comment.alias("comment_body"),
-        F.when(commented, F.coalesce(p["comment"]["id"], blank)).otherwise(blank)
-        .alias("comment_id"), "received_at", outcome.alias("outcome"))
+    done = computed(
+        checked, ["delivery_id", "vcs", "received_at"],
+        review_id=review_id, repo=repo, pr_number=number, head_sha=sha,
+        project_id=F.when(vcs == "gitlab", p["project"]["id"].try_cast("bigint")),
+        comment_body=comment,
+        comment_id=F.when(commented, F.coalesce(p["comment"]["id"], blank)).otherwise(blank),
+        outcome=outcome)
+    return done.select("delivery_id", "review_id", "vcs", "repo", "pr_number", "head_sha",
+                       "project_id", "comment_body", "comment_id", "received_at", "outcome")
 
 
 def delivery_outcome(normalised: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -11,11 +11,17 @@ from pyspark.sql import SparkSession
 # Runtime SQL settings: no restart needed, so they can be applied to a session somebody else made.
 SQL_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
+    # The JVM does not compile methods above 8000 bytes of code; let wide expressions (JSON, gates,
+    # rules) run as split projections instead of one huge, never compiled loop.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a skewed join partition even where that costs one more exchange downstream.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # Let small but costly stages (parsing, inference) keep one task per core; at scale the
+    # partition size follows the data and this floor does not matter.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.streaming.stateStore.providerClass":

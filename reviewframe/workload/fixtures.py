@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.once import computed
 from ..session import configure
 
 MARKER = "Automated Review"
@@ -44,9 +45,9 @@ def diff_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.concat(F.when(i % 20 == 0, header).otherwise(F.lit("")), F.get(mark, i % 3), text)
 
     patch = F.array_join(F.transform(F.split("text", "\n", -1), line), "\n")
-    return table(spark, sf_dir, "documents").select(
-        review_of().alias("review_id"), path_of().alias("filename"), status_of().alias("status"),
-        patch.alias("patch"), F.col("doc_id").alias("pos"))
+    docs = table(spark, sf_dir, "documents").withColumns(
+        {"review_id": review_of(), "filename": path_of(), "status": status_of()})
+    return computed(docs, ["review_id", "filename", "status"], patch=patch)
 
 
 # Line i of document d becomes template (d + i) mod 16; {d} and {i} are filled in.
@@ -73,15 +74,14 @@ CODE_TEMPLATES = [
 def code_diff_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Diffs of code-like lines, one file per document: every fifth line is context, 30 per hunk."""
     def content(text: Column, i: Column) -> Column:
-        filled = []
-        for template in CODE_TEMPLATES:
-            if template is None:
-                filled.append(text)
-                continue
-            filled.append(F.replace(F.replace(F.lit(template), F.lit("{d}"),
-                                              F.col("doc_id").cast("string")),
-                                    F.lit("{i}"), i.cast("string")))
-        return F.get(F.array(*filled), ((F.col("doc_id") + i) % 16).cast("int"))
+        slot, filled = (F.col("doc_id") + i) % 16, text
+        for number, template in enumerate(CODE_TEMPLATES):
+            if template is not None:
+                made = F.replace(F.replace(F.lit(template), F.lit("{d}"),
+                                           F.col("doc_id").cast("string")),
+                                 F.lit("{i}"), i.cast("string"))
+                filled = F.when(slot == number, made).otherwise(filled)
+        return filled
 
     def line(text: Column, i: Column) -> Column:
         header = F.concat(F.lit("@@ -1,30 +"), (F.floor(i / 30) * 100 + 1).cast("string"),
@@ -90,9 +90,9 @@ def code_diff_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.when(i % 5 == 4, F.lit(" ")).otherwise(F.lit("+")), content(text, i))
 
     patch = F.array_join(F.transform(F.split("text", "\n", -1), line), "\n")
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", review_of().alias("review_id"), path_of().alias("filename"),
-        status_of().alias("status"), patch.alias("patch"))
+    docs = table(spark, sf_dir, "documents").withColumns(
+        {"review_id": review_of(), "filename": path_of(), "status": status_of()})
+    return computed(docs, ["doc_id", "review_id", "filename", "status"], patch=patch)
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,9 +210,9 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     vcs = F.get(F.array(F.lit("github"), F.lit("gitlab"), F.lit("bitbucket")), vcs_no.cast("int"))
     body = F.when(F.col("event_id") % 101 == 0, F.lit("{broken")) \
         .when(vcs_no == 0, gh_body).when(vcs_no == 1, gl_body).otherwise(bb_body)
-    e = e.select("event_id", "event_type", "user_id", "ts", vcs.alias("vcs"),
-                 F.when(vcs_no == 0, gh_event).when(vcs_no == 1, gl_event).otherwise(bb_event)
-                 .alias("event"), body.alias("body"))
+    e = computed(e, ["event_id", "event_type", "user_id", "ts"], vcs=vcs,
+                 event=F.when(vcs_no == 0, gh_event).when(vcs_no == 1, gl_event)
+                 .otherwise(bb_event), body=body)
     signed = F.when(F.col("vcs") == "github", F.concat(
         F.lit("sha256="), hmac_sha256(SECRETS["github"], F.col("body")))) \
         .otherwise(F.lit(SECRETS["gitlab"]))
@@ -222,6 +222,8 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
                     signature.alias("signature"), "body", F.col("ts").alias("received_at"))
 
 
+
+
 def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit log lines with their position: some broken, some without time or with a naive one."""
     e = events(spark, sf_dir)
@@ -237,7 +239,7 @@ def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                               F.lit("svc").alias("actor"), data.alias("data")))
     line = F.when(F.col("event_id") % 97 == 0, F.concat(F.left(line, F.length(line) - 3))) \
         .when(F.col("event_id") % 89 == 0, F.lit("   ")).otherwise(F.concat(line, F.lit(" ")))
-    return e.select(F.col("event_id").alias("log_pos"), line.alias("value"))
+    return computed(e.withColumn("log_pos", F.col("event_id")), ["log_pos"], value=line)
 
 
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ from ..operators import rate as rt
 from ..operators import rules as ru
 from ..operators import vectors as ve
 from ..operators import webhooks as wh
+from ..plans import deliveries as pd_
 from ..plans import index as pi
 from ..plans import review as pr
 from ..session import shared_dir
@@ -32,7 +33,6 @@ from ..sources import changed_files as sc
 from ..sources import index_store as si
 from ..sources import outbox as so
 from ..streaming import audit as sta
-from ..streaming import limiter as stl
 from ..streaming import webhooks as stw
 from . import fixtures as fx_
 
@@ -383,17 +383,11 @@ def webhook_normalise(spark: SparkSession, sf: str) -> DataFrame:
         "comment_id", "outcome")
 
 
-def _requests(normal: DataFrame) -> DataFrame:
-    return normal.filter("outcome = 'accepted'").select(
-        F.col("delivery_id").alias("request_id"), F.col("repo").alias("key"),
-        F.col("received_at").alias("ts"))
-
-
 @query
 def delivery_outcome(spark: SparkSession, sf: str) -> DataFrame:
-    normal = wh.normalise_webhooks(fx_.deliveries(spark, sf), fx_.SERVICE, fx_.SECRETS)
-    decisions = rt.rate_decisions(_requests(normal), fx_.RATE_MAX, fx_.RATE_WINDOW)
-    return wh.delivery_outcome(normal, decisions).select("delivery_id", "vcs", "outcome")
+    return pd_.gate_deliveries(fx_.deliveries(spark, sf), fx_.SERVICE, fx_.SECRETS,
+                               fx_.RATE_MAX, fx_.RATE_WINDOW).select("delivery_id", "vcs",
+                                                                     "outcome")
 
 
 @query
@@ -729,5 +723,5 @@ def review_findings(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def review_overview(spark: SparkSession, sf: str) -> DataFrame:
     files = fx_.code_diff_files(spark, sf).drop("doc_id")
-    _, summary = pr.review_changes(files, fx_.policies(spark, sf))
+    _, summary = pr.review_changes(files, fx_.policies(spark, sf), spool=True)
     return summary
