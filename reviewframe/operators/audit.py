@@ -7,11 +7,11 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.jsontext import is_broken, parse_record, record_of
 from ..functions.once import computed
 from ..functions.text import parse_ts
 
-_ENTRY = "ts STRING, event STRING, actor STRING, data STRING, _corrupt STRING"
-_OPTIONS = {"columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false"}
+_ENTRY = "ts: STRING, event: STRING, actor: STRING, data: STRING"
 
 
 def parse_audit(lines: DataFrame, line_col: str = "value") -> DataFrame:
@@ -20,10 +20,10 @@ def parse_audit(lines: DataFrame, line_col: str = "value") -> DataFrame:
     # A cheap test on the scan; the trimmed text is computed once, below.
     raw = F.regexp_replace(F.col(line_col), r"(?U)\A\s+|\s+\z", "")
     trimmed = computed(lines.filter(F.col(line_col).rlike(r"(?U)\S")), rest, raw=raw)
-    parsed = computed(trimmed, [*rest, "raw"], e=F.from_json("raw", _ENTRY, _OPTIONS))
+    parsed = computed(trimmed, [*rest, "raw"], p=parse_record(F.col("raw"), _ENTRY))
     ok = ~F.col("malformed")
-    parsed = parsed.withColumn("malformed", F.col("e").isNull() | F.col("e._corrupt").isNotNull()
-                               | ~F.col("raw").startswith("{") | ~F.col("raw").endswith("}"))
+    parsed = parsed.select(*rest, "raw", is_broken(F.col("p")).alias("malformed"),
+                           record_of(F.col("p")).alias("e"))
     return parsed.select(*rest, F.when(ok, parse_ts(F.col("e.ts"))).alias("ts"),
                          F.when(ok, F.col("e.event")).alias("event"),
                          F.when(ok, F.col("e.actor")).alias("actor"),

@@ -7,24 +7,22 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fx
 from .. import schemas
+from ..functions.jsontext import parse_list, whole_value
 from ..functions.text import render_comment, severity_rank, strip_fence_first, strip_fence_last
 from ..functions.windows import first_by, first_n
 from .diffs import changed_lines
 
-_STRICT = {"allowSingleQuotes": "false"}
-
 
 def findings_array(text: Column, fence: str = "last") -> Column:
     """ARRAY<STRUCT> of raw findings in a model answer: a JSON list, or the list under
     ``comments``; anything else gives null."""
     body = strip_fence_last(text) if fence == "last" else strip_fence_first(text)
-    body = F.regexp_replace(body, r"(?U)\A\s+|\s+\z", "")
-    closed = body.endswith("]") | body.endswith("}")
-    # from_json would wrap a lone object into a list, so the array test comes first.
-    under_key = F.from_json(body, "comments STRING", _STRICT)["comments"]
-    listed = (F.when(closed & F.json_array_length(body).isNotNull(), body)
-              .when(closed & F.json_array_length(under_key).isNotNull(), under_key))
-    return F.from_json(listed, schemas.RAW_FINDING, _STRICT)
+    body = whole_value(F.regexp_replace(body, r"(?U)\A\s+|\s+\z", ""))
+    # The list reader would wrap a lone object into a list, so the list test comes first.
+    listed = F.transform(F.array(body), lambda b: F.when(
+        F.json_array_length(b).isNotNull(), b).otherwise(F.from_json(b, "comments STRING")["comments"]))
+    return F.get(F.transform(listed, lambda b: F.when(
+        F.json_array_length(b).isNotNull(), parse_list(b, schemas.RAW_FINDING))), F.lit(0))
 
 
 def parse_findings(answers: DataFrame, text_col: str = "content",

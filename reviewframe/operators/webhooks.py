@@ -7,17 +7,16 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fx
 from ..functions.hmac import hmac_sha256
+from ..functions.jsontext import is_broken, parse_record, record_of
 from ..functions.once import computed
 
 # One parse serves the three providers; numbers are read as text and cast.
-_BODY = ("action STRING, number STRING, repository STRUCT<full_name: STRING>, "
-         "pull_request STRUCT<head: STRUCT<sha: STRING>>, issue STRUCT<number: STRING>, "
-         "comment STRUCT<body: STRING, id: STRING>, sender STRUCT<login: STRING>, "
-         "object_attributes STRUCT<action: STRING, iid: STRING, last_commit: STRUCT<id: STRING>>, "
-         "project STRUCT<id: STRING, path_with_namespace: STRING>, "
-         "pullrequest STRUCT<id: STRING, source: STRUCT<commit: STRUCT<hash: STRING>>>, "
-         "_corrupt STRING")
-_OPTIONS = {"columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false"}
+_BODY = ("action: STRING, number: STRING, repository: STRUCT<full_name: STRING>, "
+         "pull_request: STRUCT<head: STRUCT<sha: STRING>>, issue: STRUCT<number: STRING>, "
+         "comment: STRUCT<body: STRING, id: STRING>, sender: STRUCT<login: STRING>, "
+         "object_attributes: STRUCT<action: STRING, iid: STRING, last_commit: STRUCT<id: STRING>>, "
+         "project: STRUCT<id: STRING, path_with_namespace: STRING>, "
+         "pullrequest: STRUCT<id: STRING, source: STRUCT<commit: STRUCT<hash: STRING>>>")
 
 
 def has_command(body: Column) -> Column:
@@ -65,7 +64,10 @@ def normalise_webhooks(deliveries: DataFrame, self_name: str,
     p = F.col("p")
     checked = computed(deliveries, ["delivery_id", "vcs", "event", "received_at"],
                        signature_ok=signature_valid(secrets or {}),
-                       p=F.from_json("body", _BODY, _OPTIONS))
+                       parsed=parse_record(F.col("body"), _BODY))
+    checked = checked.select("delivery_id", "vcs", "event", "received_at", "signature_ok",
+                             is_broken(F.col("parsed")).alias("broken"),
+                             record_of(F.col("parsed")).alias("p"))
     commented = (vcs == "github") & (event == "issue_comment")
     by_vcs = lambda gh, gl, bb: F.when(vcs == "github", gh).when(vcs == "gitlab", gl).otherwise(bb)
     repo = F.coalesce(by_vcs(p["repository"]["full_name"], p["project"]["path_with_namespace"],
@@ -83,7 +85,7 @@ def normalise_webhooks(deliveries: DataFrame, self_name: str,
         p["object_attributes"]["action"].isin(fx.GITLAB_ACTIONS), F.lit(True)), F.lit(False))
     outcome = (
         F.when(~F.col("signature_ok"), "invalid_signature")
-        .when(p.isNull() | p["_corrupt"].isNotNull(), "invalid_json")
+        .when(F.col("broken"), "invalid_json")
         .when(~event_ok, "event_ignored")
         .when(~action_ok, "action_ignored")
         .when(commented & ~has_command(p["comment"]["body"]), "no_command")
