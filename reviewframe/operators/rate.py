@@ -30,15 +30,13 @@ _DECISION = "request_id string, allowed boolean"
 def accept_sorted(times: np.ndarray, recent: deque, limit: int, window: int) -> np.ndarray:
     """Accept mask over ascending ``times``; ``recent`` carries the last accepted times."""
     mask = np.zeros(len(times), dtype=bool)
-    i, n = 0, len(times)
+    i, n = 0, len(times) if limit > 0 else 0
     while i < n:
         if len(recent) >= limit:
             free_at = recent[0] + window
             if times[i] < free_at:
                 i += int(np.searchsorted(times[i:], free_at, side="left"))
                 continue
-        if limit <= 0:
-            break
         mask[i] = True
         recent.append(int(times[i]))
         if len(recent) > limit:
