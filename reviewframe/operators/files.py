@@ -42,6 +42,12 @@ def ends_with_any(path: Column, suffixes: list[str]) -> Column:
     return hit
 
 
+def scannable_files(files: DataFrame, skip_ext: list[str] = fx.SKIP_EXTENSIONS) -> DataFrame:
+    """The part of ``reviewable_files`` that needs no policy."""
+    return files.filter(F.col("status").isin(fx.REVIEWED_STATUSES) & (F.length("patch") > 0)
+                        & ~ends_with_any(F.col("filename"), skip_ext))
+
+
 def reviewable_files(files: DataFrame, policies: DataFrame | None = None,
                      skip_ext: list[str] = fx.SKIP_EXTENSIONS) -> DataFrame:
     """Added or modified files with a patch that neither the policy nor the suffix list excludes.
@@ -49,9 +55,7 @@ def reviewable_files(files: DataFrame, policies: DataFrame | None = None,
     The cheap tests run on the scan, before the join with the policies (one row per review, with
     its globs already folded into one pattern).
     """
-    kept = files.filter(F.col("status").isin(fx.REVIEWED_STATUSES)
-                        & (F.length("patch") > 0)
-                        & ~ends_with_any(F.col("filename"), skip_ext))
+    kept = scannable_files(files, skip_ext)
     if policies is None:
         globs = F.array(*[F.lit(g) for g in fx.DEFAULT_POLICY["ignore_paths"]])
         return kept.filter(~F.rlike(F.col("filename"), globs_to_regex(globs)))

@@ -80,14 +80,23 @@ def _gate(rule: str) -> Column:
     return F.coalesce(F.col(group)[flag], F.lit(False))
 
 
-def gate(findings: DataFrame, policies: DataFrame) -> DataFrame:
-    """Drops findings whose rule the review's policy has off. Only hits are joined."""
+def gate(findings: DataFrame, policies: DataFrame, paths: bool = False) -> DataFrame:
+    """Drops findings whose rule the review's policy has off. Only hits are joined.
+
+    A scan looks for every name any policy forbids, so the policy's own list is applied here; with
+    ``paths`` its path globs are too.
+    """
     allowed = F.lit(False)
     for rule in RULES:
         allowed = F.when(F.col("rule") == rule, _gate(rule)).otherwise(allowed)
-    rules = policies.select("review_id", "security", "performance", "style")
+    if "detail" in findings.columns:
+        listed = F.array_contains(F.col("security")["forbidden_apis"], F.col("detail"))
+        allowed = allowed & ((F.col("rule") != "G1") | listed)
+    if paths:
+        allowed = allowed & ~F.rlike(F.col("file_path"), F.col("ignore_regex"))
+    rules = policies.select("review_id", "security", "performance", "style", "ignore_regex")
     return (findings.join(rules, "review_id").filter(allowed)
-            .drop("security", "performance", "style"))
+            .drop("security", "performance", "style", "ignore_regex", "detail"))
 
 
 def with_prev(lines: DataFrame) -> DataFrame:
@@ -99,6 +108,24 @@ def with_prev(lines: DataFrame) -> DataFrame:
     return lines.withColumn("prev_content", F.when(adjacent, F.lag("content").over(above)))
 
 
+def known_apis(policies: DataFrame, most: int = 1000) -> list[str] | None:
+    """Every name some policy forbids, or None when there are more than ``most``."""
+    names = policies.select(F.explode(F.col("security")["forbidden_apis"]).alias("api")).distinct()
+    found = [r.api for r in names.limit(most + 1).collect()]
+    return sorted(found) if len(found) <= most else None
+
+
+def arm(source: DataFrame, policies: DataFrame) -> DataFrame:
+    """Adds the ``forbidden_apis`` a scan looks for. They are a literal list, so the bulk data is not
+    shuffled; only when policies forbid more distinct names than a scan should carry does the source
+    meet them in a join."""
+    apis = known_apis(policies)
+    if apis is None:
+        return with_apis(source, policies)
+    return source.withColumn("forbidden_apis",
+                             F.array(*[F.lit(a) for a in apis]).cast("array<string>"))
+
+
 def with_apis(lines: DataFrame, policies: DataFrame) -> DataFrame:
     """Adds the review's ``forbidden_apis`` unless they came along with the files."""
     if "forbidden_apis" in lines.columns:
@@ -175,7 +202,8 @@ def _hit(rule: str, line: Column, detail: Column | None = None) -> Column:
     if detail is not None:
         body = F.concat(body, F.lit(": "), detail)
     return F.struct(line.alias("line"), F.lit(rule).alias("rule"),
-                    F.lit(severity).alias("severity"), body.alias("body"))
+                    F.lit(severity).alias("severity"), body.alias("body"),
+                    (F.lit("") if detail is None else detail).alias("detail"))
 
 
 def _present(hits: list[Column]) -> Column:
@@ -221,7 +249,7 @@ def _hunk_loop_hits(hunk: Column) -> Column:
 
 def _as_findings(hits: DataFrame) -> DataFrame:
     return hits.select("review_id", F.struct("file_path", "line", "rule").alias("seq"),
-                       "file_path", "line", "severity", "body", "rule")
+                       "file_path", "line", "severity", "body", "rule", "detail")
 
 
 def scan_hunks(hunks: DataFrame) -> DataFrame:
@@ -255,7 +283,7 @@ def hunks_of_lines(lines: DataFrame) -> DataFrame:
 def rule_scan(source: DataFrame, nodes: DataFrame | None, policies: DataFrame) -> DataFrame:
     """All rules over hunks (``diffs.hunk_table``) or long lines, and over definitions."""
     hunks = source if "hunk" in source.columns else hunks_of_lines(source)
-    found = scan_hunks(with_apis(hunks, policies))
+    found = scan_hunks(arm(hunks, policies))
     if nodes is not None:
         found = found.unionByName(scan_nodes(nodes))
     return gate(found, policies)

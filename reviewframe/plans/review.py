@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators.comments import noise_control, review_summary, suppress_repeats
 from ..operators.diffs import hunk_table, touched_lines
-from ..operators.files import reviewable_files
+from ..operators.files import scannable_files
 from ..operators.nodes import extract_nodes, modified_nodes
-from ..operators.rules import gate, scan_hunks, scan_nodes
+from ..operators.rules import arm, gate, scan_hunks, scan_nodes
 from ..session import materialise
 
 
@@ -17,17 +17,15 @@ def raw_findings(files: DataFrame, policies: DataFrame, code: DataFrame | None =
                  reviews: DataFrame | None = None) -> DataFrame:
     """Rule findings on the added lines, and on changed definitions when ``code`` is given.
 
-    The forbidden names ride along with the files, so patches meet the policies once. A finding
-    on a definition stays only if its line is part of the diff; line findings always are.
+    The scan runs ahead of the policies: path globs, rule switches and each policy's own forbidden
+    names are applied to the hits, so patches, the bulk of the data, are not shuffled. A finding on
+    a definition stays only if its line is part of the diff; line findings always are.
     """
-    kept = reviewable_files(files, policies)
-    apis = policies.select("review_id", F.col("security")["forbidden_apis"].alias("forbidden_apis"))
-    hunks = hunk_table(kept.join(apis, "review_id"), ["forbidden_apis"])
-    found = scan_hunks(hunks)
+    found = scan_hunks(hunk_table(arm(scannable_files(files), policies), ["forbidden_apis"]))
     if code is not None:
-        changed = modified_nodes(extract_nodes(code), touched_lines(kept), reviews)
+        changed = modified_nodes(extract_nodes(code), touched_lines(scannable_files(files)), reviews)
         found = found.unionByName(scan_nodes(changed.filter("start_added")))
-    return gate(found, policies)
+    return gate(found, policies, paths=True)
 
 
 def final_findings(raw: DataFrame, policies: DataFrame, posted: DataFrame | None = None,

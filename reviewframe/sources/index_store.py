@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from .. import schemas
+from ..session import materialise
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -25,9 +26,8 @@ def index_replace(chunks: DataFrame, path: str) -> DataFrame:
         old = read_index(spark, path).select("repo")
         touched = chunks.select("repo").distinct()
         # Counted now: the write below replaces what this would read.
-        deleted = old.join(touched, "repo", "left_semi").groupBy("repo").agg(
-            F.count(F.lit(1)).alias("deleted"))
-        counted = spark.createDataFrame(deleted.toArrow(), "repo STRING, deleted BIGINT")
+        counted = materialise(spark, old.join(touched, "repo", "left_semi").groupBy("repo").agg(
+            F.count(F.lit(1)).alias("deleted")), "deleted")
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise

@@ -395,6 +395,14 @@ ORACLES["retention_summary"] = f"""WITH {AUDIT}
 SELECT 'audit_logs' AS storage, count(*) AS purged, 'ok' AS status FROM a
 WHERE ts_us <> -1 AND ts_us < {CUTOFF}
 UNION ALL SELECT 'cache_files', count(*), 'ok' FROM events WHERE ts < TIMESTAMP '2024-01-25'"""
+ORACLES["retention_job"] = f"""WITH {AUDIT},
+g AS (SELECT ts_us <> -1 AND ts_us < {CUTOFF} AS gone FROM a)
+SELECT 'audit_logs' AS storage, count(*) FILTER (WHERE gone) AS purged, 'ok' AS status FROM g
+UNION ALL SELECT 'cache_files', 0, 'ok'
+UNION ALL SELECT 'left in the log', count(*) FILTER (WHERE NOT gone) + 1, 'ok' FROM g"""
+ORACLES["cache_manifest"] = """
+SELECT event_type, true AS stale, count(DISTINCT event_type) AS files FROM events
+GROUP BY event_type"""
 RUNS = f"""
 e AS (SELECT *, event_id // 2 AS task, {K} AS k FROM events),
 b AS (SELECT * FROM e WHERE event_id % 2 = 0),

@@ -21,6 +21,7 @@ from ..operators import infer as inf
 from ..operators import nodes as nd
 from ..operators import policy as po
 from ..operators import rate as rt
+from ..operators import retention as ret
 from ..operators import rules as ru
 from ..operators import vectors as ve
 from ..operators import webhooks as wh
@@ -29,6 +30,7 @@ from ..plans import index as pi
 from ..plans import review as pr
 from ..session import shared_dir
 from ..sources import audit_log as sa
+from ..sources import cache as sch
 from ..sources import changed_files as sc
 from ..sources import index_store as si
 from ..sources import outbox as so
@@ -362,6 +364,32 @@ def audit_append(spark: SparkSession, sf: str) -> DataFrame:
         au.data_field("task_id").alias("task_id"), "malformed")
 
 
+@query
+def retention_job(spark: SparkSession, sf: str) -> DataFrame:
+    log, kept = shared_dir(spark, "audit-log"), shared_dir(spark, "audit-kept")
+    fx_.audit_lines(spark, sf).select("value").write.text(log)
+    cache = shared_dir(spark, "cache")
+    fx_.table(spark, sf, "region").write.parquet(cache)
+    summary, _ = ret.retention_job(spark, log, kept, [cache, cache], NOW, RETENTION_DAYS)
+    left = sa.audit_read(spark, kept).agg(F.count(F.lit(1)).alias("purged")).select(
+        F.lit("left in the log").alias("storage"), "purged", F.lit("ok").alias("status"))
+    return summary.unionByName(left)
+
+
+@query
+def cache_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    cache = shared_dir(spark, "cache")
+    (fx_.table(spark, sf, "events").repartition("event_type").write.partitionBy("event_type")
+     .parquet(cache))
+    stale = sch.cache_manifest(spark, [cache, cache + "/"], datetime(2100, 1, 1))
+    fresh = sch.cache_manifest(spark, [cache], datetime(2000, 1, 1))
+    kind = F.regexp_extract("path", "event_type=([^/]+)/.*parquet$", 1)
+    both = stale.withColumn("stale", F.lit(True)).unionByName(
+        fresh.withColumn("stale", F.lit(False)))
+    return (both.select(kind.alias("event_type"), "stale").filter("event_type <> ''")
+            .groupBy("event_type", "stale").agg(F.count(F.lit(1)).alias("files")))
+
+
 # --- webhooks ----------------------------------------------------------------------------------
 @query
 def signature_verify(spark: SparkSession, sf: str) -> DataFrame:
