@@ -8,50 +8,42 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import fixed_values as fx
 from ..operators.rate import accept_sorted
 
 _OUT = "request_id string, key string, t bigint, allowed boolean"
+_STATE = "accepted array<bigint>"
 
 
-class WindowLimiter(StatefulProcessor):
-    """Keeps, per key, the times of the last accepted requests: at most ``limit`` of them."""
-
-    def __init__(self, limit: int, window_us: int):
-        self.limit = limit
-        self.window_us = window_us
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.accepted = handle.getListState("accepted", "t bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values):
+def _limiter(limit: int, window_us: int):
+    def decide(key: tuple, frames: Iterator[pd.DataFrame],
+               state: GroupState) -> Iterator[pd.DataFrame]:
         # A micro-batch may reach a key in several frames; decisions need them in time order.
-        frame = pd.concat(list(rows)).sort_values(["t", "request_id"], kind="stable")
+        frame = pd.concat(list(frames)).sort_values(["t", "request_id"], kind="stable")
         times = frame["t"].to_numpy(dtype=np.int64)
-        recent = deque(row[0] for row in self.accepted.get())
-        mask = accept_sorted(times, recent, self.limit, self.window_us)
+        recent = deque(int(t) for t in state.get[0]) if state.exists else deque()
+        mask = accept_sorted(times, recent, limit, window_us)
         newest = int(times[-1])
-        live = [(t,) for t in recent if newest - t < self.window_us]
+        live = [t for t in recent if newest - t < window_us]
         if live:
-            self.accepted.put(live)
-        else:
-            self.accepted.clear()
+            state.update((live,))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame({"request_id": frame["request_id"].to_numpy(), "key": key[0],
                             "t": times, "allowed": mask})
 
-    def close(self) -> None:
-        pass
+    return decide
 
 
 def rate_limit_stream(requests: DataFrame, max_requests: int = fx.RATE_LIMIT_REQUESTS,
                       window_seconds: int = fx.RATE_LIMIT_WINDOW_SECONDS) -> DataFrame:
     """Streaming (request_id, key, t, allowed) for rows (request_id, key, t in microseconds).
 
-    Late rows of a later micro-batch are decided on arrival. Only identifiers and times go through
-    the state operator; payloads are joined back by id in the sink.
+    The state of a key is the times of its last accepted requests, at most ``max_requests``. Rows
+    that come late, in a later micro-batch, are decided on arrival.
     """
-    return requests.select("request_id", "key", "t").groupBy("key").transformWithStateInPandas(
-        statefulProcessor=WindowLimiter(max_requests, window_seconds * 1_000_000),
-        outputStructType=_OUT, outputMode="Append", timeMode="None")
+    return requests.select("request_id", "key", "t").groupBy("key").applyInPandasWithState(
+        _limiter(max_requests, window_seconds * 1_000_000), _OUT, _STATE, "append",
+        GroupStateTimeout.NoTimeout)
