@@ -69,38 +69,65 @@ def _walker(limit: int, window_us: int):
     return walk
 
 
-def rate_decisions(requests: DataFrame, max_requests: int = fx.RATE_LIMIT_REQUESTS,
-                   window_seconds: int = fx.RATE_LIMIT_WINDOW_SECONDS) -> DataFrame:
-    """(request_id, allowed) for rows (request_id STRING, key STRING, ts TIMESTAMP)."""
-    window_us = window_seconds * 1_000_000
-    slim = requests.select(
-        "request_id", "key", F.unix_micros("ts").alias("t")).withColumn(
-        "bucket", F.floor(F.col("t") / F.lit(window_us)).cast("bigint"))
-    counts = slim.groupBy("key", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    # One row per key and bucket: this window is as long as the time span, not as the traffic.
+def _bucket(window_us: int):
+    return F.floor(F.unix_micros("ts") / F.lit(window_us)).cast("bigint")
+
+
+def _segments(requests: DataFrame, max_requests: int, window_us: int) -> DataFrame:
+    """(key, bucket, g, busy): which segment a bucket belongs to and whether it must be walked.
+
+    One row per key and bucket: its windows are as long as the time span, not as the traffic.
+    """
+    counts = (requests.select("key", _bucket(window_us).alias("bucket"))
+              .groupBy("key", "bucket").agg(F.count(F.lit(1)).alias("n")))
     by_time = Window.partitionBy("key").orderBy("bucket")
     follows = F.lag("bucket").over(by_time) == F.col("bucket") - 1
     marked = counts.withColumn(
         "calm", F.col("n") + F.when(follows, F.lag("n").over(by_time)).otherwise(F.lit(0))
         <= F.lit(max_requests)).withColumn("joined", F.coalesce(follows, F.lit(False)))
     # A calm bucket may open a segment: whatever came before, it accepts all it holds.
-    segments = (marked.withColumn(
+    return (marked.withColumn(
         "fresh", F.when(~F.col("joined") | F.col("calm"), 1).otherwise(0))
         .withColumn("g", F.sum("fresh").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("busy", F.max(F.when(F.col("calm"), 0).otherwise(1)).over(
             Window.partitionBy("key", "g")))
         .select("key", "bucket", "g", "busy"))
-    placed = slim.join(segments, ["key", "bucket"])
-    calm = placed.filter("busy = 0").select("request_id", F.lit(True).alias("allowed"))
-    walked = (placed.filter("busy = 1").select("request_id", "key", "g", "t")
-              .repartition("key", "g")
-              .sortWithinPartitions("key", "g", "t", "request_id")
-              .mapInArrow(_walker(max_requests, window_us), _DECISION))
-    return calm.unionByName(walked)
+
+
+def _walk(requests: DataFrame, segments: DataFrame, max_requests: int,
+          window_us: int) -> DataFrame:
+    """(request_id, allowed) for the requests of busy segments."""
+    slim = requests.select("request_id", "key", F.unix_micros("ts").alias("t"),
+                           _bucket(window_us).alias("bucket"))
+    placed = slim.join(segments.filter("busy = 1"), ["key", "bucket"])
+    return (placed.select("request_id", "key", "g", "t")
+            .repartition("key", "g")
+            .sortWithinPartitions("key", "g", "t", "request_id")
+            .mapInArrow(_walker(max_requests, window_us), _DECISION))
 
 
 def rate_limit(requests: DataFrame, max_requests: int = fx.RATE_LIMIT_REQUESTS,
                window_seconds: int = fx.RATE_LIMIT_WINDOW_SECONDS) -> DataFrame:
-    """``requests`` with ``allowed``; the payload columns never pass through the walk."""
-    decisions = rate_decisions(requests, max_requests, window_seconds)
-    return requests.join(decisions, "request_id")
+    """``requests`` (request_id STRING, key STRING, ts TIMESTAMP, ...) with ``allowed``.
+
+    The payload columns meet the small segment table and the walked decisions; they never pass
+    through the walk.
+    """
+    window_us = window_seconds * 1_000_000
+    segments = _segments(requests, max_requests, window_us)
+    walked = _walk(requests, segments, max_requests, window_us).withColumnRenamed(
+        "allowed", "_walked")
+    placed = requests.withColumn("bucket", _bucket(window_us)).join(
+        segments.select("key", "bucket", "busy"), ["key", "bucket"])
+    return (placed.join(walked, "request_id", "left")
+            .withColumn("allowed", (F.col("busy") == 0) | F.coalesce("_walked", F.lit(False)))
+            .select(*requests.columns, "allowed"))
+
+
+def rate_refusals(requests: DataFrame, max_requests: int = fx.RATE_LIMIT_REQUESTS,
+                  window_seconds: int = fx.RATE_LIMIT_WINDOW_SECONDS) -> DataFrame:
+    """(request_id) of the refused requests only: all of them lie in busy segments."""
+    window_us = window_seconds * 1_000_000
+    segments = _segments(requests, max_requests, window_us)
+    return _walk(requests, segments, max_requests, window_us).filter(~F.col("allowed")).select(
+        "request_id")

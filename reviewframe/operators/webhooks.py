@@ -104,10 +104,10 @@ def normalise_webhooks(deliveries: DataFrame, self_name: str,
                        "project_id", "comment_body", "comment_id", "received_at", "outcome")
 
 
-def delivery_outcome(normalised: DataFrame, decisions: DataFrame) -> DataFrame:
+def delivery_outcome(normalised: DataFrame, refusals: DataFrame) -> DataFrame:
     """Adds the last gate: accepted deliveries the limiter refused become ``rate_limited``."""
-    refused = decisions.filter(~F.col("allowed")).select(
-        F.col("request_id").alias("delivery_id"), F.lit(True).alias("_refused"))
+    refused = refusals.select(F.col("request_id").alias("delivery_id"),
+                              F.lit(True).alias("_refused"))
     return (normalised.join(refused, "delivery_id", "left")
             .withColumn("outcome", F.when(F.col("_refused"), "rate_limited")
                         .otherwise(F.col("outcome"))).drop("_refused"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fx
-from ..operators.rate import rate_decisions
+from ..operators.rate import rate_refusals
 from ..operators.webhooks import delivery_outcome, normalise_webhooks
 from ..session import materialise
 
@@ -24,4 +24,4 @@ def gate_deliveries(deliveries: DataFrame, self_name: str, secrets: dict[str, st
     asked = normal.filter("outcome = 'accepted'").select(
         F.col("delivery_id").alias("request_id"), F.col("repo").alias("key"),
         F.col("received_at").alias("ts"))
-    return delivery_outcome(normal, rate_decisions(asked, max_requests, window_seconds))
+    return delivery_outcome(normal, rate_refusals(asked, max_requests, window_seconds))

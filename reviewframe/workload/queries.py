@@ -28,7 +28,7 @@ from ..operators import webhooks as wh
 from ..plans import deliveries as pd_
 from ..plans import index as pi
 from ..plans import review as pr
-from ..session import shared_dir
+from ..session import materialise, shared_dir
 from ..sources import audit_log as sa
 from ..sources import cache as sch
 from ..sources import changed_files as sc
@@ -506,7 +506,8 @@ def call_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def graph_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    nodes = nd.extract_nodes(fx_.source_tree(spark, sf))
+    # Used twice below, and parsing is the costly part.
+    nodes = materialise(spark, nd.extract_nodes(fx_.source_tree(spark, sf)), "nodes")
     return nd.graph_nodes(nodes, nd.call_edges(nodes, ("repo",)), ("repo",)).select(
         "graph_id", "name", F.coalesce("type", F.lit("")).alias("type"),
         F.coalesce("start_line", F.lit(0)).alias("start_line"),

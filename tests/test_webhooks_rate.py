@@ -122,7 +122,10 @@ def test_limiter_equals_the_model(spark, limit, window, span):
     items = random_requests(limit + span, 1500, span)
     df = as_frame(spark, items)
     got = {r.request_id: r.allowed for r in rate.rate_limit(df, limit, window).collect()}
-    assert got == model_limit(items, limit, window * 1_000_000)
+    want = model_limit(items, limit, window * 1_000_000)
+    assert got == want
+    refused = {r.request_id for r in rate.rate_refusals(df, limit, window).collect()}
+    assert refused == {k for k, ok in want.items() if not ok}
 
 
 def test_limiter_details(spark):
@@ -130,14 +133,14 @@ def test_limiter_details(spark):
     items = [("a", "k", 0), ("b", "k", 9 * second), ("c", "k", 10 * second), ("d", "k", 10 * second),
              ("e", "j", 5 * second)]
     got = {r.request_id: r.allowed
-           for r in rate.rate_decisions(as_frame(spark, items), 1, 10).collect()}
+           for r in rate.rate_limit(as_frame(spark, items), 1, 10).collect()}
     assert got == {"a": True, "b": False, "c": True, "d": False, "e": True}
 
 
 def test_calm_keys_never_reach_python(spark):
     items = [(f"{i:04d}", f"k{i % 10}", i * 1_000_000) for i in range(100)]
     df = as_frame(spark, items)
-    calm = rate.rate_decisions(df, 100, 3600)
+    calm = rate.rate_limit(df, 100, 3600)
     assert calm.filter("NOT allowed").count() == 0 and calm.count() == 100
 
 
