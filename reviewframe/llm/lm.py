@@ -109,18 +109,19 @@ def _worker_words(known):
     return _WORKER["words"], _WORKER["symbols"], _WORKER["logs"]
 
 
-def train_pairs(pairs: np.ndarray, dimension: int = 48, noise: float = 20.0, steps: int = 250,
-                rate: float = 0.05, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def train_pairs(pairs: np.ndarray, dimension: int = 32, noise: float = 20.0, steps: int = 150,
+                rate: float = 0.05, prior: float = 20.0, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Embeddings (r, Q, b) from a table of pair counts, by noise-contrastive estimation.
 
-    ``noise`` samples for each pair, drawn from the smoothed frequencies of the second symbol.
+    ``noise`` samples for each pair, drawn from the smoothed frequencies of the second symbol. Each first
+    symbol is seen ``prior`` times more, followed by these frequencies, which tames rare ones.
     """
     n = len(pairs)
     rng = np.random.default_rng(seed)
     total = max(pairs.sum(), 1.0)
     unigram = (pairs.sum(axis=0) + 0.5) / (total + 0.5 * n)
-    context = pairs.sum(axis=1, keepdims=True) / total
-    data = pairs / total
+    data = (pairs + prior * unigram) / total
+    context = data.sum(axis=1, keepdims=True)
     params = [0.1 * rng.standard_normal((n, dimension)), 0.1 * rng.standard_normal((n, dimension)), np.log(unigram)]
     if not pairs.any():
         return params[0] * 0, params[1] * 0, params[2] * 0
