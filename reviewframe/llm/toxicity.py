@@ -112,22 +112,37 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * value + self.shift, -40, 40)))
 
 
-def _gram(words: list[str], landmarks: np.ndarray) -> np.ndarray:
-    """Kernel of each word (its first window) with unit landmark vectors (triples x landmarks)."""
-    rows, triples, value, owner = features([w[:_WINDOW - _STEP] for w in words])
-    unit = _unit(rows, value, len(owner))
-    out = np.zeros((len(owner), landmarks.shape[1]))
-    for at in range(0, len(rows), 500_000):
-        s = slice(at, at + 500_000)
-        np.add.at(out, rows[s], unit[s, None] * landmarks[triples[s]])
-    return out
-
-
-def _landmark_vectors(words: list[str]) -> np.ndarray:
-    rows, triples, value, owner = features([w[:_WINDOW - _STEP] for w in words])
-    out = np.zeros((_LETTERS ** 3, len(owner)))
-    out[triples, rows] = _unit(rows, value, len(owner))
-    return out
+class _Landmarks:
+    """Unit vectors of landmark words, over the triples that they hold."""
+
+    def __init__(self, words: list[str]):
+        rows, triples, value, owner = features([w[:_WINDOW - _STEP] for w in words])
+        self.triples, place = np.unique(triples, return_inverse=True)
+        self.place = np.full(_LETTERS ** 3, -1, dtype=np.int32)
+        self.place[self.triples] = np.arange(len(self.triples))
+        self.units = np.zeros((len(self.triples), len(owner)))
+        self.units[place, rows] = _unit(rows, value, len(owner))
+
+    def gram(self, words: list[str]) -> np.ndarray:
+        """Kernel of each word (its first window) with each landmark."""
+        out = []
+        for at in range(0, len(words), 4000):
+            rows, triples, value, owner = features([w[:_WINDOW - _STEP] for w in words[at:at + 4000]])
+            unit, place = _unit(rows, value, len(owner)), self.place[triples]
+            known = np.flatnonzero(place >= 0)
+            rows, products = rows[known], unit[known, None] * self.units[place[known]]
+            starts = np.flatnonzero(np.diff(rows, prepend=-1))  # features come window by window
+            part = np.zeros((len(owner), self.units.shape[1]))
+            if len(rows):
+                part[rows[starts]] = np.add.reduceat(products, starts, axis=0)
+            out.append(part)
+        return np.vstack(out) if out else np.zeros((0, self.units.shape[1]))
+
+    def weights(self, share: np.ndarray) -> np.ndarray:
+        """The landmarks' vectors added up by their shares: a weight for every triple."""
+        out = np.zeros(_LETTERS ** 3)
+        out[self.triples] = self.units @ share
+        return out
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -144,10 +159,9 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -
     return w
 
 
-def fit(texts: list[set[str]], labels: list[int], apart: list[bool], n_landmarks: int = 96,
+def fit(bags: list[list[str]], labels: list[int], apart: list[bool], n_landmarks: int = 96,
         rounds: int = 3) -> Model | None:
-    """Fit on bags of raw spans; texts marked ``apart`` set the curve only."""
-    bags = [sorted({c for c in map(clean, t) if len(c) > 2}) for t in texts]
+    """Fit on bags of cleaned spans; bags marked ``apart`` set the curve only."""
     train = [(b, y) for b, y, a in zip(bags, labels, apart) if not a and b]
     n_pos, n_neg = sum(y for _, y in train), sum(1 - y for _, y in train)
     if not n_pos or not n_neg:
@@ -159,15 +173,18 @@ def fit(texts: list[set[str]], labels: list[int], apart: list[bool], n_landmarks
             + 0.3 * np.log1p(df[1][w]) for w in df[1]}
     # Landmarks: spans that tell toxic texts apart, not too alike, and common spans of clean texts.
     ranked = sorted((w for w in odds if df[1][w] > 1), key=lambda w: (-odds[w] - (df[0][w] == 0), w))[:3000]
-    vectors = _landmark_vectors(ranked[:800]) if ranked else np.zeros((_LETTERS ** 3, 0))
+    candidates = _Landmarks(ranked[:800]).units
+    likeness = candidates.T @ candidates
     chosen: list[int] = []
-    likeness = vectors.T @ vectors
-    for i in range(vectors.shape[1]):
+    for i in range(len(likeness)):
         if len(chosen) < n_landmarks // 2 and all(likeness[i, j] < 0.8 for j in chosen):
             chosen.append(i)
     common = [w for w, _ in sorted(df[0].items(), key=lambda x: (-x[1], x[0])) if len(w) > 3][:n_landmarks // 2]
-    landmarks = np.hstack([vectors[:, chosen], _landmark_vectors(common)]) if common else vectors[:, chosen]
-    values, vecs = np.linalg.eigh(landmarks.T @ landmarks)
+    words = list(dict.fromkeys([*(ranked[i] for i in chosen), *common]))
+    if not words:
+        return None
+    landmarks = _Landmarks(words)
+    values, vecs = np.linalg.eigh(landmarks.units.T @ landmarks.units)
     root = vecs @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vecs.T  # Nyström map
 
     clean_words = sorted(df[0])
@@ -188,8 +205,8 @@ def fit(texts: list[set[str]], labels: list[int], apart: list[bool], n_landmarks
         y = np.array([1.0] * len(positives) + [-1.0] * len(negatives))
         weight = np.where(y > 0, [witness[w] for w in positives] + [0] * len(negatives), 1.0)
         weight[y > 0] *= max(1.0, 0.2 * len(negatives)) / max(1.0, weight[y > 0].sum())
-        w = _svm(_gram(words, landmarks) @ root, y, weight, ridge=0.1)
-        model = Model(landmarks @ (root @ w[:-1]), float(w[-1]), 1.0, 0.0)
+        w = _svm(landmarks.gram(words) @ root, y, weight, ridge=0.1)
+        model = Model(landmarks.weights(root @ w[:-1]), float(w[-1]), 1.0, 0.0)
         value = model.values(clean_words)  # clean words that come closest join the negatives
         negatives |= {clean_words[i] for i in np.argsort(-value)[:3000]}
         toxic_words = sorted(df[1])
@@ -212,10 +229,10 @@ def _curve(value: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(w[0], 1e-3)), float(w[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, max_positive: int = 1500,
-          max_negative: int = 3000) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, max_positive: int = 1200,
+          max_negative: int = 2000) -> Model | None:
     """Fit on about ``max_positive`` toxic and ``max_negative`` clean labelled texts, chosen by hash."""
-    spark = prepared(docs.sparkSession)
+    prepared(docs.sparkSession)
     marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(
         (F.max("toxic") > 0).cast("int").alias("toxic"))
     if learn_from is not None:
@@ -230,14 +247,16 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None,
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = [" ".join(sorted(spans(t or ""))) for t in b.column(2).to_pylist()]
+            words = [" ".join(sorted({c for c in map(clean, spans(t or "")) if len(c) > 2}))
+                     for t in b.column(2).to_pylist()]
             yield batch(schema, [b.column(0), b.column(1), words])
 
     rows = sample.select("toxic", (F.pmod(F.xxhash64(F.lit("curve"), "doc_id"), F.lit(3)) == 0).alias("apart"),
                          "text").mapInArrow(bags, "toxic int, apart boolean, spans string") \
         .orderBy("spans").toArrow()
-    texts = [set(t.split(" ")) for t in rows["spans"].to_pylist()]
-    return fit(texts, rows["toxic"].to_pylist(), rows["apart"].to_pylist()) if spark and texts else None
+    shared: dict[str, str] = {}
+    bags_ = [[shared.setdefault(w, w) for w in t.as_py().split(" ") if w] for t in rows["spans"]]
+    return fit(bags_, rows["toxic"].to_pylist(), rows["apart"].to_pylist())
 
 
 _WORDS: dict[str, float] = {}
