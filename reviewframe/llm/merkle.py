@@ -82,7 +82,7 @@ def fingerprints(docs: DataFrame, *kept: str) -> DataFrame:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """``fingerprints`` of the rows, and of the next row by descending doc_id (after the last: the first).
+    """doc_id, text, and the text of the next row by descending doc_id (after the last: the first).
 
     Rows with one doc_id follow each other by descending text; null ids come last. The ids are cut into
     ranges at quantiles, two for each shuffle partition; the next row is found within a range, and for a
@@ -96,8 +96,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     place = F.when(F.col("doc_id").isNull(), F.lit(n)).otherwise(
         F.size(F.filter(cuts, lambda c: c >= F.col("doc_id"))))
     within = Window.partitionBy("_range").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text").desc())
-    row = F.struct("text", "root", "phrases")
-    ahead = fingerprints(docs).withColumn("_range", place).withColumn("_next", F.lead(row).over(within))
+    ahead = docs.withColumn("_range", place).withColumn("_next", F.lead("text").over(within))
     # First rows: their ids are found first, so that few texts travel.
     ids = docs.select("doc_id", place.alias("_range")).groupBy("_range").agg(F.max("doc_id").alias("_id"))
     heads = docs.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("_id"))).groupBy("_range", "doc_id").agg(
@@ -105,12 +104,10 @@ def with_next(docs: DataFrame) -> DataFrame:
     order = Window.orderBy("_range")
     following = ids.select("_range", F.lead("_range").over(order).alias("_to"),
                            F.first("_range").over(order).alias("_least"))
-    firsts = fingerprints(heads.select("_range", "doc_id", "text"), "_range").select(
-        F.col("_range").alias("_to"), row.alias("_first"))
+    firsts = heads.select(F.col("_range").alias("_to"), F.col("text").alias("_first"))
     link = following.select("_range", F.coalesce("_to", "_least").alias("_to")).join(firsts, "_to").drop("_to")
-    found = ahead.join(link, "_range", "left").withColumn("_next", F.coalesce("_next", "_first"))
-    return found.select("doc_id", "text", "root", "phrases", F.col("_next.text").alias("next_text"),
-                        F.col("_next.root").alias("next_root"), F.col("_next.phrases").alias("next_phrases"))
+    return ahead.join(link, "_range", "left").select(
+        "doc_id", "text", F.coalesce("_next", "_first").alias("next_text"))
 
 
 def edited(text: Column, next_text: Column, share: int = 3) -> Column:
@@ -122,10 +119,10 @@ def edited(text: Column, next_text: Column, share: int = 3) -> Column:
 def edit_report(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, and how like the edited and the next text are."""
     prepared(docs.sparkSession)
-    found = with_next(docs)
-    changed = found.withColumn("edited", edited(F.col("text"), F.col("next_text"))).drop("next_text")
-    changed = changed.select("*", root(F.col("edited")).alias("edited_root"),
-                             phrases(F.col("edited")).alias("edited_phrases"))
+    # Only texts travel to their neighbours; fingerprints are cheaper to make again than to carry.
+    found = with_next(docs).withColumn("edited", edited(F.col("text"), F.col("next_text")))
+    changed = found.select("doc_id", "text", "edited", *(f(F.col(c)).alias(f"{p}{n}") for c, p in (
+        ("text", ""), ("edited", "edited_"), ("next_text", "next_")) for n, f in (("root", root), ("phrases", phrases))))
     return changed.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         fingerprint(F.col("root"), F.col("phrases")).alias("fingerprint"),
