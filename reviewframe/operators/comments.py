@@ -103,26 +103,22 @@ def ground_comments(comments: DataFrame, lines: DataFrame) -> DataFrame:
 def suppress_repeats(comments: DataFrame, posted: DataFrame, marker: str) -> DataFrame:
     """Drops findings whose rendered text was posted on the file before and is still open."""
     rendered = render_comment(F.col("severity"), F.col("body"), marker)
-    # The rendered form starts with the tag line; the prefix counts from the body onwards.
-    head = F.length(render_comment(F.col("severity"), F.lit(""), marker))
     open_before = (posted
                    .filter(F.col("body").contains(marker)
                            & (F.coalesce("in_reply_to_id", F.lit(0)) == 0))
-                   .select("review_id", F.col("path").alias("_path"),
-                           F.col("body").alias("_posted")))
-    tagged = open_before.select(
-        "review_id", "_path",
-        F.regexp_extract("_posted", r"(?s)\A(\*\*\[[^\]]*\] [^\n]*\*\*\n\n.{0,50})", 1)
-        .alias("_prefix")).filter(F.col("_prefix") != "").distinct()
-    keyed = comments.select(
-        "*", F.col("file_path").alias("_path"),
-        F.left(rendered, head + fx.DEDUP_PREFIX_CHARS).alias("_prefix"))
-    return (keyed.join(tagged, ["review_id", "_path", "_prefix"], "left_anti")
-            .drop("_path", "_prefix"))
-
-
-def review_summary(raw: DataFrame, final: DataFrame) -> DataFrame:
-    """Per review: raw findings by severity, comments left after noise control, files flagged."""
+                   .select("review_id", F.col("path").alias("_path"), F.col("body").alias("_text"))
+                   .distinct())
+    keyed = comments.select("*", F.col("file_path").alias("_path"), rendered.alias("_text"))
+    return (keyed.join(open_before, ["review_id", "_path", "_text"], "left_anti")
+            .drop("_path", "_text"))
+
+
+def review_summary(raw: DataFrame, final: DataFrame, reviews: DataFrame | None = None) -> DataFrame:
+    """Per review: raw findings by severity, comments left after noise control, files flagged.
+
+    ``reviews`` (review_id) lists all reviews; those without a finding have zeros. Without it only
+    reviews with findings are known.
+    """
     found = (raw.groupBy("review_id")
              .agg(F.count(F.lit(1)).alias("found"),
                   *[F.count_if(F.col("severity") == s).alias(s.lower())
@@ -131,7 +127,10 @@ def review_summary(raw: DataFrame, final: DataFrame) -> DataFrame:
     per_file = final.groupBy("review_id", "file_path").agg(F.count(F.lit(1)).alias("n"))
     left = per_file.groupBy("review_id").agg(F.sum("n").alias("posted"),
                                              F.count("file_path").alias("files_flagged"))
-    return found.join(left, "review_id", "left").na.fill(0, ["posted", "files_flagged"])
+    if reviews is not None:
+        found = reviews.select("review_id").distinct().join(found, "review_id", "left")
+    joined = found.join(left, "review_id", "left")
+    return joined.na.fill(0, [c for c in joined.columns if c != "review_id"])
 
 
 def provider_payload(vcs: Column, marker: str) -> Column:

@@ -20,7 +20,11 @@ _CONFIG = ("max_comments_per_pr STRING, max_comments STRING, severity_filter STR
            f"style {_STYLE}")
 
 
-def _group_default(group: str) -> Column:
+def default_ignore_regex() -> Column:
+    return globs_to_regex(F.array(*[F.lit(g) for g in fx.DEFAULT_POLICY["ignore_paths"]]))
+
+
+def default_group(group: str) -> Column:
     fields = []
     for name, value in fx.DEFAULT_POLICY[group].items():
         lit = F.array(*[F.lit(v) for v in value]) if isinstance(value, list) else F.lit(value)
@@ -39,7 +43,7 @@ def _group(config: Column, group: str) -> Column:
             fields.append(F.coalesce(given[name], F.array().cast("array<string>")).alias(name))
         else:
             fields.append(given[name].alias(name))
-    return F.when(given.isNotNull(), F.struct(*fields)).otherwise(_group_default(group))
+    return F.when(given.isNotNull(), F.struct(*fields)).otherwise(default_group(group))
 
 
 def resolve_columns(config: Column) -> list[Column]:

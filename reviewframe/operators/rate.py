@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fx
 
-_DECISION = "request_id string, allowed boolean"
+_DECISION = "request_id string, key string, t bigint, allowed boolean"
 
 
 def accept_sorted(times: np.ndarray, recent: deque, limit: int, window: int) -> np.ndarray:
@@ -64,7 +64,8 @@ def _walker(limit: int, window_us: int):
                     current, recent = owner, deque()
                 mask[start:stop] = accept_sorted(times[start:stop], recent, limit, window_us)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("request_id"), pa.array(mask)], names=["request_id", "allowed"])
+                [batch.column("request_id"), batch.column("key"), batch.column("t"), pa.array(mask)],
+                names=["request_id", "key", "t", "allowed"])
 
     return walk
 
@@ -96,7 +97,7 @@ def _segments(requests: DataFrame, max_requests: int, window_us: int) -> DataFra
 
 def _walk(requests: DataFrame, segments: DataFrame, max_requests: int,
           window_us: int) -> DataFrame:
-    """(request_id, allowed) for the requests of busy segments."""
+    """(request_id, key, t, allowed) for the requests of busy segments."""
     slim = requests.select("request_id", "key", F.unix_micros("ts").alias("t"),
                            _bucket(window_us).alias("bucket"))
     placed = slim.join(segments.filter("busy = 1"), ["key", "bucket"])
@@ -111,17 +112,25 @@ def rate_limit(requests: DataFrame, max_requests: int = fx.RATE_LIMIT_REQUESTS,
     """``requests`` (request_id STRING, key STRING, ts TIMESTAMP, ...) with ``allowed``.
 
     The payload columns meet the small segment table and the walked decisions; they never pass
-    through the walk.
+    through the walk. Ids need not be unique, nor given: requests that share id, key and time are
+    alike, so as many of them are allowed as the walk allowed. A null key or time is never limited.
     """
     window_us = window_seconds * 1_000_000
     segments = _segments(requests, max_requests, window_us)
-    walked = _walk(requests, segments, max_requests, window_us).withColumnRenamed(
-        "allowed", "_walked")
+    walked = _walk(requests, segments, max_requests, window_us).groupBy("request_id", "key", "t").agg(
+        F.count_if("allowed").alias("_allowed")).select(
+        F.col("request_id").alias("_id"), F.col("key").alias("_key"), F.col("t").alias("_t"), "_allowed")
     placed = requests.withColumn("bucket", _bucket(window_us)).join(
-        segments.select("key", "bucket", "busy"), ["key", "bucket"])
-    return (placed.join(walked, "request_id", "left")
-            .withColumn("allowed", (F.col("busy") == 0) | F.coalesce("_walked", F.lit(False)))
-            .select(*requests.columns, "allowed"))
+        segments.select("key", "bucket", "busy"), ["key", "bucket"], "left").withColumn(
+        "_us", F.unix_micros("ts"))
+    busy = placed.filter("busy = 1").withColumn("_n", F.row_number().over(
+        Window.partitionBy("request_id", "key", "_us").orderBy(F.lit(0))))
+    decided = busy.join(walked, F.col("request_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
+                        & (F.col("_us") == F.col("_t")), "left").withColumn(
+        "allowed", F.col("_n") <= F.coalesce("_allowed", F.lit(0)))
+    calm = placed.filter(F.coalesce("busy", F.lit(0)) == 0).withColumn("allowed", F.lit(True))
+    names = [*requests.columns, "allowed"]
+    return calm.select(*names).union(decided.select(*names))
 
 
 def rate_refusals(requests: DataFrame, max_requests: int = fx.RATE_LIMIT_REQUESTS,

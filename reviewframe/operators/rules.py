@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fx
+from .policy import default_group, default_ignore_regex
 
 _P = fx.RULE_PATTERNS
 
@@ -51,11 +52,17 @@ def is_dead(line: Column, prev: Column) -> Column:
                       & (indent_of(line) == indent_of(prev)), F.lit(False))
 
 
+def _body(rule: str, line: Column, detail: Column | None) -> Column:
+    """A finding's text. The line comes first: findings on two lines must not begin alike, or noise
+    control would take them for one."""
+    head = F.concat(F.lit("Line "), F.coalesce(line.cast("string"), F.lit("?")),
+                    F.lit(f": [{rule}] {RULES[rule][1]}"))
+    return head if detail is None else F.concat(head, F.lit(": "), detail)
+
+
 def _finding(rule: str, path: str, line: str, detail: Column | None = None) -> list[Column]:
-    severity, message, _, _ = RULES[rule]
-    body = F.lit(f"[{rule}] {message}")
-    if detail is not None:
-        body = F.concat(body, F.lit(": "), detail)
+    severity = RULES[rule][0]
+    body = _body(rule, F.col(line), detail)
     return [F.struct(F.col(path).alias("file_path"), F.col(line).alias("line"),
                      F.lit(rule).alias("rule")).alias("seq"),
             F.col(path).alias("file_path"), F.col(line).alias("line"),
@@ -84,7 +91,7 @@ def gate(findings: DataFrame, policies: DataFrame, paths: bool = False) -> DataF
     """Drops findings whose rule the review's policy has off. Only hits are joined.
 
     A scan looks for every name any policy forbids, so the policy's own list is applied here; with
-    ``paths`` its path globs are too.
+    ``paths`` its path globs are too. A review without a policy row has the default policy.
     """
     allowed = F.lit(False)
     for rule in RULES:
@@ -95,7 +102,11 @@ def gate(findings: DataFrame, policies: DataFrame, paths: bool = False) -> DataF
     if paths:
         allowed = allowed & ~F.rlike(F.col("file_path"), F.col("ignore_regex"))
     rules = policies.select("review_id", "security", "performance", "style", "ignore_regex")
-    return (findings.join(rules, "review_id").filter(allowed)
+    joined = findings.join(rules, "review_id", "left")
+    known = {group: F.coalesce(F.col(group), default_group(group).cast(rules.schema[group].dataType))
+             for group in ("security", "performance", "style")}
+    known["ignore_regex"] = F.coalesce("ignore_regex", default_ignore_regex())
+    return (joined.withColumns(known).filter(allowed)
             .drop("security", "performance", "style", "ignore_regex", "detail"))
 
 
@@ -197,10 +208,8 @@ def rule_node(rule: str, nodes: DataFrame, policies: DataFrame) -> DataFrame:
 
 
 def _hit(rule: str, line: Column, detail: Column | None = None) -> Column:
-    severity, message, _, _ = RULES[rule]
-    body = F.lit(f"[{rule}] {message}")
-    if detail is not None:
-        body = F.concat(body, F.lit(": "), detail)
+    severity = RULES[rule][0]
+    body = _body(rule, line, detail)
     return F.struct(line.alias("line"), F.lit(rule).alias("rule"),
                     F.lit(severity).alias("severity"), body.alias("body"),
                     (F.lit("") if detail is None else detail).alias("detail"))

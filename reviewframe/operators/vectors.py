@@ -123,7 +123,8 @@ def _best_per_query(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray,
     """(ids, scores) of each query's k best rows; scores exist for a strip of queries at a time."""
     strip = max(1, SCORE_CELLS // max(1, len(ids)))
     for start in range(0, len(queries), strip):
-        for scores in queries[start:start + strip] @ rows.T:
+        # Rounded, so that ties do not depend on the shape of a block.
+        for scores in np.round(queries[start:start + strip] @ rows.T, 12):
             keep = _best(scores, ids, k)
             yield ids[keep], scores[keep]
 

@@ -104,11 +104,15 @@ def normalise_webhooks(deliveries: DataFrame, self_name: str,
                        "project_id", "comment_body", "comment_id", "received_at", "outcome")
 
 
-def delivery_outcome(normalised: DataFrame, refusals: DataFrame) -> DataFrame:
-    """Adds the last gate: accepted deliveries the limiter refused become ``rate_limited``."""
-    refused = refusals.select(F.col("request_id").alias("delivery_id"),
-                              F.lit(True).alias("_refused"))
-    return (normalised.join(refused, "delivery_id", "left")
+def delivery_outcome(normalised: DataFrame, refusals: DataFrame,
+                     key: str = "delivery_id") -> DataFrame:
+    """Adds the last gate: accepted deliveries the limiter refused become ``rate_limited``.
+
+    ``key`` names a column whose values are unique and are the refusals' request ids. Delivery ids
+    of providers are not: they repeat on redelivery, name a hook, or are missing.
+    """
+    refused = refusals.select(F.col("request_id").alias(key), F.lit(True).alias("_refused"))
+    return (normalised.join(refused, key, "left")
             .withColumn("outcome", F.when(F.col("_refused"), "rate_limited")
                         .otherwise(F.col("outcome"))).drop("_refused"))
 

@@ -47,4 +47,4 @@ def review_changes(files: DataFrame, policies: DataFrame, code: DataFrame | None
     if spool:
         raw = materialise(files.sparkSession, raw, "findings")
     final = final_findings(raw, policies, posted, marker)
-    return final, review_summary(raw, final)
+    return final, review_summary(raw, final, policies)

@@ -56,10 +56,12 @@ def local_session(cpus: str = "*", app: str = "reviewframe", partitions: int | N
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for an intermediate table, under the cluster's ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests, a laptop) does a machine-local folder stand in.
+    Only in local mode (tests, a laptop) does a machine-local folder stand in where none is named.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="reviewframe-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -262,10 +262,10 @@ SELECT {REVIEW} AS review_id, k.doc_id AS seq,
        ELSE 'line_not_added' END AS reason
 FROM k"""
 ORACLES["suppress_repeats"] = f"""WITH {COMMENTS},
-p AS (SELECT review_id, file_path, severity, left(body, 50) AS head FROM c
+p AS (SELECT review_id, file_path, severity, body AS head FROM c
       WHERE length(body) % 3 = 0 AND seq % 4 <> 0)
 SELECT {SHORT} FROM c WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.review_id = c.review_id
-  AND p.file_path = c.file_path AND p.severity = c.severity AND p.head = left(c.body, 50))"""
+  AND p.file_path = c.file_path AND p.severity = c.severity AND p.head = c.body)"""
 ORACLES["feedback_stats"] = f"""
 WITH o AS (SELECT conv_id::VARCHAR AS review_id, role, contains(text, 'tion') AS own,
              turn % 3 <> 0 AS replied FROM conversations),
@@ -579,7 +579,7 @@ def _f(rule: str, where: str, body: str, source: str = "looped") -> str:
     severity = {"G1": "BLOCKER", "G2": "BLOCKER", "G3": "BLOCKER", "G4": "WARNING",
                 "G5": "WARNING", "G6": "WARNING", "G7": "INFO", "G8": "INFO", "G9": "INFO"}[rule]
     return (f"SELECT review_id, path AS file_path, n::INT AS line, '{severity}' AS severity, "
-            f"{body} AS body, '{rule}' AS rule FROM {source} WHERE {where}")
+            f"'Line ' || n::INT || ': ' || {body} AS body, '{rule}' AS rule FROM {source} WHERE {where}")
 
 
 _API_LIST = ", ".join(f"({q(a)})" for a in APIS)
@@ -605,10 +605,11 @@ LINE_RULES = {
 }
 for _rule, _sql in LINE_RULES.items():
     ORACLES[f"rule_{_rule.lower()}"] = f"WITH {CODE} {_sql}"
-# Definitions of generated sources belong to review r<brand number> where there is such a review.
+# Definitions of generated sources belong to review r<brand number>; unknown ones have the default policy.
 NODE_SRC = SOURCE + f""", {POLICY},
-nn AS (SELECT p.review_id, file_path AS path, start_line AS n, node_name, node_type, has_docstring,
-   p.n AS pol FROM nodes JOIN p ON p.review_id = 'r' || regexp_extract(brand, '([0-9]+)$', 1)::INT)"""
+nn AS (SELECT m.review_id, file_path AS path, start_line AS n, node_name, node_type, has_docstring,
+   coalesce(p.n, 0) AS pol FROM (SELECT *, 'r' || regexp_extract(brand, '([0-9]+)$', 1)::INT AS review_id
+   FROM nodes) m LEFT JOIN p ON p.review_id = m.review_id)"""
 NODE_RULES = {
     "G6": _f("G6", "node_type = 'class_definition'", "'[G6] Unbounded loop: ' || node_name",
              "nn"),
@@ -678,5 +679,7 @@ a AS (SELECT review_id, count(*) AS found, count(*) FILTER (WHERE severity = 'BL
    count(*) FILTER (WHERE severity = 'INFO') AS info FROM raw GROUP BY review_id),
 b AS (SELECT review_id, count(*) AS posted, count(DISTINCT file_path) AS files_flagged
    FROM final GROUP BY review_id)
-SELECT review_id, found, blocker, warning, info, coalesce(posted, 0) AS posted,
-  coalesce(files_flagged, 0) AS files_flagged FROM a LEFT JOIN b USING (review_id)"""
+SELECT review_id, coalesce(found, 0) AS found, coalesce(blocker, 0) AS blocker,
+  coalesce(warning, 0) AS warning, coalesce(info, 0) AS info, coalesce(posted, 0) AS posted,
+  coalesce(files_flagged, 0) AS files_flagged
+FROM (SELECT DISTINCT review_id FROM p) LEFT JOIN a USING (review_id) LEFT JOIN b USING (review_id)"""

@@ -203,7 +203,8 @@ def noise_control(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def review_summary(spark: SparkSession, sf: str) -> DataFrame:
     raw = fx_.comments(spark, sf)
-    return cm.review_summary(raw, cm.noise_control(raw, fx_.lang_policies(spark, sf)))
+    reviews = fx_.lang_policies(spark, sf)
+    return cm.review_summary(raw, cm.noise_control(raw, reviews), reviews)
 
 
 @query

@@ -1,5 +1,4 @@
 import random
-import re
 
 from conftest import rows
 from pyspark.sql import functions as F
@@ -8,57 +7,50 @@ from reviewframe import schemas
 from reviewframe.operators import diffs
 
 
-def model_hunks(patch):
-    """Short sequential model: a state machine over the lines."""
-    out, number, current = [], None, []
-    for line in (patch or "").splitlines():
-        if line.startswith("@@"):
-            if current:
-                out.append(current)
-            current = []
-            found = re.search(r"@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@", line)
-            number = int(found.group(1)) if found else None
-        elif number is not None:
-            if line[:1] == "+":
-                current.append((number, line[1:]))
-            if line[:1] not in ("-", "\\"):
-                number += 1
-    if current:
-        out.append(current)
-    return out
-
-
-def model_split(diff):
-    found, name = {}, None
-    for line in diff.splitlines(keepends=True):
-        if line.startswith("diff --git"):
-            name = line.split(" b/", 1)[1].strip() if " b/" in line else None
-            if name:
-                found[name] = ""
-        if name:
-            found[name] += line
-    return found
+HUNKS = [  # patch, added lines by hunk
+    (None, []), ("", []), ("+only", []), ("@@ -1 +1 @@", []),
+    ("@@ -1 +1 @@\n+x", [[(1, "x")]]),
+    ("@@ -1,2 +7,3 @@ def f\n keep\n+new\n-old\n\n+last\n", [[(8, "new"), (10, "last")]]),
+    ("text\n@@ -1 +5 @@\n+a\r\n+b\r\n", [[(5, "a"), (6, "b")]]),
+    ("@@ -1 +1 @@\n-gone\n@@ -9 +20 @@\n+y", [[(20, "y")]]),
+    ("@@ -1 +1 @@\n+a\n\\ No newline at end of file\n+b", [[(1, "a"), (2, "b")]]),
+    ("@@ -1 +1 @@\n+a\n@@ broken\n+lost\n@@ -3 +30 @@\n+c", [[(1, "a")], [(30, "c")]]),
+    ("@@ -1 +1 @@\n++ plus\n+", [[(1, "+ plus"), (2, "")]]),
+]
 
 
-def random_patch(rng):
-    pieces = ["+a", "-b", " c", "", "\\ No newline", "@@ -1,2 +{} @@", "@@ -3 +{},4 @@ def f",
-              "@@ broken", "@@@ -1 -1 +{} @@@", "+", "text", "+@@ no", "++ plus"]
-    ends = ["\n", "\n", "\n", "\r\n", "\r", " ", "\x0b", "\x85"]
-    return "".join(rng.choice(pieces).format(rng.randrange(1, 90)) + rng.choice(ends)
-                   for _ in range(rng.randrange(0, 14)))
+def test_hunks_of_written_patches(spark):
+    files = spark.createDataFrame([("r", str(i), "modified", p) for i, (p, _) in enumerate(HUNKS)],
+                                  schemas.FILE)
+    got = {}
+    for r in diffs.parse_hunks(files).orderBy("hunk_no", "line_num").collect():
+        got.setdefault(r.filename, {}).setdefault(r.hunk_no, []).append((r.line_num, r.content))
+    for i, (patch, want) in enumerate(HUNKS):
+        assert list(got.get(str(i), {}).values()) == want, repr(patch)
 
 
-def test_hunks_match_the_model_on_random_patches(spark):
+def test_added_and_kept_lines_rebuild_the_file(spark):
+    """Patches made from two versions of a file: added lines sit where the new version has them."""
     rng = random.Random(7)
-    patches = [random_patch(rng) for _ in range(300)] + [None, "", "+only", "@@ -1 +1 @@"]
+    patches, versions = [], []
+    for _ in range(60):
+        at, number, body, new = rng.randrange(1, 50), 0, [], {}
+        number = at
+        for _ in range(rng.randrange(1, 15)):
+            kind, text = rng.choice("+- "), "line %d" % rng.randrange(99)
+            body.append(kind + text)
+            if kind != "-":
+                if kind == "+":
+                    new[number] = text
+                number += 1
+        patches.append("@@ -1 +%d @@\n" % at + "\n".join(body))
+        versions.append(new)
     files = spark.createDataFrame([("r", str(i), "modified", p) for i, p in enumerate(patches)],
                                   schemas.FILE)
     got = {}
-    for r in diffs.parse_hunks(files).orderBy("hunk_no", "line_num").collect():
-        got.setdefault(r.filename, {}).setdefault(r.hunk_no, []).append((r.line_num, r.content))
-    for i, patch in enumerate(patches):
-        want = {n + 1: h for n, h in enumerate(model_hunks(patch))}
-        assert got.get(str(i), {}) == want, repr(patch)
+    for r in diffs.parse_hunks(files).collect():
+        got.setdefault(int(r.filename), {})[r.line_num] = r.content
+    assert [got.get(i, {}) for i in range(len(patches))] == versions
 
 
 def test_fixture_example_and_flat_nested_round_trip(spark):
@@ -78,19 +70,17 @@ def test_fixture_example_and_flat_nested_round_trip(spark):
     assert [r.prev_content for r in prev] == [None, "b", None]
 
 
-def test_split_multifile_diff_matches_the_model(spark):
-    rng = random.Random(3)
-    pieces = ["diff --git a/x b/{}", "diff --git a/x b/dir/{} ", "diff --git none", "+x",
-              "@@ -1 +1 @@", "index 1", " diff --git a/q b/q"]
-    texts = ["".join(rng.choice(pieces).format(rng.randrange(3)) + rng.choice(["\n", "\n", "\r\n"])
-                     for _ in range(rng.randrange(0, 12))) for _ in range(200)]
+def test_split_multifile_diff(spark):
+    one = "diff --git a/x b/x\nindex 1\n@@ -1 +1 @@\n+x\n"
+    two = "diff --git a/old b/dir/new \n+y\n"
+    texts = ["", "no header\n+x\n", one, "lead\n" + one + two, "diff --git none\n+z\n" + two]
+    want = [{}, {}, {"x": one}, {"x": one, "dir/new": two}, {"dir/new": two}]
     df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)],
                                "review_id string, diff string")
     got = {}
     for r in diffs.split_multifile_diff(df).collect():
         got.setdefault(r.review_id, {})[r.filename] = r.patch
-    for i, text in enumerate(texts):
-        assert got.get(str(i), {}) == model_split(text), repr(text)
+    assert [got.get(str(i), {}) for i in range(len(texts))] == want
 
 
 def test_parsing_needs_no_exchange_and_no_python(spark):

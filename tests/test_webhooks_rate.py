@@ -185,3 +185,33 @@ def test_audit_streams_over_a_restart(spark, tmp_path):
         audit_counts_stream(stream(), counts, str(tmp_path / "cp2")).awaitTermination()
     assert rows(current_counts(spark.read.parquet(counts))) == [("a", 3), ("b", 1), ("c", 1)]
     assert audit_read(spark, log).filter("NOT malformed").count() == 5
+
+
+def test_repeated_and_missing_request_ids_stay_rows(spark):
+    from datetime import datetime, timedelta
+
+    from reviewframe.operators.rate import rate_limit
+
+    start = datetime(2024, 1, 1)
+    rows_ = [("same", "k", start + timedelta(seconds=i // 3)) for i in range(30)]
+    rows_ += [(None, "k", start + timedelta(seconds=5)), ("x", None, start), ("same", "other", start)]
+    df = spark.createDataFrame(rows_, "request_id string, key string, ts timestamp")
+    got = rate_limit(df, 4, 3600).collect()
+    assert len(got) == len(rows_)
+    assert sum(r.allowed for r in got if r.key == "k") == 4
+    assert all(r.allowed for r in got if r.key != "k")
+
+
+def test_findings_on_two_lines_survive_and_need_no_policy_row(spark):
+    from reviewframe import schemas
+    from reviewframe.operators.comments import dedup_comments
+    from reviewframe.operators.policy import policy_resolve
+    from reviewframe.plans.review import raw_findings
+
+    patch = "@@ -1 +1,2 @@\n+password = \"hunter2hunter2\"\n+secret = \"abcdefabcdef12\"\n"
+    files = spark.createDataFrame([("r1", "a.py", "modified", patch), ("r2", "a.py", "modified", patch)],
+                                  schemas.FILE)
+    reviews = spark.createDataFrame([("r1", "o/r")], "review_id string, repo string")
+    policies = policy_resolve(reviews, spark.createDataFrame([], "repo string, config string"))
+    kept = dedup_comments(raw_findings(files, policies)).filter("rule = 'G2'").collect()
+    assert sorted((r.review_id, r.line) for r in kept) == [("r1", 1), ("r1", 2), ("r2", 1), ("r2", 2)]
