@@ -3,7 +3,7 @@
 Vectors of whole numbers get one more component, so that all have the same length M; then
 |q - x|^2 = |q|^2 + M^2 - 2 q.x, and the largest inner product is the smallest distance, which obeys the
 triangle inequality. Vectors are dealt to the nearest of a bounded number of pivots (cells, with covering
-radii), large cells are cut by a hash of the id, and each part becomes an M-tree: pages with a router, a
+radii), large cells are cut by a hash of the row, and each part becomes an M-tree: pages with a router, a
 covering radius and the distance to the parent's router, stored as rows. A query first searches one
 tree of its own cell. The score of its k-th hit then bounds the search elsewhere: cells whose ball lies
 beyond it are not visited, and inside a tree pages and entries are passed over by
@@ -29,9 +29,10 @@ from .common import prepared, stored
 PAGE, FAN = 64, 16       # entries of a leaf, and children of an inner page
 TREE = 4096              # vectors of a tree, about
 MOST_PIVOTS = 128
+QUERIES = 8192           # queries that meet a tree in one task, about
 _SLACK = 1e-6
 
-_VECTORS = "vec_id long, vector binary, norm double, cell int, gap double"
+_VECTORS = "vec_id long, row long, vector binary, norm double, cell int, gap double"
 _PAGES = ("cell int, part int, page int, parent int, router binary, radius double, parent_gap double, "
           "ids binary, vectors binary, gaps binary")
 _HITS = "query_id long, vec_id long, score long"
@@ -147,8 +148,11 @@ def _search(k: int, norm2: float, dimension: int):
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
-    """(query_id, rank, vec_id, score) over ``vectors`` (vec_id, v); queries are its rows by ``is_query``."""
-    spark = prepared(vectors.sparkSession)
+    """(query_id, rank, vec_id, score) over ``vectors`` (vec_id, v); queries are its rows by ``is_query``.
+
+    A task holds one tree and one block of queries, so its memory depends on neither table's size.
+    """
+    prepared(vectors.sparkSession)
     size = vectors.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d"), F.max(F.aggregate(
         "v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)).alias("m")).first()
     dimension, norm2 = max(size["d"] or 0, 1), float(size["m"] or 0.0)
@@ -166,11 +170,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
                 own[i, :len(v)] = v
             lifted = _lifted(own, norm2)
             gaps = np.stack([_gaps(lifted, p) for p in pivots], axis=1) if len(f) else np.zeros((0, 1))
-            yield pd.DataFrame({"vec_id": f["vec_id"], "vector": [v.tobytes() for v in own],
+            yield pd.DataFrame({"vec_id": f["vec_id"], "row": f["row"], "vector": [v.tobytes() for v in own],
                                 "norm": (own.astype(float) ** 2).sum(axis=1), "cell": gaps.argmin(axis=1),
                                 "gap": gaps.min(axis=1)})
 
-    placed = stored(vectors.mapInPandas(place, _VECTORS), "mtree-vectors")
+    # The row's number is written with it, so that repeated rows can be dealt apart.
+    placed = stored(vectors.withColumn("row", F.monotonically_increasing_id()).mapInPandas(place, _VECTORS),
+                    "mtree-vectors")
     # At most MOST_PIVOTS cells: their sizes, parts and covering radii.
     cells = {r["cell"]: (-(-r["n"] // TREE), r["radius"]) for r in placed.groupBy("cell").agg(
         F.count("*").alias("n"), F.max("gap").alias("radius")).collect()}
@@ -182,16 +188,19 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
         pages = build(frame["vec_id"].to_numpy(), found, norm2)
         return pd.DataFrame([(key[0], key[1], *p) for p in pages], columns=[c.split()[0] for c in _PAGES.split(", ")])
 
-    dealt = placed.withColumn("part", F.pmod(F.xxhash64("vec_id", "vector"), parts[F.col("cell")]).cast("int"))
+    dealt = placed.withColumn("part", F.pmod(F.xxhash64("vec_id", "row"), parts[F.col("cell")]).cast("int"))
     pages = stored(dealt.groupBy("cell", "part").applyInPandas(make, _PAGES), "mtree-pages")
 
     queries = placed.where(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(
         F.min(F.struct("vector", "norm", "cell")).alias("q")).select("query_id", "q.vector", "q.norm", "q.cell")
+    blocks = max(1, -(-queries.count() // QUERIES))
     home = queries.select("query_id", "vector", "cell", F.lit(0).alias("part"), F.lit(None).cast("long").alias("floor"))
 
     def hits(asked: DataFrame) -> DataFrame:
-        return pages.groupBy("cell", "part").cogroup(asked.groupBy("cell", "part")).applyInPandas(
-            _search(k, norm2, dimension), _HITS)
+        block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
+        trees = pages.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        return trees.groupBy("cell", "part", "block").cogroup(asked.withColumn("block", block).groupBy(
+            "cell", "part", "block")).applyInPandas(_search(k, norm2, dimension), _HITS)
 
     near = stored(hits(home), "mtree-home")
     floors = near.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).select(
@@ -215,4 +224,4 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
         onward, "query_id long, vector binary, cell int, part int, floor long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.union(hits(rest)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
-        "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score") if spark else near
+        "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

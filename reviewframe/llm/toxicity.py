@@ -12,8 +12,8 @@ collapse into one weight for every letter triple, exactly, so scoring is a sum o
 A text's value is the largest over its spans; a logistic curve, fitted on texts that were kept apart
 while training, turns it into 0 to 1.
 
-Only a bounded sample of labelled texts (``max_positive``, ``max_negative``) is fitted; every text is
-scored whole. Null and empty texts score as a text without a span. Without labels of both classes there
+Only a bounded sample of labelled texts (``max_positive``, ``max_negative``) is fitted, the least text of
+an id that repeats; every text is scored whole. Null and empty texts score as a text without a span. Without labels of both classes there
 is no model and every text scores 0.
 """
 
@@ -242,7 +242,9 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None,
         return None
     share = F.when(F.col("toxic") == 1, hashed_share("doc_id", min(1.0, max_positive / counts[1]))).otherwise(
         hashed_share("doc_id", min(1.0, max_negative / counts[0])))
-    sample = docs.select("doc_id", "text").join(F.broadcast(marked.where(share)), "doc_id")
+    # One text for each sampled id, however often the id occurs; the labels are max_positive + max_negative, about.
+    sample = docs.select("doc_id", "text").join(F.broadcast(marked.where(share)), "doc_id").groupBy(
+        "doc_id", "toxic").agg(F.min("text").alias("text"))
     schema = pa.schema([("toxic", pa.int32()), ("apart", pa.bool_()), ("spans", pa.string())])
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

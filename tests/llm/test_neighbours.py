@@ -102,8 +102,10 @@ def test_top_k(spark, monkeypatch):
     rows += [(300 + i, rows[0][1]) for i in range(120)]                       # one very common vector
     rows += [(900, None), (901, [1.0, None]), (902, [float("nan")]), (903, [float("inf")]), (None, rows[1][1]),
              (904, []), (905, [1.0]), (950, rows[3][1]), (950, rows[3][1])]
+    rows += [(77, rows[2][1])] * 150                                          # one row, many times over
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     monkeypatch.setattr(mtree, "TREE", 64)
+    monkeypatch.setattr(mtree, "QUERIES", 3)
     got = {}
     for r in mtree.top_k(mtree.whole_vectors(frame, "vec_id", "embedding"), F.col("vec_id") % 50 == 0).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
