@@ -17,8 +17,6 @@ of its own as a candidate, one query (of its smallest vector) and never its own
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -31,6 +29,7 @@ TREE = 4096              # vectors of a tree, about
 MOST_PIVOTS = 128
 QUERIES = 8192           # queries that meet a tree in one task, about
 _SLACK = 1e-6
+_STRIP, _PAIRS = 512, 16384  # queries that walk a tree together, distances taken at a time
 
 _VECTORS = "vec_id long, row long, vector binary, norm double, cell int, gap double"
 _PAGES = ("cell int, part int, page int, parent int, router binary, radius double, parent_gap double, "
@@ -93,57 +92,98 @@ class Tree:
         self.routers = np.stack([np.frombuffer(r) for r in pages["router"]])
         self.radius, self.up = pages["radius"].to_numpy(), pages["parent_gap"].to_numpy()
         parents = pages["parent"].to_numpy()
-        self.children = [np.flatnonzero(parents == i) for i in range(len(pages))]
+        self.below = np.argsort(parents, kind="stable")       # pages by parent
+        number = np.arange(len(pages))
+        self.first = np.searchsorted(parents[self.below], number)
+        self.children = np.searchsorted(parents[self.below], number, side="right") - self.first
         self.ids = [np.frombuffer(x, dtype=np.int64) for x in pages["ids"]]
         self.vectors = [np.frombuffer(x, dtype=np.int64).reshape(-1, dimension) for x in pages["vectors"]]
         self.gaps = [np.frombuffer(x) for x in pages["gaps"]]
 
-    def search(self, own: int, query: np.ndarray, k: int, norm2: float, floor: int | None) -> tuple:
-        """The k best (ids, scores), ties to smaller ids; scores below ``floor`` may be left out."""
-        point = np.append(query.astype(float), 0.0)
-        length2 = float((query.astype(float) ** 2).sum())
-        ids, scores = np.empty(0, np.int64), np.empty(0, np.int64)
-
-        def reach(score: int | None) -> float:
-            return np.inf if score is None else np.sqrt(max(length2 + norm2 - 2.0 * score, 0.0)) * (1 + _SLACK) + _SLACK
-
-        bound = reach(floor)
-        first = float(_gaps(self.routers[0], point))
-        heap = [(max(0.0, first - self.radius[0]), 0, first)]
-        while heap:
-            least, page, gap = heapq.heappop(heap)
-            if least > bound:
-                break
-            inner = self.children[page]
-            if len(inner):
-                inner = inner[np.abs(gap - self.up[inner]) - self.radius[inner] <= bound]
-                gaps = _gaps(self.routers[inner], point)
-                for i, g in zip(inner.tolist(), gaps.tolist()):
-                    lower = max(0.0, g - self.radius[i])
-                    if lower <= bound:
-                        heapq.heappush(heap, (lower, i, g))
-                continue
-            near = (np.abs(gap - self.gaps[page]) <= bound) & (self.ids[page] != own)
-            ids = np.concatenate([ids, self.ids[page][near]])
-            scores = np.concatenate([scores, self.vectors[page][near] @ query])
-            best = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[best], scores[best]
-            if len(ids) == k:
-                last = int(scores[-1])
-                bound = reach(last if floor is None else max(last, floor))
-        return ids, scores
+    def _leaves(self, points: np.ndarray, bound: np.ndarray) -> tuple:
+        """(query, leaf, distance to its router) that the bounds don't rule out, level by level."""
+        query, page = np.arange(len(points)), np.zeros(len(points), dtype=np.int64)
+        found = []
+        while len(query):
+            gap = np.concatenate([_gaps(points[query[at:at + _PAIRS]], self.routers[page[at:at + _PAIRS]])
+                                  for at in range(0, len(query), _PAIRS)])
+            keep = gap - self.radius[page] <= bound[query]
+            query, page, gap = query[keep], page[keep], gap[keep]
+            leaf = self.children[page] == 0
+            found.append((query[leaf], page[leaf], gap[leaf]))
+            query, page, gap = query[~leaf], page[~leaf], gap[~leaf]
+            n = self.children[page]
+            child = self.below[np.repeat(self.first[page] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            query, gap = np.repeat(query, n), np.repeat(gap, n)
+            near = np.abs(gap - self.up[child]) - self.radius[child] <= bound[query]  # no distance needed yet
+            query, page = query[near], child[near]
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def search(self, own: np.ndarray, queries: np.ndarray, k: int, norm2: float, floor: np.ndarray) -> tuple:
+        """(query, id, score): the k best of each query, ties to smaller ids.
+
+        Scores below ``floor`` (NaN: none) may be left out. A query reads its leaves best first, in
+        waves of 1, 2, 4, ... leaves, and its bound shrinks after each wave; queries that read the same
+        leaf do so in one matrix product.
+        """
+        points = np.hstack([queries.astype(float), np.zeros((len(queries), 1))])
+        length2 = (points ** 2).sum(axis=1)
+        least_score = np.where(np.isnan(floor), -np.inf, floor)
+        exact = norm2 < 2 ** 52  # whole numbers that floating point holds exactly
+        left = points[:, :-1] if exact else queries
+
+        def bounds() -> np.ndarray:
+            square = np.maximum(length2 + norm2 - 2 * np.where(np.isinf(least_score), 0, least_score), 0)
+            return np.where(np.isinf(least_score), np.inf, np.sqrt(square) * (1 + _SLACK) + _SLACK)
+
+        bound = bounds()
+        query, page, gap = self._leaves(points, bound)
+        least = np.maximum(gap - self.radius[page], 0)
+        order = np.lexsort((least, query))
+        query, page, gap, least = query[order], page[order], gap[order], least[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        best = [np.empty(0, np.int64)] * 3
+        done, width = 0, 1
+        while True:
+            open_ = (place >= done) & (least <= bound[query])
+            if not open_.any():
+                return tuple(best)
+            wave = np.flatnonzero(open_ & (place < done + width))
+            wave = wave[np.argsort(page[wave], kind="stable")]
+            parts = [best]
+            for at in np.split(wave, np.flatnonzero(np.diff(page[wave])) + 1) if len(wave) else []:
+                leaf, who = page[at[0]], query[at]
+                near = np.abs(gap[at, None] - self.gaps[leaf]) <= bound[who, None]
+                some = np.flatnonzero(near.any(axis=0))
+                if not len(some):
+                    continue
+                scores = left[who] @ self.vectors[leaf][some].T.astype(left.dtype)
+                ids = self.ids[leaf][some]
+                r, c = np.nonzero(near[:, some] & (scores >= least_score[who, None]) & (ids != own[who, None]))
+                parts.append([who[r], ids[c], scores[r, c].astype(np.int64)])
+            best = [np.concatenate(x) for x in zip(*parts)]
+            order = np.lexsort((best[1], -best[2], best[0]))
+            order = order[np.arange(len(order)) - np.searchsorted(best[0][order], best[0][order]) < k]
+            best = [x[order] for x in best]
+            last = np.arange(len(order)) - np.searchsorted(best[0], best[0]) == k - 1
+            at = best[0][last]
+            least_score[at] = np.maximum(least_score[at], best[2][last])
+            bound = bounds()
+            done, width = done + width, 2 * width
 
 
 def _search(k: int, norm2: float, dimension: int):
     def run(pages: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")]
         if len(pages) and len(queries):
             tree = Tree(pages, dimension)
-            for own, vector, floor in zip(queries["query_id"], queries["vector"], queries["floor"]):
-                ids, scores = tree.search(own, np.frombuffer(vector, dtype=np.int64), k, norm2,
-                                          None if pd.isna(floor) else int(floor))
-                out.append(pd.DataFrame({"query_id": own, "vec_id": ids, "score": scores}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+            for at in range(0, len(queries), _STRIP):
+                part = queries.iloc[at:at + _STRIP]
+                own = part["query_id"].to_numpy()
+                vectors = np.stack([np.frombuffer(v, dtype=np.int64) for v in part["vector"]])
+                who, ids, scores = tree.search(own, vectors, k, norm2, part["floor"].to_numpy(dtype=float, na_value=np.nan))
+                out.append(pd.DataFrame({"query_id": own[who], "vec_id": ids, "score": scores}))
+        return pd.concat(out)
     return run
 
 
