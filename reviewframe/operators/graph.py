@@ -8,35 +8,25 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fx
 from ..session import materialise
 
-# Beyond this depth each frontier is written out, so the plan does not grow with the depth.
-LAZY_DEPTH = 3
-
-
 def _walk(edges: DataFrame, seeds: DataFrame, max_depth: int, salts: int) -> DataFrame:
     """Shortest hop counts along ``edges`` (graph_id, here, there) from each seed.
 
-    A hub (a name everybody calls) may own a large share of the edges. The join's output is shuffled
-    again by other keys, so the adaptive planner is free to split the hub's partition. With ``salts``
-    above 1 the edges are also salted by their far end and the frontier is repeated per salt.
+    A hub (a name everybody calls) may own a large share of the edges, so these are salted by their
+    far end and the frontier, which is smaller, is repeated per salt. Every hop is written to the
+    shared folder: later hops and the result read it instead of walking again.
     """
-    keys = ["graph_id", "here"]
-    if salts > 1:
-        keys.append("salt")
-        edges = edges.withColumn("salt", F.pmod(F.xxhash64("there"), F.lit(salts)))
+    edges = edges.withColumn("salt", F.pmod(F.xxhash64("there"), F.lit(salts)))
+    every_salt = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
     frontier = seeds.select("graph_id", F.col("name").alias("seed"), "name")
     reached = None
     for hop in range(1, max_depth + 1):
-        spread = frontier.withColumnRenamed("name", "here")
-        if salts > 1:
-            spread = spread.withColumn("salt", F.explode(F.sequence(
-                F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-        step = (spread.join(edges, keys)
+        spread = frontier.withColumnRenamed("name", "here").withColumn("salt", every_salt)
+        step = (spread.join(edges, ["graph_id", "here", "salt"])
                 .select("graph_id", "seed", F.col("there").alias("name"))
                 .filter(F.col("name") != F.col("seed")).distinct())
         if reached is not None:
             step = step.join(reached, ["graph_id", "seed", "name"], "left_anti")
-        if max_depth > LAZY_DEPTH:
-            step = materialise(step.sparkSession, step, f"frontier-{hop}")
+        step = materialise(step.sparkSession, step, f"frontier-{hop}")
         found = step.withColumn("hops", F.lit(hop))
         reached = found if reached is None else reached.unionByName(found)
         frontier = step
@@ -44,13 +34,15 @@ def _walk(edges: DataFrame, seeds: DataFrame, max_depth: int, salts: int) -> Dat
 
 
 def blast_radius(edges: DataFrame, seeds: DataFrame, max_depth: int = fx.BLAST_DEPTH,
-                 salts: int = 1) -> DataFrame:
+                 salts: int = 4) -> DataFrame:
     """(graph_id, seed, name, direction, hops) within ``max_depth`` of each seed.
 
     Callees and callers are walked apart and never mixed; seeds outside the graph give nothing.
+    Distinct edges and seeds are written once and read by every hop of both walks.
     """
-    pairs = edges.select("graph_id", "src", "dst").filter("src <> dst").distinct()
-    roots = seeds.select("graph_id", "name").distinct()
+    spark = edges.sparkSession
+    pairs = materialise(spark, edges.select("graph_id", "src", "dst").filter("src <> dst").distinct(), "edges")
+    roots = materialise(spark, seeds.select("graph_id", "name").distinct(), "seeds")
     down = _walk(pairs.select("graph_id", F.col("src").alias("here"), F.col("dst").alias("there")),
                  roots, max_depth, salts).withColumn("direction", F.lit("callee"))
     up = _walk(pairs.select("graph_id", F.col("dst").alias("here"), F.col("src").alias("there")),

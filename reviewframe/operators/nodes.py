@@ -91,7 +91,7 @@ def _extract(files: DataFrame, extractors: dict[str, Callable[[str], list[dict]]
         try:
             return [{**base, **node} for node in extractors[file["ext"]](file["content"])]
         except Exception as e:  # one unreadable file must not fail the job
-            return [{**base, "error": f"{type(e).__name__}: {e}"[:300]}]
+            return [{**base, "error": f"{type(e).__name__}: {e}"}]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         warnings.simplefilter("ignore", SyntaxWarning)
@@ -126,6 +126,16 @@ def quarantined_files(files: DataFrame,
             .select("repo", "ref", "file_path", "error"))
 
 
+def changed_code(code: DataFrame, files: DataFrame, reviews: DataFrame) -> DataFrame:
+    """The source files that a review changes, each once: what has to be parsed for ``modified_nodes``.
+
+    ``files`` has review_id and filename, one row or more for each changed file.
+    """
+    changed = (files.select("review_id", F.col("filename").alias("file_path"))
+               .join(reviews.select("review_id", "repo", "ref"), "review_id"))
+    return code.join(changed, ["repo", "ref", "file_path"], "left_semi")
+
+
 def modified_nodes(nodes: DataFrame, lines: DataFrame, reviews: DataFrame) -> DataFrame:
     """Definitions whose span holds an added line, once per review; nested ones both count.
 

@@ -119,30 +119,18 @@ def with_prev(lines: DataFrame) -> DataFrame:
     return lines.withColumn("prev_content", F.when(adjacent, F.lag("content").over(above)))
 
 
-def known_apis(policies: DataFrame, most: int = 1000) -> list[str] | None:
-    """Every name some policy forbids, or None when there are more than ``most``."""
-    names = policies.select(F.explode(F.col("security")["forbidden_apis"]).alias("api")).distinct()
-    found = [r.api for r in names.limit(most + 1).collect()]
-    return sorted(found) if len(found) <= most else None
-
-
-def arm(source: DataFrame, policies: DataFrame) -> DataFrame:
-    """Adds the ``forbidden_apis`` a scan looks for. They are a literal list, so the bulk data is not
-    shuffled; only when policies forbid more distinct names than a scan should carry does the source
-    meet them in a join."""
-    apis = known_apis(policies)
-    if apis is None:
-        return with_apis(source, policies)
-    return source.withColumn("forbidden_apis",
-                             F.array(*[F.lit(a) for a in apis]).cast("array<string>"))
-
-
 def with_apis(lines: DataFrame, policies: DataFrame) -> DataFrame:
-    """Adds the review's ``forbidden_apis`` unless they came along with the files."""
+    """Adds the review's ``forbidden_apis`` unless they came along with the files.
+
+    A review without a policy row has the default list. The planner broadcasts the lists where they
+    are small and else meets them by review, splitting large reviews.
+    """
     if "forbidden_apis" in lines.columns:
         return lines
+    default = default_group("security").cast(policies.schema["security"].dataType)
     apis = policies.select("review_id", F.col("security")["forbidden_apis"].alias("forbidden_apis"))
-    return lines.join(apis, "review_id")
+    return lines.join(apis, "review_id", "left").withColumn(
+        "forbidden_apis", F.coalesce("forbidden_apis", default["forbidden_apis"]))
 
 
 def _g1(lines: DataFrame, policies: DataFrame) -> DataFrame:
@@ -292,7 +280,7 @@ def hunks_of_lines(lines: DataFrame) -> DataFrame:
 def rule_scan(source: DataFrame, nodes: DataFrame | None, policies: DataFrame) -> DataFrame:
     """All rules over hunks (``diffs.hunk_table``) or long lines, and over definitions."""
     hunks = source if "hunk" in source.columns else hunks_of_lines(source)
-    found = scan_hunks(arm(hunks, policies))
+    found = scan_hunks(with_apis(hunks, policies))
     if nodes is not None:
         found = found.unionByName(scan_nodes(nodes))
     return gate(found, policies)

@@ -17,11 +17,9 @@ from ..functions.text import embed_text, search_result_block
 from ..functions.vector import is_zero
 from ..functions.windows import first_n
 
-# A query set is shipped to every task only up to this size; beyond it both sides are blocked.
-BROADCAST_QUERIES = 4096
-BROADCAST_BYTES = 64 << 20
+# Rows of a block: a task holds one block of each side and scores of a strip of queries.
 CHUNK_BLOCK = 20000
-QUERY_BLOCK = 2048
+QUERY_BLOCK = 16384
 SCORE_CELLS = 4_000_000
 
 
@@ -142,39 +140,6 @@ def _hits(query_ids: list, chunk_ids: list, scores: list) -> pa.RecordBatch:
          pa.array(joined(scores, np.float64))], schema=_HIT)
 
 
-def _scan_with(query_blocks, k: int):
-    """Scan of chunks against a shipped query block; each task keeps k hits per query."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups = query_blocks.value
-        best: dict = {}
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            ids = batch.column("chunk_id").to_numpy()
-            rows = _matrix(batch.column("embedding"))
-            owners = batch.column("by").dictionary_encode()
-            codes = owners.indices.to_numpy()
-            for code, owner in enumerate(owners.dictionary.to_pylist()):
-                if owner not in groups:
-                    continue
-                query_ids, queries = groups[owner]
-                mine = np.flatnonzero(codes == code)
-                found = _best_per_query(queries, rows[mine], ids[mine], k)
-                for query_id, (cand, scores) in zip(query_ids, found):
-                    old = best.get(query_id)
-                    if old is not None:
-                        cand = np.concatenate([old[0], cand])
-                        scores = np.concatenate([old[1], scores])
-                        keep = _best(scores, cand, k)
-                        cand, scores = cand[keep], scores[keep]
-                    best[query_id] = (cand, scores)
-        yield _hits([np.full(len(c), q, dtype=np.int64) for q, (c, _) in best.items()],
-                    [c for c, _ in best.values()], [s for _, s in best.values()])
-
-    return scan
-
-
 def _match_blocks(k: int):
     """One (chunk block, query block) pair to its k hits per query."""
 
@@ -192,16 +157,22 @@ def _match_blocks(k: int):
     return match
 
 
-def _knn_blocked(queries: DataFrame, chunks: DataFrame, k: int, chunk_block: int,
-                 query_block: int) -> DataFrame:
+def _block_hits(queries: DataFrame, chunks: DataFrame, k: int, chunk_block: int,
+                query_block: int, one_owner: bool) -> DataFrame:
     """Both sides cut into blocks of bounded size, so a repo of any size spreads over many tasks."""
     def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
         return df.groupBy("by").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias(name))
 
-    shape = blocks(chunks, chunk_block, "nc").join(blocks(queries, query_block, "nq"), "by")
+    if one_owner:  # all rows have the same key: two counts instead of a join on it
+        shape = {name: F.lit(max(1, -(-df.count() // size))) for df, size, name in
+                 ((chunks, chunk_block, "nc"), (queries, query_block, "nq"))}
+        sized = lambda df: df.withColumns(shape)
+    else:
+        by_owner = blocks(chunks, chunk_block, "nc").join(blocks(queries, query_block, "nq"), "by")
+        sized = lambda df: df.join(by_owner, "by")
 
     def place(df: DataFrame, key: str, own: str, own_n: str, other: str, other_n: str) -> DataFrame:
-        return (df.join(shape, "by")
+        return (sized(df)
                 .withColumn(own, F.pmod(F.xxhash64(key), F.col(own_n)).cast("int"))
                 .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)))
                 .select("by", "cb", "qb", key, "embedding"))
@@ -212,14 +183,12 @@ def _knn_blocked(queries: DataFrame, chunks: DataFrame, k: int, chunk_block: int
 
 
 def knn(queries: DataFrame, chunks: DataFrame, k: int = fx.SEARCH_K, by: str | None = None,
-        broadcast_queries: int = BROADCAST_QUERIES, chunk_block: int = CHUNK_BLOCK,
-        query_block: int = QUERY_BLOCK) -> DataFrame:
+        chunk_block: int = CHUNK_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """Exact top ``k`` chunks per query by cosine score, ties by chunk id; ``by`` limits a query to
     chunks with the same value (the repo). Returns (query_id, chunk_id, score, rank).
 
-    Pairs exist only inside a numpy block: a task hands on k hits per query. The query set is
-    shipped to the chunk scan when it is measured to be small (no shuffle of the chunks at all);
-    otherwise both sides meet in bounded blocks.
+    Both sides meet in blocks of bounded size. Pairs exist only inside a numpy block: a task hands on
+    k hits per query. Chunks travel once for each ``query_block`` queries of their owner.
     """
     owner = (lambda df: F.col(by).cast("string")) if by else (lambda df: F.lit("*"))
     # Fresh aliases: both sides may come from one table.
@@ -228,18 +197,7 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int = fx.SEARCH_K, by: str | N
         F.col("by").isNotNull() & (F.size("embedding") > 0))
     c = chunks.select(F.col("chunk_id").alias("chunk_id"), owner(chunks).alias("by"), vec).filter(
         F.col("by").isNotNull() & (F.size("embedding") > 0))
-    few = q.limit(broadcast_queries + 1).toArrow()
-    if few.num_rows <= broadcast_queries and few.nbytes <= BROADCAST_BYTES:
-        groups = {}
-        owners = np.array(few.column("by").to_pylist(), dtype=object)
-        ids, rows = few.column("query_id").to_numpy(), _matrix(few.column("embedding"))
-        for name in set(owners.tolist()):
-            at = np.flatnonzero(owners == name)
-            groups[name] = (ids[at].tolist(), rows[at])
-        shipped = queries.sparkSession.sparkContext.broadcast(groups)
-        hits = c.mapInArrow(_scan_with(shipped, k), _HIT_DDL)
-    else:
-        hits = _knn_blocked(q, c, k, chunk_block, query_block)
+    hits = _block_hits(q, c, k, chunk_block, query_block, by is None)
     return first_n(hits, ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k)
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..operators.comments import noise_control, review_summary, suppress_repeats
 from ..operators.diffs import hunk_table, touched_lines
 from ..operators.files import scannable_files
-from ..operators.nodes import extract_nodes, modified_nodes
-from ..operators.rules import arm, gate, scan_hunks, scan_nodes
+from ..operators.nodes import changed_code, extract_nodes, modified_nodes
+from ..operators.rules import gate, scan_hunks, scan_nodes, with_apis
 from ..session import materialise
 
 
@@ -17,13 +17,14 @@ def raw_findings(files: DataFrame, policies: DataFrame, code: DataFrame | None =
                  reviews: DataFrame | None = None) -> DataFrame:
     """Rule findings on the added lines, and on changed definitions when ``code`` is given.
 
-    The scan runs ahead of the policies: path globs, rule switches and each policy's own forbidden
-    names are applied to the hits, so patches, the bulk of the data, are not shuffled. A finding on
+    Each review's forbidden names come along with its files; path globs and rule switches are applied
+    to the hits. Only the code of changed files is parsed. A finding on
     a definition stays only if its line is part of the diff; line findings always are.
     """
-    found = scan_hunks(hunk_table(arm(scannable_files(files), policies), ["forbidden_apis"]))
+    found = scan_hunks(hunk_table(with_apis(scannable_files(files), policies), ["forbidden_apis"]))
     if code is not None:
-        changed = modified_nodes(extract_nodes(code), touched_lines(scannable_files(files)), reviews)
+        lines = touched_lines(scannable_files(files))
+        changed = modified_nodes(extract_nodes(changed_code(code, files, reviews)), lines, reviews)
         found = found.unionByName(scan_nodes(changed.filter("start_added")))
     return gate(found, policies, paths=True)
 

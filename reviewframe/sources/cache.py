@@ -7,18 +7,27 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 
 def cache_manifest(spark: SparkSession, dirs: list[str], cutoff: datetime) -> DataFrame:
     """(path, modified_at) of files under the distinct ``dirs`` last written before ``cutoff``.
 
+    A folder that doesn't exist holds no file.
+
     The content column is never selected, so no file is read.
     """
     if cutoff.tzinfo is None:
         cutoff = cutoff.replace(tzinfo=timezone.utc)
     folders = sorted({d.rstrip("/") for d in dirs})
-    listed = [spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(d)
-              .select("path", "modificationTime") for d in folders]
+    listed = [spark.createDataFrame([], "path string, modificationTime timestamp")]
+    for d in folders:
+        try:
+            listed.append(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(d)
+                          .select("path", "modificationTime"))
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
     everything = reduce(DataFrame.unionByName, listed).distinct()
     return everything.filter(F.col("modificationTime") < F.lit(cutoff)).select(
         "path", F.col("modificationTime").alias("modified_at"))

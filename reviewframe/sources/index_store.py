@@ -14,24 +14,46 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.CHUNK).parquet(path)
 
 
-def index_replace(chunks: DataFrame, path: str) -> DataFrame:
-    """Replaces the index of every repo in ``chunks`` and returns the rows deleted per repo.
-
-    Only the partitions of those repos are rewritten, so a repeated run gives the same table. The
-    rebalance hint lets a repo of any size be written by several tasks. A repo that must end up
-    empty is removed by dropping its partition.
-    """
-    spark = chunks.sparkSession
+def _old_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The repo of every stored chunk; none where there is no index yet."""
     try:
-        old = read_index(spark, path).select("repo")
-        touched = chunks.select("repo").distinct()
-        # Counted now: the write below replaces what this would read.
-        counted = materialise(spark, old.join(touched, "repo", "left_semi").groupBy("repo").agg(
-            F.count(F.lit(1)).alias("deleted")), "deleted")
+        return read_index(spark, path).select("repo")
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        counted = spark.createDataFrame([], "repo STRING, deleted BIGINT")
-    (chunks.hint("rebalance", "repo").write.mode("overwrite")
+        return spark.createDataFrame([], "repo STRING")
+
+
+def clear_repo(spark: SparkSession, path: str, repo: str) -> int:
+    """Removes a repo's partition from the index; returns the number of chunks it held."""
+    held = _old_rows(spark, path).filter(F.col("repo").eqNullSafe(F.lit(repo))).count()
+    jvm = spark._jvm
+    name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString("repo", repo)
+    folder = jvm.org.apache.hadoop.fs.Path(path, name)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    spark.catalog.refreshByPath(path)
+    return held
+
+
+def index_replace(chunks: DataFrame, path: str, repos: DataFrame | None = None) -> DataFrame:
+    """Replaces the index of every repo in ``chunks`` and returns the rows deleted per repo.
+
+    ``repos`` (repo) names all repos that were indexed; those without a chunk left end up empty. Only
+    the partitions of these repos are rewritten, so a repeated run gives the same table. The rebalance
+    hint lets a repo of any size be written by several tasks. Chunks, which are costly, are computed
+    once: written aside, then counted and copied from there.
+    """
+    spark = chunks.sparkSession
+    new = materialise(spark, chunks.hint("rebalance", "repo"), "chunks")
+    filled = new.select("repo").distinct()
+    touched = filled if repos is None else filled.union(repos.select("repo")).distinct()
+    # Counted now: the write below replaces what this would read.
+    counted = materialise(spark, _old_rows(spark, path).join(touched, "repo", "left_semi").groupBy("repo").agg(
+        F.count(F.lit(1)).alias("deleted")), "deleted")
+    (new.hint("rebalance", "repo").write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("repo").parquet(path))
+    if repos is not None:
+        # One folder to remove for each emptied repo; names arrive a partition at a time.
+        for row in counted.join(filled, "repo", "left_anti").select("repo").toLocalIterator():
+            clear_repo(spark, path, row.repo)
     return counted

@@ -495,8 +495,9 @@ def quarantined_files(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def modified_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    found = nd.modified_nodes(nd.extract_nodes(fx_.source_tree(spark, sf)),
-                              fx_.touched(spark, sf), fx_.source_reviews(spark, sf))
+    lines, reviews = fx_.touched(spark, sf), fx_.source_reviews(spark, sf)
+    code = nd.changed_code(fx_.source_tree(spark, sf), lines, reviews)
+    found = nd.modified_nodes(nd.extract_nodes(code), lines, reviews)
     return found.select("review_id", "file_path", "node_name", "start_line", "start_added")
 
 
@@ -561,8 +562,7 @@ def knn_by_repo(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def knn_blocked(spark: SparkSession, sf: str) -> DataFrame:
     queries, chunks = fx_.vectors(spark, sf)
-    hits = ve.knn(queries, chunks, 5, by="repo", broadcast_queries=0, chunk_block=100,
-                  query_block=50)
+    hits = ve.knn(queries, chunks, 5, by="repo", chunk_block=100, query_block=50)
     return hits.withColumn("score", F.round("score", 6))
 
 

@@ -16,7 +16,7 @@ from reviewframe.operators import vectors as ve
 from reviewframe.operators import diffs
 from reviewframe.plans.index import build_index
 from reviewframe.plans.review import review_changes
-from reviewframe.sources.index_store import index_replace, read_index
+from reviewframe.sources.index_store import clear_repo, index_replace, read_index
 
 SOURCE = '''import os
 
@@ -102,9 +102,11 @@ def test_blast_radius_against_brute_force(spark):
     seeds = [(g, n) for g in "gh" for n in ("n1", "n2", "hub", "gone")]
     df = spark.createDataFrame([(*e, "CALLS") for e in edges], schemas.EDGE)
     sd = spark.createDataFrame(seeds, "graph_id string, name string")
-    for depth, salts in ((1, 1), (2, 1), (2, 8), (4, 1)):
-        got = set(rows(gr.blast_radius(df, sd, depth, salts)))
-        assert got == brute_radius(edges, seeds, depth)
+    for depth, salts in ((1, 1), (2, 1), (2, 8), (4, 4)):
+        radius = gr.blast_radius(df, sd, depth, salts)
+        assert set(rows(radius)) == brute_radius(edges, seeds, depth)
+        plan = radius._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 2 * depth
 
 
 def vectors(spark, n, dim, groups, seed):
@@ -127,14 +129,14 @@ def brute_knn(data, groups, k):
     return out
 
 
-def test_knn_both_ways_against_brute_force(spark):
+def test_knn_in_blocks_against_brute_force(spark):
     data, df = vectors(spark, 120, 8, 5, 1)
     q = df.withColumnRenamed("id", "query_id")
     c = df.withColumnRenamed("id", "chunk_id")
     pick = lambda hits: {(r.query_id, r.chunk_id, r["rank"]) for r in hits.collect()}
     assert pick(ve.knn(q, c, 4)) == brute_knn(data, None, 4)
     assert pick(ve.knn(q, c, 50, by="repo")) == brute_knn(data, 5, 50)
-    blocked = dict(broadcast_queries=0, chunk_block=7, query_block=9)
+    blocked = dict(chunk_block=7, query_block=9)
     assert pick(ve.knn(q, c, 4, **blocked)) == brute_knn(data, None, 4)
     assert pick(ve.knn(q, c, 50, by="repo", **blocked)) == brute_knn(data, 5, 50)
     assert ve.knn(q, c.filter("false"), 3).count() == 0
@@ -142,6 +144,16 @@ def test_knn_both_ways_against_brute_force(spark):
     assert plan.count("WindowGroupLimit") == 2 and "Cartesian" not in plan
 
 
+def test_knn_ties_of_copies_do_not_depend_on_blocks(spark):
+    rng = np.random.default_rng(4)
+    base = [[float(np.float32(x)) for x in v] for v in rng.normal(size=(6, 16))]
+    df = spark.createDataFrame([(i, base[i % 6]) for i in range(180)], "id long, embedding array<float>")
+    q, c = df.withColumnRenamed("id", "query_id"), df.withColumnRenamed("id", "chunk_id")
+    for blocks in ({}, dict(chunk_block=11, query_block=13)):
+        got = {(r.query_id, r["rank"]): r.chunk_id for r in ve.knn(q, c, 5, **blocks).collect()}
+        assert got == {(i, n + 1): i % 6 + 6 * n for i in range(180) for n in range(5)}
+
+
 def test_vector_scalars(spark):
     df = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0]), ([0.0, 0.0], [1.0, 0.0])],
                                "a array<float>, b array<float>")
@@ -183,6 +195,11 @@ def test_index(spark, tmp_path):
     assert rows(index_replace(other, path)) == []
     assert rows(index_replace(chunks.filter("node_name = 'h'"), path)) == [("o", 2)]
     assert rows(ve.index_size(read_index(spark, path))) == [("o", 1), ("p", 2)]
+    both = spark.createDataFrame([("o",), ("p",), ("new",)], "repo string")
+    assert rows(index_replace(chunks, path, both)) == [("o", 1), ("p", 2)]
+    assert rows(ve.index_size(read_index(spark, path))) == [("o", 2)]
+    assert clear_repo(spark, path, "o") == 2 and clear_repo(spark, path, "o") == 0
+    assert read_index(spark, path).count() == 0
 
 
 CODE = ["for x in xs:", "    db.execute(q)", "    for y in db.query(x):", "        find(y)",
@@ -251,6 +268,8 @@ def test_whole_review(spark):
         assert (got.found, got.blocker, got.posted, got.files_flagged) == (5, 2, 5, 1)
     posted = spark.createDataFrame(
         [("r", 1, "f.py", "**[INFO] Review**\n\nLine 5: [G9] Unreachable code", None)], schemas.POSTED)
+    nobody = policies(spark).filter("false")
+    assert {r.rule for r in review_changes(changed, nobody)[0].collect()} == {"G1", "G9"}
     final, _ = review_changes(changed, policies(spark, '{"max_comments": 2}'), code, reviews, posted)
     assert [(r.rule, r.line) for r in final.orderBy("seq").collect()] == [("G7", 1), ("G8", 1)]
 
