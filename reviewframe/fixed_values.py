@@ -76,9 +76,6 @@ DEDUP_PREFIX_CHARS = 50
 MAX_FILE_CHARS = 50000
 MIN_CHUNK_CHARS = 100
 MAX_CHUNK_CHARS = 3000
-MAX_STORED_CHARS = 5000
-EMBED_DOCUMENT_CHARS = 8000
-EMBED_QUERY_CHARS = 2000
 EMBED_WIDTH = 384
 SEARCH_K = 5
 SEARCH_K_TOOL = 3

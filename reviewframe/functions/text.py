@@ -117,12 +117,13 @@ def append_description(body: Column, text: Column, marker: str) -> Column:
 
 
 def embed_text(content: Column, node_type: Column | None = None, node_name: Column | None = None,
-               budget: int = fx.EMBED_DOCUMENT_CHARS) -> Column:
-    """Text handed to an encoder: one line, cut to ``budget`` characters."""
+               budget: int | None = None) -> Column:
+    """Text handed to an encoder: one line, whole unless a ``budget`` of characters is given."""
     text = content
     if node_type is not None:
         text = F.concat(node_type, F.lit(" "), node_name, F.lit(": "), content)
-    return F.substring(F.replace(text, F.lit("\n"), F.lit(" ")), 1, budget)
+    line = F.replace(text, F.lit("\n"), F.lit(" "))
+    return line if budget is None else F.substring(line, 1, budget)
 
 
 def parse_ts(text: Column) -> Column:

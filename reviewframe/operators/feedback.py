@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def first_review(service: str) -> Column:
+    return F.lit(f"This is the first {service} review on this PR.")
+
+
 def feedback_summary(service: str) -> Column:
     told = F.concat(
         F.lit(f"FEEDBACK CONTEXT: {service} previously posted "),
@@ -14,8 +18,7 @@ def feedback_summary(service: str) -> Column:
         F.col("open").cast("string"), F.lit(" are still open. Previously flagged files: "),
         F.array_join("previously_flagged_files", ", "),
         F.lit(". Avoid re-posting the same issues on unchanged lines."))
-    return F.when(F.col("total_previous") > 0, told).otherwise(
-        F.lit(f"This is the first {service} review on this PR."))
+    return F.when(F.col("total_previous") > 0, told).otherwise(first_review(service))
 
 
 def feedback_stats(posted: DataFrame, marker: str, service: str = "the reviewer") -> DataFrame:

@@ -66,9 +66,11 @@ def reviewable_files(files: DataFrame, policies: DataFrame | None = None,
 
 
 def code_files(tree: DataFrame, exts: list[str] = fx.INDEX_EXTENSIONS_MEMORY,
-               max_files: int = 50, max_bytes: int | None = None) -> DataFrame:
-    """First ``max_files`` supported source files per (repo, ref) in tree order."""
+               max_files: int | None = None, max_bytes: int | None = None) -> DataFrame:
+    """Supported source files; with ``max_files`` the first ones per (repo, ref) in tree order."""
     kept = tree.filter((F.col("kind") == "blob") & extension(F.col("file_path")).isin(exts))
     if max_bytes is not None:
         kept = kept.filter(F.col("size") < max_bytes)
+    if max_files is None:
+        return kept
     return first_n(kept, ["repo", "ref"], [F.col("tree_pos")], max_files, "_rn").drop("_rn")

@@ -60,6 +60,22 @@ def blast_parts(radius: DataFrame, nodes: DataFrame, seeds: DataFrame) -> DataFr
         F.concat(F.lit("Dependency: "), "name", F.lit("\n"), "content").alias("part"))
 
 
+def review_parts(radius: DataFrame, nodes: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(review_id, graph_id, name, part): what ``blast_parts`` gives, for each review's own seeds.
+
+    ``seeds`` has review_id, graph_id and name.
+    """
+    own = seeds.select("review_id", "graph_id", "name").distinct()
+    near = (radius.select("graph_id", "seed", "name")
+            .join(own.withColumnRenamed("name", "seed"), ["graph_id", "seed"])
+            .select("review_id", "graph_id", "name").distinct())
+    outside = near.join(own, ["review_id", "graph_id", "name"], "left_anti")
+    described = nodes.select("graph_id", "name", "content").filter(F.length("content") > 0)
+    return outside.join(described, ["graph_id", "name"]).select(
+        "review_id", "graph_id", "name",
+        F.concat(F.lit("Dependency: "), "name", F.lit("\n"), "content").alias("part"))
+
+
 def blast_context(radius: DataFrame, nodes: DataFrame, seeds: DataFrame) -> DataFrame:
     """One text per graph, neighbours in name order. ``blast_parts`` has them as rows."""
     parts = blast_parts(radius, nodes, seeds)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fx
 from ..functions.text import classify_error
 from ..functions.windows import first_n
+from .feedback import first_review
 
 # --- fixed values: patch blocks -------------------------------------------------------------
 PLAIN_BLOCK = ("File: ", "\n", "", "\n")
@@ -46,17 +47,19 @@ def review_message(diff: Column, context: Column, policy: Column, feedback: Colu
 
 
 def review_inputs(diffs: DataFrame, context: DataFrame, policies: DataFrame,
-                  feedback: DataFrame) -> DataFrame:
-    """Per changed file: its added lines, and its review's context, rules and feedback.
+                  feedback: DataFrame, service: str = "the reviewer") -> DataFrame:
+    """Per changed file: its added lines and context, and its review's rules and feedback.
 
-    ``diffs`` (review_id, filename, added_lines), ``context`` (review_id, context), ``policies``
-    (review_id, policy_text), ``feedback`` (review_id, summary).
+    ``diffs`` (review_id, filename, added_lines), ``context`` (review_id[, filename], context),
+    ``policies`` (review_id, policy_text), ``feedback`` (review_id, summary); a review without
+    feedback is told to be the first one.
     """
     blank = F.lit("")
-    per_review = (policies.select("review_id", "policy_text")
-                  .join(context.select("review_id", "context"), "review_id", "left")
-                  .join(feedback.select("review_id", "summary"), "review_id", "left"))
-    joined = diffs.join(per_review, "review_id", "left")
+    place = [c for c in ("review_id", "filename") if c in context.columns]
+    joined = (diffs.join(policies.select("review_id", "policy_text"), "review_id", "left")
+              .join(feedback.select("review_id", "summary"), "review_id", "left")
+              .join(context.select(*place, "context"), place, "left")
+              .withColumn("summary", F.coalesce("summary", first_review(service))))
     parts = [F.coalesce(F.col(c), blank) for c in ("added_lines", "context", "policy_text",
                                                    "summary")]
     return joined.withColumn("message", review_message(*parts))

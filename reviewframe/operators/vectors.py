@@ -24,18 +24,23 @@ SCORE_CELLS = 4_000_000
 
 
 # --- admission ---------------------------------------------------------------------------------
-def admit_files(files: DataFrame) -> DataFrame:
-    return files.filter((F.length("content") > 0) & (F.length("content") <= fx.MAX_FILE_CHARS))
+def admit_files(files: DataFrame, max_chars: int | None = None) -> DataFrame:
+    kept = files.filter(F.length("content") > 0)
+    return kept if max_chars is None else kept.filter(F.length("content") <= max_chars)
 
 
-def admit_chunks(nodes: DataFrame, mode: str = "memory") -> DataFrame:
-    """memory: over 100 characters, cut to 3000. table: non-empty and at most 3000 characters."""
+def admit_chunks(nodes: DataFrame, mode: str = "memory", max_chars: int | None = None) -> DataFrame:
+    """memory: over 100 characters, cut to ``max_chars``. table: non-empty, longer ones left out.
+
+    Without ``max_chars`` every chunk stays whole.
+    """
     size = F.length("content")
     if mode == "memory":
-        return (nodes.filter(size > fx.MIN_CHUNK_CHARS)
-                .withColumn("content", F.substring("content", 1, fx.MAX_CHUNK_CHARS)))
-    return (nodes.filter((size > 0) & (size <= fx.MAX_CHUNK_CHARS))
-            .withColumn("content", F.substring("content", 1, fx.MAX_STORED_CHARS)))
+        kept = nodes.filter(size > fx.MIN_CHUNK_CHARS)
+        return kept if max_chars is None else kept.withColumn(
+            "content", F.substring("content", 1, max_chars))
+    kept = nodes.filter(size > 0)
+    return kept if max_chars is None else kept.filter(size <= max_chars)
 
 
 def drop_zero_vectors(chunks: DataFrame) -> DataFrame:
@@ -90,8 +95,8 @@ def embed_chunks(chunks: DataFrame, mode: str = "memory", **options) -> DataFram
     return embed(chunks.withColumn("_text", text), "_text", **options).drop("_text")
 
 
-def embed_queries(queries: DataFrame, **options) -> DataFrame:
-    text = embed_text(F.col("query"), budget=fx.EMBED_QUERY_CHARS)
+def embed_queries(queries: DataFrame, budget: int | None = None, **options) -> DataFrame:
+    text = embed_text(F.col("query"), budget=budget)
     return embed(queries.withColumn("_text", text), "_text", **options).drop("_text")
 
 

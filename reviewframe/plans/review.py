@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.comments import noise_control, review_summary, suppress_repeats
-from ..operators.diffs import hunk_table, touched_lines
-from ..operators.files import scannable_files
-from ..operators.nodes import changed_code, extract_nodes, modified_nodes
+from .. import fixed_values as fx
+from ..operators.comments import ground_comments, noise_control, parse_findings, review_summary, suppress_repeats
+from ..operators.diffs import added_lines_json, hunk_table, hunks_nested, touched_lines
+from ..operators.feedback import feedback_stats
+from ..operators.files import reviewable_files, scannable_files
+from ..operators.graph import blast_radius, review_parts
+from ..operators.infer import review_inputs
+from ..operators.nodes import call_edges, changed_code, extract_nodes, graph_nodes, modified_nodes
+from ..operators.policy import policy_text
 from ..operators.rules import gate, scan_hunks, scan_nodes, with_apis
+from ..sources.outbox import review_outbox
 from ..session import materialise
 
 
@@ -49,3 +55,52 @@ def review_changes(files: DataFrame, policies: DataFrame, code: DataFrame | None
         raw = materialise(files.sparkSession, raw, "findings")
     final = final_findings(raw, policies, posted, marker)
     return final, review_summary(raw, final, policies)
+
+
+def review_context(code: DataFrame, lines: DataFrame, reviews: DataFrame,
+                   max_depth: int = fx.BLAST_DEPTH) -> DataFrame:
+    """(review_id, filename, name, part): definitions near the changed ones of each changed file.
+
+    A call graph is one file's: a name that many files define, such as ``main``, is resolved in the
+    file that calls it. Only the code of changed files is parsed, and once.
+    """
+    spark, scope = code.sparkSession, ("repo", "ref", "file_path")
+    nodes = materialise(spark, extract_nodes(changed_code(code, lines, reviews)), "nodes")
+    changed = modified_nodes(nodes, lines, reviews)
+    seeds = materialise(spark, changed.select(
+        "review_id", F.concat_ws("@", *scope).alias("graph_id"), F.col("file_path").alias("filename"),
+        F.col("node_name").alias("name")).distinct(), "seeds")
+    edges = call_edges(nodes, scope)
+    parts = review_parts(blast_radius(edges, seeds, max_depth), graph_nodes(nodes, edges, scope), seeds)
+    files = seeds.select("review_id", "graph_id", "filename").distinct()
+    return parts.join(files, ["review_id", "graph_id"]).select("review_id", "filename", "name", "part")
+
+
+def context_texts(parts: DataFrame) -> DataFrame:
+    """(review_id, filename, context): a file's parts in name order, as one text."""
+    ordered = F.array_sort(F.collect_list(F.struct("name", "part")))
+    return parts.groupBy("review_id", "filename").agg(F.array_join(
+        F.transform(ordered, lambda p: p["part"]), fx.BLOCK_SEPARATOR).alias("context"))
+
+
+def composed_inputs(lines: DataFrame, code: DataFrame, reviews: DataFrame, policies: DataFrame,
+                    posted: DataFrame, marker: str, service: str) -> DataFrame:
+    """What a model is asked about each changed file: its added lines, the definitions near them, the
+    review's rules and what became of earlier comments. ``reviews``: review_id, repo, ref."""
+    return review_inputs(
+        added_lines_json(hunks_nested(lines)), context_texts(review_context(code, lines, reviews)),
+        policies.select("review_id", policy_text().alias("policy_text")),
+        feedback_stats(posted, marker, service), service)
+
+
+def answered_requests(answers: DataFrame, files: DataFrame, policies: DataFrame, posted: DataFrame,
+                      reviews: DataFrame, marker: str, fence: str = "last") -> DataFrame:
+    """Model answers (review_id, seq, content) to the requests that post their findings.
+
+    A finding must stand on an added line of a reviewed file and not be posted and open already;
+    noise control takes the rest in the order of answers.
+    """
+    found = parse_findings(answers, fence=fence).withColumn("seq", F.struct("seq", "pos")).drop("pos")
+    grounded = ground_comments(found, touched_lines(reviewable_files(files, policies)))
+    final = final_findings(grounded.filter("grounded").drop("grounded", "reason"), policies, posted, marker)
+    return review_outbox(final, reviews, marker)

@@ -52,7 +52,9 @@ def webhook_stream(deliveries: DataFrame, self_name: str, secrets: dict[str, str
         write(batch.select("delivery_id", "vcs", "repo", "outcome", "batch"), "outcomes")
         write(batch.filter("outcome = 'accepted'").drop("outcome"), "requests")
         notes = outcome_audit(batch).withColumnRenamed("received_at", "ts")
-        write(audit_lines(notes, actor).withColumn("batch", F.lit(batch_id)), "audit")
+        # Text lines, so that ``audit_read`` takes the folder as a log.
+        (audit_lines(notes, actor).withColumn("batch", F.lit(batch_id)).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("batch", "dt").text(f"{out}/audit"))
         batch.unpersist()
 
     return (decided.unionByName(dropped).writeStream.foreachBatch(sink)

@@ -336,6 +336,49 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("content"))
 
 
+def review_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One fenced answer per document with two findings on its file, one of them on the first line."""
+    severity = F.element_at(F.array(*[F.lit(s) for s in SEVERITIES]), (F.col("doc_id") % 4 + 1).cast("int"))
+    found = F.array(
+        F.struct(path_of().alias("file_path"), (F.col("n_chars") % 40).cast("int").alias("line"),
+                 severity.alias("severity"), F.col("source").alias("body")),
+        F.struct(path_of().alias("file_path"), F.lit(1).alias("line"), F.lit("INFO").alias("severity"),
+                 F.lit("same").alias("body")))
+    return table(spark, sf_dir, "documents").select(
+        review_of().alias("review_id"), F.col("doc_id").alias("seq"),
+        F.concat(F.lit("Found:\n```json\n"), F.to_json(found), F.lit("\n```")).alias("content"))
+
+
+def review_posted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Earlier comments on each file: every fourth one is a finding of the answers, half of these answered."""
+    from ..functions.text import render_comment
+    severity = F.element_at(F.array(*[F.lit(s) for s in SEVERITIES]), (F.col("doc_id") % 4 + 1).cast("int"))
+    own = render_comment(severity, F.col("source"), MARKER)
+    return table(spark, sf_dir, "documents").select(
+        review_of().alias("review_id"), F.col("doc_id").alias("comment_id"), path_of().alias("path"),
+        F.when(F.col("doc_id") % 4 == 1, own).otherwise(F.col("source")).alias("body"),
+        F.when(F.col("doc_id") % 8 == 1, F.col("doc_id")).alias("in_reply_to_id"))
+
+
+def source_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Policies of the reviews of the generated sources, by the number of the brand."""
+    from ..operators.policy import policy_resolve
+    number = F.regexp_extract("repo", r"(\d+)$", 1).cast("int")
+    rows = source_reviews(spark, sf_dir)
+    configs = rows.select("repo", F.get(F.array(*[F.lit(o) for o in OVERRIDES]), number % 4).alias("config"))
+    return policy_resolve(rows, configs.filter(F.col("config").isNotNull()))
+
+
+def source_posted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Earlier comments on the generated sources, one per part of a large size."""
+    part = table(spark, sf_dir, "part").filter("p_size > 25")
+    return part.select(
+        F.concat(F.lit("rv-"), "p_brand").alias("review_id"), F.col("p_partkey").alias("comment_id"),
+        F.concat(F.lit("pkg/m"), F.col("p_partkey").cast("string")).alias("path"),
+        F.when(F.col("p_partkey") % 2 == 0, MARKER).otherwise("other").alias("body"),
+        (F.col("p_partkey") % 3).alias("in_reply_to_id"))
+
+
 def source_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One generated source file per part, in the repo of its brand; it calls its suppliers."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")

@@ -494,6 +494,10 @@ SELECT n.event_id::VARCHAR AS delivery_id, {VCS} AS vcs,
   CASE WHEN w.allowed = false THEN 'rate_limited' ELSE outcome END AS outcome
 FROM n LEFT JOIN w USING (event_id)"""
 ORACLES["webhook_stream"] = ORACLES["delivery_outcome"]
+ORACLES["webhook_stream_audit"] = f"""SELECT coalesce(event, '(total)') AS event, count(*) AS entries
+FROM (SELECT CASE outcome WHEN 'accepted' THEN 'review_queued' WHEN 'rate_limited' THEN 'webhook_rate_limited'
+    ELSE 'webhook_rejected' END AS event FROM ({ORACLES["delivery_outcome"]}) x
+  WHERE outcome IN ('accepted', 'rate_limited', 'invalid_signature')) y GROUP BY ROLLUP (event)"""
 ORACLES["delivery_audit"] = f"""WITH {DELIVERY}
 SELECT CASE outcome WHEN 'accepted' THEN 'review_queued' ELSE 'webhook_rejected' END AS event,
   {VCS} AS vcs, count(*) AS entries,
@@ -535,20 +539,18 @@ SELECT query_id, string_agg('File: src/' || chunk_id || '.py | function_definiti
   || left(repeat('line ' || chunk_id || chr(10), 80), 500),
   chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS result
 FROM hits GROUP BY query_id"""
-ORACLES["embed_text"] = f"""
-SELECT doc_id, md5(left(replace('class_definition ' || source || ': ' || text, chr(10), ' '),
-  {fx.EMBED_DOCUMENT_CHARS})) AS document, left(replace(text, chr(10), ' '), 200) AS query
-FROM documents"""
+ORACLES["embed_text"] = """
+SELECT doc_id, md5(replace('class_definition ' || source || ': ' || text, chr(10), ' ')) AS document,
+  md5(replace(text, chr(10), ' ')) AS query FROM documents"""
 ORACLES["chunk_admit"] = """
 SELECT 'memory' AS mode, doc_id, least(length(text), 3000)::INT AS size FROM documents
 WHERE length(text) <= 50000 AND length(text) > 100
 UNION ALL
 SELECT 'table', doc_id, length(text)::INT FROM documents WHERE length(text) BETWEEN 1 AND 3000"""
-ORACLES["build_index"] = f"""WITH {SOURCE},
-r AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY k) AS rn FROM f WHERE NOT other)
-SELECT nodes.repo, nodes.file_path, node_name, node_type, least(size, 3000)::INT AS size,
-  {fx.EMBED_WIDTH} AS width
-FROM nodes JOIN r USING (k) WHERE rn <= 30 AND size > 100"""
+for _name, _least in (("build_index", 100), ("build_index_table", 0)):
+    ORACLES[_name] = f"""WITH {SOURCE}
+SELECT repo, file_path, node_name, node_type, size::INT AS size, {fx.EMBED_WIDTH} AS width
+FROM nodes WHERE size > {_least}"""
 ORACLES["embed_chunks"] = f"""
 SELECT doc_id, {fx.EMBED_WIDTH} AS width, round(1.0::DOUBLE, 4) AS length FROM documents"""
 ORACLES["index_size"] = """
@@ -683,3 +685,52 @@ SELECT review_id, coalesce(found, 0) AS found, coalesce(blocker, 0) AS blocker,
   coalesce(warning, 0) AS warning, coalesce(info, 0) AS info, coalesce(posted, 0) AS posted,
   coalesce(files_flagged, 0) AS files_flagged
 FROM (SELECT DISTINCT review_id FROM p) LEFT JOIN a USING (review_id) LEFT JOIN b USING (review_id)"""
+
+# --- the review as one program ------------------------------------------------------------------
+# In one file p is called by C and by C's method Run; a definition that was changed is no context.
+NEAR = f"""{SOURCE},
+t AS (SELECT DISTINCT l_partkey, l_orderkey % 7 * 9 + 1 AS line FROM lineitem),
+seed AS (SELECT DISTINCT k, node_name FROM nodes JOIN t ON l_partkey = k AND line BETWEEN start_line AND end_line),
+calls_p AS (SELECT k, node_name AS src, 'p_' || k AS dst FROM nodes WHERE node_name <> 'p_' || k),
+near AS (SELECT s.k, dst AS name FROM seed s JOIN calls_p c ON s.k = c.k AND s.node_name = src
+         UNION SELECT s.k, src FROM seed s JOIN calls_p c ON s.k = c.k AND s.node_name = dst),
+part_ AS (SELECT 'rv-' || brand AS review_id, file_path AS filename, name,
+    (length('Dependency: ' || name) + 1 + size)::INT AS size
+  FROM near JOIN nodes ON nodes.k = near.k AND node_name = name
+  WHERE NOT EXISTS (SELECT 1 FROM seed s WHERE s.k = near.k AND s.node_name = name))"""
+ORACLES["blast_context_per_review"] = f"WITH {NEAR} SELECT * FROM part_"
+ORACLES["review_inputs_composed"] = f"""WITH {NEAR},
+c AS (SELECT filename, sum(size) + 7 * (count(*) - 1) AS size FROM part_ GROUP BY filename),
+p AS (SELECT DISTINCT 'rv-' || p_brand AS review_id, regexp_extract(p_brand, '([0-9]+)$', 1)::INT % 4 AS n FROM part),
+own AS (SELECT 'rv-' || p_brand AS review_id, 'pkg/m' || p_partkey AS path, p_partkey % 3 <> 0 AS replied
+        FROM part WHERE p_size > 25 AND p_partkey % 2 = 0),
+fb AS (SELECT review_id, 'FEEDBACK CONTEXT: {fx_.SERVICE} previously posted ' || count(*) || ' comments on this PR. '
+   || count(*) FILTER (WHERE replied) || ' were resolved by the developer (accepted), '
+   || count(*) FILTER (WHERE NOT replied) || ' are still open. Previously flagged files: '
+   || string_agg(path, ', ' ORDER BY path) || '. Avoid re-posting the same issues on unchanged lines.' AS summary
+   FROM own GROUP BY review_id),
+m AS (SELECT review_id, k, file_path AS filename, count(*) AS lines FROM f JOIN lineitem ON l_partkey = k
+      JOIN p ON review_id = 'rv-' || brand GROUP BY ALL)
+SELECT review_id, filename, coalesce(c.size, 0)::INT AS context_size,
+  md5(coalesce(summary, 'This is the first {fx_.SERVICE} review on this PR.')) AS summary,
+  length({POLICY_TEXT})::INT AS policy_size, lines::INT AS lines
+FROM m JOIN p USING (review_id) LEFT JOIN fb USING (review_id) LEFT JOIN c USING (filename)"""
+ORACLES["review_pipeline"] = f"""WITH {ADDED}, {POLICY},
+kept AS (SELECT *, {REVIEW} AS review_id, {PATH} AS path, {SEVERITY} AS severity, {RANK} AS rank FROM documents
+  WHERE {STATUS} IN ('added', 'modified') AND NOT {SKIP_LONG.format(p=PATH)} AND NOT {IGNORED.format(n=N_OF, p=PATH)}),
+found AS (SELECT doc_id, 0 AS pos, review_id, path, n_chars % 40 AS line, severity, rank, source AS body FROM kept
+  UNION ALL SELECT doc_id, 1, review_id, path, 1, 'INFO', 1, 'same' FROM kept),
+fresh AS (SELECT * FROM found WHERE (pos = 1 OR doc_id % 4 <> 1 OR doc_id % 8 = 1)
+  AND EXISTS (SELECT 1 FROM added a WHERE a.doc_id = found.doc_id AND a.line_num = found.line)),
+once AS (SELECT * FROM fresh QUALIFY row_number() OVER (PARTITION BY review_id, path, severity, left(body, 50)
+  ORDER BY doc_id, pos) = 1),
+final AS (SELECT once.*, p.n FROM once JOIN p USING (review_id) WHERE p.n <> 1 OR rank >= 2
+  QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY doc_id, pos)
+    <= CASE p.n WHEN 1 THEN 3 WHEN 2 THEN 7 ELSE 15 END),
+told AS (SELECT *, doc_id // 10 AS pr, doc_id // 10 % 3 AS v,
+  '**[' || severity || '] {M}**' || chr(10) || chr(10) || body AS text FROM final)
+SELECT review_id, doc_id, pos, {values_case('v', ['github', 'gitlab', 'bitbucket'])} AS vcs, pr AS pr_number,
+  md5(CASE v WHEN 0 THEN text
+    WHEN 1 THEN '**`' || path || ':' || line || '`**' || chr(10) || chr(10) || text
+    ELSE '`' || path || ':' || line || '`' || chr(10) || chr(10) || text END) AS fallback, true AS sendable
+FROM told"""

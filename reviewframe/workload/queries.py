@@ -464,6 +464,17 @@ def webhook_stream(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{out}/outcomes").select("delivery_id", "vcs", "outcome")
 
 
+@query
+def webhook_stream_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """The stream's audit lines, read back as a log."""
+    out = shared_dir(spark, "webhooks")
+    run = stw.webhook_stream(_landed_deliveries(spark, sf), fx_.SERVICE, fx_.SECRETS, out,
+                             shared_dir(spark, "cp"), fx_.RATE_MAX, fx_.RATE_WINDOW)
+    run.awaitTermination()
+    return au.audit_stats(sa.audit_read(spark, f"{out}/audit")).select(
+        F.coalesce("event", F.lit("(total)")).alias("event"), "entries")
+
+
 @query
 def audit_stream(spark: SparkSession, sf: str) -> DataFrame:
     landed = shared_dir(spark, "audit-rows")
@@ -574,19 +585,19 @@ def search_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def embed_text(spark: SparkSession, sf: str) -> DataFrame:
-    body, budget = F.col("text"), 200
+    body = F.col("text")
     return fx_.table(spark, sf, "documents").select(
         "doc_id", F.md5(F.encode(tx.embed_text(body, F.lit("class_definition"), F.col("source")),
                                  "UTF-8")).alias("document"),
-        tx.embed_text(body, budget=budget).alias("query"))
+        F.md5(F.encode(tx.embed_text(body), "UTF-8")).alias("query"))
 
 
 @query
 def chunk_admit(spark: SparkSession, sf: str) -> DataFrame:
     docs = fx_.table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
-    whole = ve.admit_files(docs)
-    memory = ve.admit_chunks(whole, "memory").withColumn("mode", F.lit("memory"))
-    stored = ve.admit_chunks(whole, "table").withColumn("mode", F.lit("table"))
+    whole = ve.admit_files(docs, fx.MAX_FILE_CHARS)
+    memory = ve.admit_chunks(whole, "memory", fx.MAX_CHUNK_CHARS).withColumn("mode", F.lit("memory"))
+    stored = ve.admit_chunks(whole, "table", fx.MAX_CHUNK_CHARS).withColumn("mode", F.lit("table"))
     return memory.unionByName(stored).select("mode", "doc_id", F.length("content").alias("size"))
 
 
@@ -607,6 +618,13 @@ def build_index(spark: SparkSession, sf: str) -> DataFrame:
         F.size("embedding").alias("width"))
 
 
+@query
+def build_index_table(spark: SparkSession, sf: str) -> DataFrame:
+    return pi.build_index(fx_.source_tree(spark, sf), "table").select(
+        "repo", "file_path", "node_name", "node_type", F.length("content").alias("size"),
+        F.size("embedding").alias("width"))
+
+
 @query
 def index_replace(spark: SparkSession, sf: str) -> DataFrame:
     _, chunks = fx_.vectors(spark, sf)
@@ -755,3 +773,33 @@ def review_overview(spark: SparkSession, sf: str) -> DataFrame:
     files = fx_.code_diff_files(spark, sf).drop("doc_id")
     _, summary = pr.review_changes(files, fx_.policies(spark, sf), spool=True)
     return summary
+
+
+@query
+def blast_context_per_review(spark: SparkSession, sf: str) -> DataFrame:
+    parts = pr.review_context(fx_.source_tree(spark, sf), fx_.touched(spark, sf), fx_.source_reviews(spark, sf))
+    return parts.select("review_id", "filename", "name", F.length("part").alias("size"))
+
+
+@query
+def review_inputs_composed(spark: SparkSession, sf: str) -> DataFrame:
+    made = pr.composed_inputs(
+        fx_.touched(spark, sf), fx_.source_tree(spark, sf), fx_.source_reviews(spark, sf),
+        fx_.source_policies(spark, sf), fx_.source_posted(spark, sf), fx_.MARKER, fx_.SERVICE)
+    return made.select("review_id", "filename", F.length(F.coalesce("context", F.lit(""))).alias("context_size"),
+                       F.md5(F.encode("summary", "UTF-8")).alias("summary"),
+                       F.length("policy_text").alias("policy_size"),
+                       F.json_array_length("added_lines").alias("lines"))
+
+
+@query
+def review_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """Model answers to posted requests, written to the outbox and read back."""
+    made = pr.answered_requests(
+        fx_.review_answers(spark, sf), fx_.diff_files(spark, sf), fx_.policies(spark, sf),
+        fx_.review_posted(spark, sf), fx_.reviews(spark, sf), fx_.MARKER)
+    path = shared_dir(spark, "outbox")
+    so.write_outbox(made, path)
+    return spark.read.schema(made.schema).json(path).select(
+        "review_id", F.col("seq.seq").alias("doc_id"), F.col("seq.pos").alias("pos"), "vcs", "pr_number",
+        _digest("fallback"), "sendable")

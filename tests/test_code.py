@@ -184,10 +184,13 @@ def test_index(spark, tmp_path):
     long, short = "def f():\n" + "    call()\n" * 400, "def g():\n    pass\n"
     mid = "def h():\n" + "    call()\n" * 10
     df = files(spark, ("a.py", long + short), ("b.py", mid), ("c.jsx", "x"), ("d.py", "#" * 50001))
-    memory = {r.node_name: len(r.content) for r in build_index(df).collect()}
+    limits = {"max_files": 30, "max_file_chars": 50000, "max_chunk_chars": 3000}
+    memory = {r.node_name: len(r.content) for r in build_index(df, **limits).collect()}
     assert memory == {"f": 3000, "h": len(mid.rstrip())}
-    stored = {r.node_name for r in build_index(df, "table").collect()}
-    assert stored == {"g", "h"}
+    whole = {r.node_name: len(r.content) for r in build_index(df).collect()}
+    assert whole == {"f": len("def f():\n" + "    call()\n" * 400) - 1, "h": len(mid.rstrip())}
+    assert {r.node_name for r in build_index(df, "table", **limits).collect()} == {"g", "h"}
+    assert {r.node_name for r in build_index(df, "table").collect()} == {"f", "g", "h"}
     path = str(tmp_path / "index")
     chunks = build_index(df)
     assert rows(index_replace(chunks, path)) == []
