@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,19 +10,19 @@ from pyspark.sql import functions as F
 from ..operators.audit import audit_retention, parse_audit
 
 
-def audit_read(spark: SparkSession, path: str) -> DataFrame:
-    """Log entries with ``log_pos``, a sortable position: file by file in write order, then by line.
+def audit_read(spark: SparkSession, path: str, since: datetime | None = None) -> DataFrame:
+    """Log entries with ``log_pos``, a sortable position: an entry's time, then its text.
 
-    Within one split rows keep their file order, so (write time, file, split offset, row id)
-    orders the whole log without numbering it in one task.
+    The position is part of the entry, so it doesn't depend on how many tasks wrote the log and stays
+    the same when retention writes it anew. Entries without a readable time come first. With ``since``
+    the files of earlier days are left out by their folder's name; entries of that day may be earlier.
     """
-    lines = (spark.read.option("recursiveFileLookup", "true").text(path)
-             .select("value", F.struct(
-                 F.col("_metadata.file_modification_time").alias("written"),
-                 F.col("_metadata.file_path").alias("file"),
-                 F.col("_metadata.file_block_start").alias("offset"),
-                 F.monotonically_increasing_id().alias("row")).alias("log_pos")))
-    return parse_audit(lines)
+    lines = spark.read.option("recursiveFileLookup", "true").text(path)
+    if since is not None:
+        day = F.regexp_extract("_metadata.file_path", r"/dt=(\d{4}-\d{2}-\d{2})/", 1)
+        utc = since.astimezone(timezone.utc) if since.tzinfo else since
+        lines = lines.filter((day == "") | (day >= f"{utc:%Y-%m-%d}"))
+    return parse_audit(lines).withColumn("log_pos", F.struct("ts", "raw"))
 
 
 def audit_lines(rows: DataFrame, default_actor: str, enabled: bool = True) -> DataFrame:

@@ -423,6 +423,10 @@ ENDING = """CASE WHEN event_id % 2 = 0 THEN 'review_started' WHEN user_id % 4 =
 ORACLES["audit_append"] = f"""
 SELECT epoch_us(ts) AS ts_us, {ENDING} AS event, 'svc' AS actor,
   't' || (event_id // 2) AS task_id, false AS malformed FROM events"""
+ORACLES["audit_query_after_retention"] = f"""
+WITH hit AS (SELECT epoch_us(ts) AS ts_us, 't' || (event_id // 2) AS task_id FROM events
+  WHERE {ENDING} = 'review_completed' AND ts >= TIMESTAMP '2024-01-18' ORDER BY ts_us, task_id LIMIT 100)
+SELECT log, ts_us, task_id FROM hit, (VALUES ('before'), ('after')) v(log)"""
 ORACLES["audit_stream"] = f"""
 SELECT {ENDING} AS event, count(*) AS entries, count(*) AS written FROM events GROUP BY 1"""
 

@@ -365,6 +365,19 @@ def audit_append(spark: SparkSession, sf: str) -> DataFrame:
         au.data_field("task_id").alias("task_id"), "malformed")
 
 
+@query
+def audit_query_after_retention(spark: SparkSession, sf: str) -> DataFrame:
+    """The first entries since a day, before and after the log was written anew."""
+    since, (log, kept) = datetime(2024, 1, 18), (shared_dir(spark, "audit-log"), shared_dir(spark, "audit-kept"))
+    sa.audit_append(fx_.run_log(spark, sf), log, "svc")
+    sa.enforce_retention(spark, log, kept, NOW, RETENTION_DAYS)
+    both = [au.audit_query(sa.audit_read(spark, path, since), "review_completed", None, since, 100)
+            .select(F.lit(name).alias("log"), F.unix_micros("ts").alias("ts_us"),
+                    au.data_field("task_id").alias("task_id"))
+            for name, path in (("before", log), ("after", kept))]
+    return both[0].unionByName(both[1])
+
+
 @query
 def retention_job(spark: SparkSession, sf: str) -> DataFrame:
     log, kept = shared_dir(spark, "audit-log"), shared_dir(spark, "audit-kept")

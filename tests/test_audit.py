@@ -113,3 +113,16 @@ def test_append_read_and_job(spark, tmp_path):
     assert sa.enforce_retention(spark, kept, again, NOW, 90) == 0
     plan = cache_manifest(spark, [folder], NOW)._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan
+
+
+def test_order_survives_retention_and_since_prunes_days(spark, tmp_path):
+    from reviewframe.sources.audit_log import audit_append, audit_read, enforce_retention
+    log, kept = str(tmp_path / "log"), str(tmp_path / "kept")
+    entries = spark.range(200).selectExpr(
+        "timestamp_seconds(1704067200 + (id * 7919) % 864000) AS ts", "'e' AS event", "concat('{\"n\":', id, '}') AS data")
+    audit_append(entries.repartition(4), log, "svc")
+    order = [r.data for r in audit_read(spark, log).orderBy("log_pos").collect()]
+    assert enforce_retention(spark, log, kept, datetime(2024, 1, 20), 3650) == 0
+    assert [r.data for r in audit_read(spark, kept).orderBy("log_pos").collect()] == order
+    since = audit_read(spark, log, datetime(2024, 1, 9, 12))
+    assert {r.d for r in since.selectExpr("date_format(ts, 'dd') AS d").collect()} == {"09", "10"}
