@@ -26,6 +26,7 @@ HEADLINE = [
     "audit_query", "review_runs", "signature_verify", "delivery_outcome", "rate_limit",
     "rate_limit_one_key", "extract_nodes", "modified_nodes", "blast_radius", "knn", "knn_by_repo",
     "embed_chunks", "build_index", "rule_scan", "review_findings", "review_overview",
+    "blast_context_per_review", "review_inputs_composed", "review_pipeline",
 ]
 
 
