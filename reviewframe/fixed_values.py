@@ -87,18 +87,3 @@ BLAST_DEPTH = 2
 
 # --- fixed values: text joiners -----------------------------------------------------------
 BLOCK_SEPARATOR = "\n\n---\n\n"
-
-# --- fixed values: rule patterns ----------------------------------------------------------
-RULE_PATTERNS = {
-    "secret": r"""(?i)\b(api[_-]?key|secret|token|passw(or)?d)\b\s*[:=]\s*["'][^"']{8,}["']""",
-    "secret_prefix": r"\b(ghp_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9-]{8,}|AKIA[0-9A-Z]{16})\b",
-    "secret_pem": r"BEGIN [A-Z ]*PRIVATE KEY",
-    "sql_format": r"""(?i)(["'].*\b(select|insert|update|delete)\b.*["']\s*(%|\+|\.format\()|\bf["'].*\b(select|insert|update|delete)\b.*\{)""",
-    "loop": r"^\s*(for|while)\b",
-    "query": r"\b(execute|executemany|query|find|find_one|fetchone|fetchall)\(",
-    "network": r"\b(requests\.(get|post|put|patch|delete|head|request)|urlopen|httpx\.\w+)\s*\(",
-    "unbounded": r"(?m)^\s*while\s+(True|1)\s*:",
-    "exit": r"\b(break|return|raise)\b",
-    "snake_case": r"^_*[a-z][a-z0-9_]*$",
-    "terminator": r"^\s*(return|raise|break|continue)\b",
-}

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from .. import fixed_values as fx
+from ..operators.rules import RULE_PATTERNS
 from . import fixtures as fx_
 
 ORACLES: dict[str, str] = {}
-P = fx.RULE_PATTERNS
+P = RULE_PATTERNS
 M = fx_.MARKER
 
 
