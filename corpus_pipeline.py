@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences.
 
 Stages: toxicity (documents that score 0.5 or more go), language (documents without a letter, or that
-resemble no known language, go), near-duplicates (the smallest doc_id of each group stays), packing.
+resemble no known language, go), near-duplicates (texts whose sets of five-word runs have a Jaccard
+similarity of 0.8 or more; the smallest doc_id of each group stays), packing.
 Each stage's rows are written to the shared folder and read again as the next one's documents.
 """
 
@@ -11,13 +12,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewframe.llm import langid, packing, simhash, toxicity
+from reviewframe.llm import jaccard, langid, packing, toxicity
 from reviewframe.llm.common import stored, table
 
 #: Documents whose n-grams are farther than this from every profile belong to no language we know.
 LEAST_LANGUAGE_SCORE = 0.2
-#: Near-duplicates: fingerprints over the words differ in at most 5 of 64 bits, those over runs of five
-#: words in at most 13, as they do from a similarity of about 0.8 up.
+#: Near-duplicates: the Jaccard similarity of the sets of runs of so many words.
+SIMILARITY, RUN_WORDS = 0.8, 5
+#: Their Golay candidates: fingerprints over the words differ in at most 5 of 64 bits, those over runs in at
+#: most 13. MinHash bands find the others; every link is verified by the sets.
 WORD_BITS, RUN_BITS = 5, 13
 
 
@@ -43,12 +46,17 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the row with the smallest doc_id (repeated rows: one of them)."""
-    found = simhash.near_duplicates(docs, shingle=1, bits=WORD_BITS, sketch_shingle=5, sketch_bits=RUN_BITS)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    # A doc_id that repeats is one document; the first of its texts stays.
-    single = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return _columns(single.unionByName(docs.where("doc_id IS NULL")), docs)
+    """One document of each group stays: the row with the smallest doc_id (repeated rows: one of them).
+
+    Different texts under one doc_id are documents of their own.
+    """
+    found = jaccard.near_duplicates(docs, RUN_WORDS, SIMILARITY, WORD_BITS, RUN_BITS)
+    kept = found.where("doc_id IS NOT NULL").groupBy("component").agg(
+        F.min(F.struct("doc_id", "row")).alias("first")).select("first.*")
+    keyed = docs.withColumn("_row", jaccard.row_key())
+    kept = kept.select("doc_id", F.col("row").alias("_row"))
+    single = keyed.join(kept, ["doc_id", "_row"], "left_semi").dropDuplicates(["doc_id", "_row"])
+    return _columns(single.unionByName(keyed.where("doc_id IS NULL")), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

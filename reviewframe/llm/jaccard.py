@@ -1,0 +1,168 @@
+"""Near-duplicates by the Jaccard similarity of the texts' sets of word runs.
+
+Two texts are linked if their sets of distinct runs of five words (``shingle``) have a Jaccard similarity
+of ``similarity`` or more; groups are what chains of links connect. The steps:
+
+* Rows whose sets are equal are one node. Its id is a 64-bit hash of the set.
+* Candidates share a Golay key and lie within the given bits (``simhash.link_fingerprints``), or share a
+  band of ``ROWS`` minima out of ``BANDS``. A pair of similarity s shares no band with probability
+  (1 - s ** ROWS) ** BANDS: 1.4e-7 at 0.8, and less above.
+* What candidates connect is compared pair by pair, by the sets themselves, made anew from the texts. A
+  text travels once; only parts of more than ``TILE`` nodes are dealt as pairs of tiles, and a text as
+  often as there are tiles. A task holds two tiles at most.
+
+Texts are cut as in ``simhash``: a text of fewer words than a run is one run, an empty one has none. A null
+doc_id keeps its row, takes no part in links and has a null component.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import batch, prepared, stored, utf8
+from .components import connected_components
+from .simhash import link_fingerprints, majority_bits, shingle_hashes
+
+#: Minima in a band, and bands.
+ROWS, BANDS = 4, 30
+#: Nodes of a tile; a task compares two tiles at most.
+TILE = 256
+_COLUMNS = 4096
+_SEED = np.random.default_rng(20)
+_FACTORS = _SEED.integers(0, 1 << 64, ROWS * BANDS, dtype=np.uint64) | np.uint64(1)
+_TERMS = _SEED.integers(0, 1 << 64, ROWS * BANDS, dtype=np.uint64)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def row_key() -> Column:
+    """Tells texts under one doc_id apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def band_keys(distinct: np.ndarray) -> np.ndarray:
+    """A key for each band of minima; an empty set has none."""
+    if not len(distinct):
+        return np.empty(0, dtype=np.int64)
+    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(distinct), 2048):
+        least = np.minimum(least, (distinct[None, at:at + 2048] * _FACTORS[:, None] + _TERMS[:, None]).min(axis=1))
+    key = np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX
+    for column in least.reshape(BANDS, ROWS).T:
+        key = (key ^ column) * _MIX
+        key ^= key >> np.uint64(31)
+    return key.view(np.int64)
+
+
+_SETS = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()),
+                   ("sketch", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_SETS_DDL = "doc_id long, row long, node long, fp long, sketch long, bands array<long>"
+
+
+def _set_rows(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for text in b.column(2).to_pylist():
+                runs = shingle_hashes(text, shingle)
+                distinct = np.unique(runs)
+                node = np.uint64(xxhash.xxh64_intdigest(distinct.tobytes())).astype(np.int64)
+                rows.append((int(node), majority_bits(shingle_hashes(text, 1)), majority_bits(runs), band_keys(distinct)))
+            yield batch(_SETS, [b.column(0), b.column(1), *([r[i] for r in rows] for i in range(4))])
+    return run
+
+
+def _similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which of the sets are similar enough, as a square of booleans."""
+    n, sizes = len(sets), np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(n), sizes)
+    _, place, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = counts[place] > 1  # a run that one set alone has is in no intersection
+    column = (np.cumsum(counts > 1) - 1)[place[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[shared][order], column[order]
+    common = np.zeros((n, n))
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, _COLUMNS):
+        s = slice(*np.searchsorted(column, (low, low + _COLUMNS)))
+        block = np.zeros((n, min(_COLUMNS, int(column[-1]) + 1 - low)), dtype=np.float32)
+        block[owner[s], column[s] - low] = 1
+        common += block @ block.T
+    return common / np.maximum(sizes[:, None] + sizes[None] - common, 1) >= similarity
+
+
+def _roots(near: np.ndarray) -> np.ndarray:
+    """For each member the first one of those that it is connected with."""
+    label = np.arange(len(near))
+    while True:
+        new = np.minimum(label, np.where(near, label[None], len(near)).min(axis=1))
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _compared(shingle: int, similarity: float):
+    """Links of parts that arrive one after another as (part, tile, node, text)."""
+    def links(held: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if len(held) > 1:
+            node = np.array(list(held))
+            root = _roots(_similar(list(held.values()), similarity))
+            moved = root != np.arange(len(root))
+            if moved.any():
+                yield batch(_LINKS, [node[moved], node[root[moved]]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, {}
+        for b in batches:
+            for part, tile, node, text in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if at != (part, tile):
+                    yield from links(held)
+                    at, held = (part, tile), {}
+                if node not in held:  # a row may be repeated
+                    held[node] = np.unique(shingle_hashes(text, shingle))
+        yield from links(held)
+    return run
+
+
+def _band_links(nodes: DataFrame) -> DataFrame:
+    """(a, b): every node with the least one of each band that it shares."""
+    keys = nodes.select("node", F.explode("bands").alias("key"))
+    least = keys.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1")
+    return keys.join(least, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits: int = 5,
+                    sketch_bits: int = 13) -> DataFrame:
+    """(doc_id, row, component) of every row: rows of one component are near-duplicates, by chains of links.
+
+    ``bits`` and ``sketch_bits`` are those of the Golay candidates (word fingerprints, fingerprints of runs).
+    """
+    prepared(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), utf8().alias("t"))
+    rows = stored(texts.mapInArrow(_set_rows(shingle), _SETS_DDL), "jaccard-sets")
+    nodes = stored(rows.where("doc_id IS NOT NULL").groupBy("node").agg(
+        F.min(F.struct("doc_id", "row", "fp", "sketch", "bands")).alias("first")).select("node", "first.*"),
+        "jaccard-nodes")
+    candidates = link_fingerprints(nodes, bits, sketch_bits).unionByName(_band_links(nodes))
+    parts = stored(connected_components(candidates, "a", "b", "jaccard-candidates"), "jaccard-parts")
+    sizes = parts.groupBy("component").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
+    # A tile meets every other one, as in simhash.link_fingerprints.
+    dealt = parts.join(sizes, "component").withColumn("own", own).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("node", F.col("component").alias("part"), (
+            F.least("own", "other").cast("long") * F.col("tiles") + F.greatest("own", "other")).alias("tile"))
+    asked = nodes.select("node", "doc_id", "row").join(dealt, "node")
+    met = texts.join(asked, ["doc_id", "row"]).select("part", "tile", "node", "t")
+    found = met.repartition("part", "tile").sortWithinPartitions("part", "tile").mapInArrow(
+        _compared(shingle, similarity), "a long, b long").distinct()
+    groups = connected_components(found, "a", "b", "jaccard-links")
+    return rows.select("doc_id", "row", "node").join(groups, "node", "left").select(
+        "doc_id", "row", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node")).alias("component"))

@@ -1,0 +1,51 @@
+"""The pipeline's near-duplicates against brute-force Jaccard similarity."""
+
+import random
+
+import pytest
+from test_neighbours import brute_components
+
+import corpus_pipeline
+from reviewframe.llm import jaccard
+
+
+def brute_set(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute_groups(texts):
+    """{key: least key of its group} by the similarity of all pairs."""
+    sets = {k: brute_set(t) for k, t in texts.items()}
+    near = [(a, b) for a in sets for b in sets if a < b and (
+        sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))]
+    return brute_components(texts, near)
+
+
+def edited_texts(seed, n):
+    """Texts and copies with some words replaced, of similarities on both sides of 0.8."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("bcdfglmnprstv") + rng.choice("aeiou") for _ in range(3)) for _ in range(800)]
+    texts = {}
+    for i in range(n):
+        text = [rng.choice(words) for _ in range(rng.choice([8, 40, 100, 300]))]
+        texts[10 * i] = " ".join(text)
+        for k in range(1, 5):
+            copy = list(text)
+            for at in rng.sample(range(len(copy)), max(1, len(copy) * rng.randrange(1, 5) // 100)):
+                copy[at] = rng.choice(words)
+            texts[10 * i + k] = " ".join(copy)
+    texts[10 * n] = " ".join(text).upper() + " \n"
+    return texts | {10 * n + 1: "", 10 * n + 2: None, 10 * n + 3: "one two", 10 * n + 4: "One  two"}
+
+
+@pytest.mark.parametrize("tile", [256, 3])
+def test_near_duplicates_are_those_of_brute_force(spark, make_docs, monkeypatch, tile):
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    texts = edited_texts(3, 60)
+    docs = make_docs([*texts.items(), (0, texts[0]), (None, "lost")]).repartition(3)
+    groups = brute_groups(texts)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(set(groups.values()))
+    assert len(set(groups.values())) < len(texts) - 60
+    assert [r.text for r in kept if r.doc_id is None] == ["lost"]
