@@ -2,8 +2,10 @@
 
 A rule (host, path, verdict) fits its host and all subdomains where the URL's path starts with the
 rule's; the longest (host and path together) wins. URLs are equivalent if they differ only in scheme,
-query, fragment, closing slashes or an index page, or if a chain of canonical links, refresh tags or
-given redirects joins them. Where no rule fits a URL, it is blocked if any equivalent URL is blocked by a
+fragment, closing slashes or an index page, or if a chain of canonical links, refresh tags or given
+redirects joins them. A query is part of the URL: spellings without it are joined by links alone. Every
+canonical link and every refresh tag of a page counts; relative ones are resolved against the page's URL,
+or its absolute ``<base>``. Where no rule fits a URL, it is blocked if any equivalent URL is blocked by a
 rule, and allowed otherwise. An explicit allow rule always holds for the URLs that it fits, whatever
 their aliases are.
 
@@ -28,10 +30,16 @@ REST = r"(?s)^.*?://(.*)$"
 HOST = r"(?s)^([^/?#]*)"
 PATH = r"(?s)^[^/?#]*([^?#]*)"
 TAIL = r"(/index\.html?)?/*$"
-#: A canonical link or a refresh tag in a page's head, and where it points to.
-CANONICAL = (r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>""")
-HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
-REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*\burl\s*=\s*([^"'\s>]+)"""
+QUERY = r"(?s)^[^?#]*\?([^#]*)"
+#: Tags that may say where a page is found. A tag ends outside of quotes, or at the first > if quotes don't match.
+_TAG = r"""(?is)<(?:{})\b(?:(?:[^>"']++|"[^"]*"|'[^']*'){{0,200}}+>|[^>]*>)"""
+LINKING, BASE = _TAG.format("link|meta"), _TAG.format("base")
+VALUE = r"""(?is)[\s"'/]{}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+#: Where a refresh tag's content points to, in quotes or not; else what follows url= anywhere in the tag.
+REFRESH = r"""(?is)^\s*(?:[\d.]+\s*[;,\s]\s*(?:url\s*=\s*)?|url\s*=\s*)(?:"([^"]*)|'([^']*)|([^"'].*))"""
+LOOSE = r"""(?is)\burl\s*=\s*["']?([^"'\s>]+)"""
+ABSOLUTE = r"(?i)^[a-z][a-z0-9+.\-]*://"
+SCHEME = r"(?i)^[a-z][a-z0-9+.\-]*:"
 
 
 def _rest(url: Column) -> Column:
@@ -56,18 +64,56 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
     return chosen
 
 
-def node_of(host: Column, path: Column) -> Column:
+def node_of(url: Column) -> Column:
     """What equivalent spellings of a URL have in common; null for no URL."""
-    return F.when(host != "", F.concat(host, F.regexp_replace(path, TAIL, "")))
+    query = F.regexp_extract(_rest(url), QUERY, 1)
+    return F.when(host_of(url) != "", F.concat(host_of(url), F.regexp_replace(path_of(url), TAIL, ""), F.when(
+        query != "", F.concat(F.lit("?"), query)).otherwise(F.lit(""))))
 
 
-def link_of(html: Column, url: Column) -> Column:
-    """Where the page's canonical link, or else its refresh tag, points to; null: nowhere."""
-    page = F.coalesce(html, F.lit(""))
-    raw = F.coalesce(F.nullif(F.regexp_extract(F.regexp_extract(page, CANONICAL, 0), HREF, 1), F.lit("")),
-                     F.nullif(F.regexp_extract(page, REFRESH, 1), F.lit("")))
-    return (F.when(raw.contains("://"), raw).when(raw.startswith("//"), F.concat(F.lit("http:"), raw))
-            .when(raw.startswith("/"), F.concat(F.lit("http://"), host_of(url), raw)))
+def _groups(text: Column, pattern: str) -> Column:
+    """The one of three groups that matched, or null."""
+    return F.nullif(F.trim(F.concat(*(F.regexp_extract(text, pattern, i) for i in (1, 2, 3)))), F.lit(""))
+
+
+def _value(tag: Column, name: str) -> Column:
+    return F.replace(_groups(tag, VALUE.format(name)), F.lit("&amp;"), F.lit("&"))
+
+
+def _without_dots(path: Column) -> Column:
+    """The path without its . and .. segments."""
+    kept = F.aggregate(F.split(F.substring(path, 2, 1 << 30), "/"), F.array().cast("array<string>"), lambda done, x: (
+        F.when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))))
+        .when(x == ".", done).otherwise(F.concat(done, F.array(x)))))
+    return F.when(path.contains("/."), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(path)
+
+
+def resolved(raw: Column, url: Column) -> Column:
+    """The URL that a link of the page ``url`` means; null: none, or no other page."""
+    origin = F.when(host_of(url) != "", F.concat(F.lit("http://"), host_of(url)))
+    path, query = F.regexp_extract(raw, r"(?s)^([^?#]*)", 1), F.regexp_extract(raw, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.concat(F.regexp_extract(path_of(url), r"(?s)^(.*)/", 1), F.lit("/"))
+    return (F.when((raw == "") | raw.startswith("#"), F.lit(None).cast("string"))
+            .when(raw.rlike(ABSOLUTE), raw).when(raw.startswith("//"), F.concat(F.lit("http:"), raw))
+            .when(raw.rlike(SCHEME), F.lit(None).cast("string"))
+            .when(raw.startswith("/"), F.concat(origin, _without_dots(path), query))
+            .when(raw.startswith("?"), F.concat(origin, path_of(url), raw))
+            .otherwise(F.concat(origin, _without_dots(F.concat(folder, path)), query)))
+
+
+def page_links(pages: DataFrame) -> DataFrame:
+    """(source, target) of every canonical link and refresh tag."""
+    html = F.coalesce(F.col("html"), F.lit(""))
+    base = _value(F.regexp_extract(html, BASE, 0), "href")
+    tags = pages.select(F.col("url").alias("source"), F.when(base.rlike(ABSOLUTE), base).otherwise(F.col("url"))
+                        .alias("base"), F.explode(F.regexp_extract_all(html, F.lit(LINKING), F.lit(0))).alias("tag"))
+    tag, content = F.col("tag"), _value(F.col("tag"), "content")
+    canonical = F.lower(F.substring(tag, 2, 4)) == "link"
+    raw = (F.when(canonical & _value(tag, "rel").rlike(r"(?i)(^|\s)canonical(\s|$)"), _value(tag, "href"))
+           .when(~canonical & (F.lower(_value(tag, "http-equiv")) == "refresh"), F.coalesce(
+               _groups(content, REFRESH), F.nullif(F.regexp_extract(tag, LOOSE, 1), F.lit("")))))
+    found = tags.select("source", "base", raw.alias("raw")).where("raw IS NOT NULL")
+    return found.select("source", resolved(F.col("raw"), F.col("base")).alias("target"))
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], redirects: DataFrame | None = None) -> DataFrame:
@@ -78,17 +124,15 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], redirects: Da
     prepared(pages.sparkSession)
     found = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     found = found.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).withColumn(
-        "node", node_of(F.col("host"), F.col("path")))
+        "node", node_of(F.col("url")))
 
-    links = pages.select(F.col("url").alias("source"), link_of(F.col("html"), F.col("url")).alias("target"))
+    links = page_links(pages)
     if redirects is not None:
         links = links.unionByName(redirects.select("source", "target"))
     ends = links.where("target IS NOT NULL").select(
-        *(f(F.col(c)).alias(f"{c}_{n}") for c in ("source", "target") for n, f in (("host", host_of), ("path", path_of))))
+        node_of(F.col("source")).alias("a"), node_of(F.col("target")).alias("b"), *(f(F.col(c)).alias(f"{c}_{n}") for c in ("source", "target") for n, f in (("host", host_of), ("path", path_of))))
     edges = stored(ends.select(
-        node_of(F.col("source_host"), F.col("source_path")).alias("a"),
-        node_of(F.col("target_host"), F.col("target_path")).alias("b"),
-        *(rule_of(F.col(f"{c}_host"), F.col(f"{c}_path"), rules)["verdict"].alias(f"{c}_verdict")
+        "a", "b", *(rule_of(F.col(f"{c}_host"), F.col(f"{c}_path"), rules)["verdict"].alias(f"{c}_verdict")
           for c in ("source", "target"))).distinct(), "url-links")
 
     seeds = reduce(DataFrame.union, [

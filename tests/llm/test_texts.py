@@ -39,6 +39,36 @@ def test_rules_and_aliases(spark):
     assert urls.judge(pages.limit(0), RULES).count() == 0
 
 
+def test_every_link_of_a_page_is_an_edge(spark):
+    """Verdicts written by hand; b.net/es/ is blocked by a rule, nothing else is."""
+    to = "https://b.net/es/1"
+    canonical = '<link rel="canonical" href="{}">'.format
+    rows = [
+        (1, "https://b.net/es/1", None, "block"),
+        (2, "https://c.org/both", canonical("https://c.org/main") + f'<meta http-equiv=refresh content="0; url={to}">', "block"),
+        (3, "https://c.org/main", None, "block"),                                 # by its canonical link with 2
+        (4, "https://d.org/x/first", f'<meta content="0; url={to}" http-equiv="Refresh">', "block"),
+        (5, "https://d.org/x/quoted", f"""<meta http-equiv="refresh" content="3;URL='{to}'">""", "block"),
+        (6, "https://d.org/x/one", canonical("first"), "block"),                  # relative to the page
+        (7, "https://d.org/x/y/two", canonical("../first#top"), "block"),
+        (8, "https://d.org/x/first?p=1", canonical("?p=2"), "allow"),             # other queries, other pages
+        (9, "https://d.org/x/first?p=3", canonical("?"), "block"),                # an empty query is none
+        (10, "https://e.org/view?id=1", canonical(to), "block"),
+        (11, "https://e.org/view?id=2", None, "allow"), (12, "https://e.org/view", None, "allow"),
+        (13, "https://f.org/based", '<base href="https://d.org/x/">' + canonical("./first"), "block"),
+        (14, "https://f.org/mail", canonical("mailto:x@b.net") + canonical("#top") + "<link rel=canonical>", "allow"),
+        (15, "https://f.org/style", f'<link rel="stylesheet" href="{to}">', "allow"),
+        (16, "https://f.org/plain", f'<meta http-equiv="refresh" content="0;{to}">', "block"),
+        (17, "https://f.org/again", '<meta http-equiv="refresh" content="30">', "allow"),
+        (18, "https://f.org/odd", f"""<link title="a > b" rel='alternate Canonical' href={to}>""", "block"),
+        (19, "https://e.org/list?a=1&b=2", None, "block"),
+        (20, "https://f.org/amp", canonical(to) + canonical("https://e.org/list?a=1&amp;b=2"), "block"),
+        (21, "https://f.org/long", "<link " + '""' * 50_000 + ">" + canonical(to), "block")]
+    pages = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in urls.judge(pages, (("b.net", "/es/", "block"),)).collect()}
+    assert got == {r[0]: r[3] for r in rows}
+
+
 @given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "", "a\nb", "</s>\\n"]), st.lists(
     st.sampled_from([*"\\<>/s[]INTn \n", "</s>", "[/INST]", "<s>"]), max_size=12).map("".join)), max_size=6))
 def test_template_is_reversible(turns):
