@@ -49,3 +49,11 @@ def test_near_duplicates_are_those_of_brute_force(spark, make_docs, monkeypatch,
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(set(groups.values()))
     assert len(set(groups.values())) < len(texts) - 60
     assert [r.text for r in kept if r.doc_id is None] == ["lost"]
+
+
+def test_texts_under_one_doc_id_stay_apart(spark, make_docs):
+    """Document 5 has a text of its own and one that copies document 1: only the copy goes."""
+    own, other, last = edited_texts(5, 60)[0], edited_texts(6, 60)[300], edited_texts(7, 60)[590]
+    docs = make_docs([(1, other), (5, own), (5, other), (5, own), (7, last)])
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, other), (5, own), (7, last)])
