@@ -13,11 +13,14 @@ from reviewframe.session import shared_dir
 
 #: Rows in an Arrow batch. Texts may be long, so batches are kept small; a Python task holds one at a time.
 BATCH_ROWS = 512
+#: Bytes of such a batch, so that very long texts come in batches of their own.
+BATCH_BYTES = 16 << 20
 
 
 def prepared(spark: SparkSession) -> SparkSession:
     """Settings of the operators: small Arrow batches, UTC, adaptive plans."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
