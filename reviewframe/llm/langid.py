@@ -5,10 +5,11 @@ by descending count and then by code. A text is compared by the out-of-place dis
 own most frequent n-grams of how far their ranks lie apart, ``profile_size`` for one that the profile
 lacks. The least distance wins, ties go to the smaller language name.
 
-Profiles are counted over about ``max_docs`` labelled texts of each language, chosen by hash (the bound
-of the fit, as is ``max_langs``, the most frequent languages that get a profile); every text is identified whole. A text that is null or has no letter is ``und`` with score
-0. The score is 1 - (distance / largest possible distance), so 0 means nothing in common. Without a
-labelled text there are no profiles and every text is ``und``.
+Every language among the labels gets a profile, counted over about ``max_docs`` of its texts, chosen by hash
+(the bound of the fit); every text is identified whole. A text that is null or has no letter is ``und`` with
+score 0. The score is 1 - (distance / largest possible distance), so 0 means nothing in common. Without a
+labelled text there are no profiles and every text is ``und``. Training reads the columns doc_id, lang and
+text alone, whatever else the table has.
 """
 
 from __future__ import annotations
@@ -75,16 +76,16 @@ def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def train(docs: DataFrame, learn_from: Column | None = None, profile_size: int = 300,
-          max_docs: int = 3000, max_langs: int = 500) -> dict[str, np.ndarray]:
+          max_docs: int = 3000) -> dict[str, np.ndarray]:
     """Profile (codes by rank) of every language among the labelled rows."""
     prepared(docs.sparkSession)
-    labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL")
+    labelled = docs.select("doc_id", "lang", "text").where("lang IS NOT NULL AND text IS NOT NULL")
     if learn_from is not None:
         labelled = labelled.where(learn_from)
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs)
-    share = F.least(F.lit(1.0), F.lit(float(max_docs)) / F.col("count"))
-    # One row for each language, max_langs at most.
-    sample = labelled.join(F.broadcast(counts), "lang").where(
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("texts"))
+    share = F.least(F.lit(1.0), F.lit(float(max_docs)) / F.col("texts"))
+    # A few rows usually, which the planner broadcasts by their size.
+    sample = labelled.join(counts, "lang").where(
         F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1_000_000)) < share * 1_000_000)
     grams = sample.select(F.col("lang").cast("string"), "text").mapInArrow(
         _partial_counts, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
@@ -108,7 +109,8 @@ def distances(ranked: np.ndarray, profiles: list[tuple[np.ndarray, np.ndarray]],
 
 def predict(docs: DataFrame, profiles: dict[str, np.ndarray], profile_size: int = 300,
             text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``; every other column is kept as it is."""
+    """``docs`` with ``lang_pred`` and ``score`` (given ones are replaced); other columns are kept as they are."""
+    docs = docs.drop("lang_pred", "score")
     names = docs.columns
     if not profiles:
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})

@@ -1,26 +1,38 @@
 """Toxicity by a support vector machine over the gap-weighted subsequence kernel, with Nyström landmarks.
 
 The instances are spans: single words with punctuation and look-alike digits undone, and runs of letters
-that are written apart ("i d i o t"). phi(s) holds, for every ordered triple of letters that occurs in s
-within a window of ``_REACH`` + 1 letters, the sum of DECAY ** (letters spanned), so that an inserted
-letter weakens a match instead of ending it; k(s, t) = <phi(s), phi(t)> / (|phi(s)| |phi(t)|).
-
-A text's label says that some span of some sentence is toxic, not which (multiple-instance learning):
-sentences of clean texts are clean throughout, and a toxic text is represented by its best-scoring
-witness, chosen anew in each round. The Nyström map over the landmarks and the linear machine on it
-collapse into one weight for every letter triple, exactly, so scoring is a sum over a span's triples.
-A text's value is the largest over its spans; a logistic curve, fitted on texts that were kept apart
-while training, turns it into 0 to 1.
-
-Only a bounded sample of labelled texts (``max_positive``, ``max_negative``) is fitted, the least text of
-an id that repeats; every text is scored whole. Null and empty texts score as a text without a span. Without labels of both classes there
-is no model and every text scores 0.
+that are written apart ("i d i o t"); a long span is cut into overlapping windows, in training and in
+scoring alike. phi(s) holds, for every ordered triple of letters that occurs in s within ``_REACH`` + 1
+letters, the sum of DECAY ** (letters spanned), so that an inserted letter weakens a match instead of ending
+it; k(s, t) = <phi(s), phi(t)> / (|phi(s)| |phi(t)|).
+
+A text's label says that some span of it is toxic, not which. So spans are counted over the labelled texts,
+and a span teaches by its own counts:
+
+* toxic, if it is in toxic texts more often than chance puts any span of the vocabulary there (the
+  log-likelihood ratio of its share of toxic texts exceeds the logarithm of the number of spans), and at
+  least ``least_odds`` times as often, by share, as in clean ones;
+* clean, if it is in clean texts, and in no more toxic ones. The most frequent ones, a sample by hash, and in
+  every round those that the machine takes for the most toxic of all are the negatives.
+
+What lies between teaches nothing. The Nyström map over the landmarks (toxic spans that are not too alike,
+common clean ones and, after the first round, the hardest clean ones) and the linear machine on it collapse
+into one weight for every letter triple, exactly, so scoring is a sum over a span's triples. A text's value is
+the largest over its spans; a logistic curve, fitted on a fifth of the texts, which are not counted, in
+the true share of their classes, turns it into 0 to 1.
+
+Bounds of the fit, all parameters of ``train``: about ``max_positive`` toxic and ``max_negative`` clean labelled
+texts are read, chosen by hash, the least text of an id that repeats; the driver holds ``max_toxic`` toxic,
+``max_common`` + ``max_sampled`` + (``rounds`` - 1) * ``max_hard`` clean spans and a value for each text of the
+curve. Spans of under ``least_letters`` letters are not counted. Every text is scored whole. Null and empty
+texts score as a text without a span. Without labels of both classes, or without a toxic span, there is no model and
+every text scores 0. Rows with a null id or label teach nothing; of other columns only the id and the text
+are read in training.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, hashed_share, prepared, trim
+from .common import batch, hashed_share, prepared, stored, trim
 
 _LETTERS = 47           # 26 and 20 classes of other letters, 0 is none
 _REACH = 6              # letters from the first to the last of a triple, at most
@@ -54,9 +66,13 @@ def spans(text: str) -> set[str]:
     return found
 
 
+def windows(word: str) -> list[str]:
+    return [word[a:a + _WINDOW] for a in range(0, max(1, len(word) - _STEP), _STEP)]
+
+
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Letter classes of all windows, one after another, and the number of each letter's word."""
-    cut = [(i, w[a:a + _WINDOW]) for i, w in enumerate(words) for a in range(0, max(1, len(w) - _STEP), _STEP)]
+    cut = [(i, x) for i, w in enumerate(words) for x in windows(w)]
     points = np.frombuffer("".join(w for _, w in cut).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
     classes = np.where((points >= 97) & (points <= 122), points - 96, 27 + points % 20)
     lengths = np.array([len(w) for _, w in cut], dtype=np.int64)
@@ -113,10 +129,10 @@ class Model:
 
 
 class _Landmarks:
-    """Unit vectors of landmark words, over the triples that they hold."""
+    """Unit vectors of landmark words (a window each), over the triples that they hold."""
 
     def __init__(self, words: list[str]):
-        rows, triples, value, owner = features([w[:_WINDOW - _STEP] for w in words])
+        rows, triples, value, owner = features(words)
         self.triples, place = np.unique(triples, return_inverse=True)
         self.place = np.full(_LETTERS ** 3, -1, dtype=np.int32)
         self.place[self.triples] = np.arange(len(self.triples))
@@ -124,10 +140,10 @@ class _Landmarks:
         self.units[place, rows] = _unit(rows, value, len(owner))
 
     def gram(self, words: list[str]) -> np.ndarray:
-        """Kernel of each word (its first window) with each landmark."""
+        """Kernel of each word (a window) with each landmark."""
         out = []
         for at in range(0, len(words), 4000):
-            rows, triples, value, owner = features([w[:_WINDOW - _STEP] for w in words[at:at + 4000]])
+            rows, triples, value, owner = features(words[at:at + 4000])
             unit, place = _unit(rows, value, len(owner)), self.place[triples]
             known = np.flatnonzero(place >= 0)
             rows, products = rows[known], unit[known, None] * self.units[place[known]]
@@ -159,62 +175,26 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -
     return w
 
 
-def fit(bags: list[list[str]], labels: list[int], apart: list[bool], n_landmarks: int = 96,
-        rounds: int = 3) -> Model | None:
-    """Fit on bags of cleaned spans; bags marked ``apart`` set the curve only."""
-    train = [(b, y) for b, y, a in zip(bags, labels, apart) if not a and b]
-    n_pos, n_neg = sum(y for _, y in train), sum(1 - y for _, y in train)
-    if not n_pos or not n_neg:
-        return None
-    df = (Counter(), Counter())
-    for b, y in train:
-        df[y].update(b)
-    odds = {w: np.log((df[1][w] + 0.5) / (n_pos + 1)) - np.log((df[0][w] + 0.5) / (n_neg + 1))
-            + 0.3 * np.log1p(df[1][w]) for w in df[1]}
-    # Landmarks: spans that tell toxic texts apart, not too alike, and common spans of clean texts.
-    ranked = sorted((w for w in odds if df[1][w] > 1), key=lambda w: (-odds[w] - (df[0][w] == 0), w))[:3000]
-    candidates = _Landmarks(ranked[:800]).units
-    likeness = candidates.T @ candidates
-    chosen: list[int] = []
-    for i in range(len(likeness)):
-        if len(chosen) < n_landmarks // 2 and all(likeness[i, j] < 0.8 for j in chosen):
-            chosen.append(i)
-    common = [w for w, _ in sorted(df[0].items(), key=lambda x: (-x[1], x[0])) if len(w) > 3][:n_landmarks // 2]
-    words = list(dict.fromkeys([*(ranked[i] for i in chosen), *common]))
-    if not words:
-        return None
-    landmarks = _Landmarks(words)
-    values, vecs = np.linalg.eigh(landmarks.units.T @ landmarks.units)
+def machine(toxic: list[str], texts: list[int], clean_: list[str], landmarks: list[str]) -> Model:
+    """Fit on toxic spans, weighted by their number of toxic texts, against clean ones."""
+    held = _Landmarks(landmarks)
+    values, vecs = np.linalg.eigh(held.units.T @ held.units)
     root = vecs @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vecs.T  # Nyström map
+    y = np.array([1.0] * len(toxic) + [-1.0] * len(clean_))
+    weight = np.array([float(n) for n in texts] + [1.0] * len(clean_))
+    weight[:len(toxic)] *= max(1.0, 0.2 * len(clean_)) / weight[:len(toxic)].sum()
+    w = _svm(held.gram([*toxic, *clean_]) @ root, y, weight, ridge=0.1)
+    return Model(held.weights(root @ w[:-1]), float(w[-1]), 1.0, 0.0)
 
-    clean_words = sorted(df[0])
-    rng = np.random.default_rng(7)
-    negatives = {clean_words[i] for i in rng.choice(len(clean_words), min(len(clean_words), 12_000), replace=False)}
-    rank = dict(odds)
-    model = None
-    for _ in range(rounds):
-        # A toxic text none of whose spans recurs in another one, or is alike, teaches nothing: its label
-        # may well be wrong.
-        usable = {w for w in df[1] if w not in df[0] and (df[1][w] > 1 or model is not None and rank[w] > 0)}
-        witness = Counter(max(found, key=lambda w: (rank[w], w))
-                          for found in ([w for w in b if w in usable] for b, y in train if y) if found)
-        positives = sorted(witness)
-        if not positives:
-            return model
-        words = positives + sorted(negatives)
-        y = np.array([1.0] * len(positives) + [-1.0] * len(negatives))
-        weight = np.where(y > 0, [witness[w] for w in positives] + [0] * len(negatives), 1.0)
-        weight[y > 0] *= max(1.0, 0.2 * len(negatives)) / max(1.0, weight[y > 0].sum())
-        w = _svm(landmarks.gram(words) @ root, y, weight, ridge=0.1)
-        model = Model(landmarks.weights(root @ w[:-1]), float(w[-1]), 1.0, 0.0)
-        value = model.values(clean_words)  # clean words that come closest join the negatives
-        negatives |= {clean_words[i] for i in np.argsort(-value)[:3000]}
-        toxic_words = sorted(df[1])
-        rank = dict(zip(toxic_words, model.values(toxic_words)))
-    held = [(b, y) for b, y, a in zip(bags, labels, apart) if a and b] or train
-    best = np.array([model.values(b).max() for b, _ in held])
-    model.slope, model.shift = _curve(best, np.array([y for _, y in held], dtype=float))
-    return model
+
+def unlike(words: list[str], most: int, likeness: float = 0.8) -> list[str]:
+    """The first words that are not too alike, ``most`` at most."""
+    units = _Landmarks(words).units
+    chosen: list[int] = []
+    for i in range(len(words)):
+        if len(chosen) < most and (not chosen or (units[:, chosen].T @ units[:, i]).max() < likeness):
+            chosen.append(i)
+    return [words[i] for i in chosen]
 
 
 def _curve(value: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -229,9 +209,11 @@ def _curve(value: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(w[0], 1e-3)), float(w[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, max_positive: int = 1200,
-          max_negative: int = 2000) -> Model | None:
-    """Fit on about ``max_positive`` toxic and ``max_negative`` clean labelled texts, chosen by hash."""
+def train(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, max_positive: int = 4000,
+          max_negative: int = 16000, max_toxic: int = 2000, max_common: int = 4000, max_sampled: int = 8000,
+          max_hard: int = 4000, n_landmarks: int = 256, rounds: int = 3, least_odds: float = 19.0,
+          least_letters: int = 3) -> Model | None:
+    """The model of labelled texts; ``learn_from`` is a condition on ``doc_id``."""
     prepared(docs.sparkSession)
     marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(
         (F.max("toxic") > 0).cast("int").alias("toxic"))
@@ -245,20 +227,67 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None,
     # One text for each sampled id, however often the id occurs; the labels are max_positive + max_negative, about.
     sample = docs.select("doc_id", "text").join(F.broadcast(marked.where(share)), "doc_id").groupBy(
         "doc_id", "toxic").agg(F.min("text").alias("text"))
-    schema = pa.schema([("toxic", pa.int32()), ("apart", pa.bool_()), ("spans", pa.string())])
+    schema = pa.schema([("toxic", pa.int32()), ("apart", pa.bool_()), ("spans", pa.list_(pa.string()))])
 
-    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = [" ".join(sorted({c for c in map(clean, spans(t or "")) if len(c) > 2}))
+            found = [sorted({x for c in map(clean, spans(t or "")) if len(c) >= least_letters for x in windows(c)})
                      for t in b.column(2).to_pylist()]
-            yield batch(schema, [b.column(0), b.column(1), words])
+            yield batch(schema, [b.column(0), b.column(1), found])
+
+    bags = stored(sample.select("toxic", (F.pmod(F.xxhash64(F.lit("curve"), "doc_id"), F.lit(5)) == 0).alias("apart"),
+                                "text").mapInArrow(cut, "toxic int, apart boolean, spans array<string>"), "toxicity-bags")
+    counted = bags.where("NOT apart")
+    size = {r["toxic"]: r["count"] for r in counted.groupBy("toxic").count().collect()}
+    if len(size) < 2:
+        return None
+    seen = stored(counted.select("toxic", F.explode("spans").alias("span")).groupBy("span").agg(
+        F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")), "toxicity-spans")
+    floor = float(np.log(max(seen.count(), 2)))
+    chance = size[1] / (size[0] + size[1])
+    ratio = F.col("t") / (F.col("t") + F.col("c"))
+    evidence = F.col("t") * F.log(ratio / chance) + F.when(F.col("c") > 0, F.col("c") * F.log(
+        (1 - ratio) / (1 - chance))).otherwise(0.0)
+    toxic_spans = seen.where((F.col("t") > 0) & (ratio > chance) & (
+        F.col("t") * size[0] >= least_odds * F.col("c") * size[1])).withColumn("evidence", evidence)
+    clean_spans = seen.where("c > 0 AND t <= c")
+    for least in (floor, floor / 2):  # few labelled texts can't show as much
+        taught = toxic_spans.where(F.col("evidence") >= least).orderBy(F.desc("evidence"), "span").limit(max_toxic).collect()
+        if taught:
+            break
+    else:
+        return None
+    toxic, texts = [r["span"] for r in taught], [r["t"] for r in taught]
+    common = [r["span"] for r in clean_spans.orderBy(F.desc("c"), "span").limit(max_common).collect()]
+    sampled = [r["span"] for r in clean_spans.where(hashed_share("span", min(1.0, max_sampled / max(
+        clean_spans.count(), 1)))).orderBy("span").collect()]
+    used = dict.fromkeys([*common, *sampled])
+    base = [*unlike(toxic, n_landmarks // 2), *[w for w in common if len(w) > 3][:n_landmarks // 4]]
+    model = machine(toxic, texts, list(used), list(dict.fromkeys(base)))
+    for _ in range(1, rounds):
+        found = _valued(clean_spans.select(F.array("span").alias("spans"), "span"), model)
+        hard = [r["span"] for r in found.orderBy(F.desc("value"), "span").limit(max_hard).collect()]
+        used.update(dict.fromkeys(hard))
+        model = machine(toxic, texts, list(used), list(dict.fromkeys([*base, *hard[:n_landmarks // 4]])))
+    curve = bags.where("apart") if bags.where("apart").groupBy("toxic").count().count() > 1 else bags
+    held = _valued(curve.select("spans", F.col("toxic").cast("string").alias("span")), model).where("value IS NOT NULL").orderBy(
+        "span", "value").toArrow()
+    model.slope, model.shift = _curve(held["value"].to_numpy(), np.array([float(y) for y in held["span"].to_pylist()]))
+    return model
+
+
+def _valued(bags: DataFrame, model: Model) -> DataFrame:
+    """(span, value) of rows (spans, span): the largest value of the spans, null without one."""
+    schema = pa.schema([("span", pa.string()), ("value", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            given = b.column(0).to_pylist()
+            words = sorted(set().union(*given))
+            value = dict(zip(words, model.values(words).tolist()))
+            yield batch(schema, [b.column(1), [max(map(value.__getitem__, g), default=None) for g in given]])
 
-    rows = sample.select("toxic", (F.pmod(F.xxhash64(F.lit("curve"), "doc_id"), F.lit(3)) == 0).alias("apart"),
-                         "text").mapInArrow(bags, "toxic int, apart boolean, spans string") \
-        .orderBy("spans").toArrow()
-    shared: dict[str, str] = {}
-    bags_ = [[shared.setdefault(w, w) for w in t.as_py().split(" ") if w] for t in rows["spans"]]
-    return fit(bags_, rows["toxic"].to_pylist(), rows["apart"].to_pylist())
+    return bags.mapInArrow(run, "span string, value double")
 
 
 _WORDS: dict[str, float] = {}
@@ -267,7 +296,8 @@ _SCORES = pa.schema([("row", pa.int64()), ("score", pa.float64())])
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """``docs`` with the column ``score``; every other column is kept as it is."""
+    """``docs`` with the column ``score`` (a given one is replaced); every other column is kept as it is."""
+    docs = docs.drop("score")
     names = docs.columns
     if model is None:
         return docs.withColumn("score", F.lit(0.0))

@@ -118,6 +118,29 @@ def test_toxicity_tolerates_gaps(spark, make_docs):
     assert toxicity.score(docs.select("doc_id", "text").limit(0), model).count() == 0
 
 
+def test_toxicity_on_random_samples(spark):
+    """Three fits on four fifths of the labelled texts each, judged on all of them."""
+    sf_dir = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    marked = docs.join(labels.select("doc_id", "toxic").where("toxic IS NOT NULL"), "doc_id").cache()
+    for seed in range(3):
+        most = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(5)) > 0
+        model = toxicity.train(docs, labels, learn_from=most)
+        found = {(r.toxic, r.flag): r["count"] for r in toxicity.score(marked, model).groupBy(
+            "toxic", (F.col("score") >= 0.5).alias("flag")).count().collect()}
+        assert found[1, True] >= 0.85 * (found[1, True] + found.get((1, False), 0)), (seed, found)
+        assert found[0, False] >= 0.96 * (found[0, False] + found.get((0, True), 0)), (seed, found)
+
+
+def test_language_columns_and_many_languages(spark):
+    rows = [(i, "".join(chr(0xac00 + 18 * (i % 600) + k) for k in range(18)), f"l{i % 600}", 1, 2, "x") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, count int, texts int, score string")
+    found = langid.predict(docs, langid.train(docs))
+    assert found.columns == ["doc_id", "text", "lang", "count", "texts", "lang_pred", "score"]
+    assert found.where("lang <> lang_pred").count() == 0
+
+
 def test_language_model(spark, make_docs, monkeypatch):
     rng = random.Random(5)
     monkeypatch.setattr(lm, "SHORTLIST", 6)
