@@ -14,9 +14,3 @@ def spark():
     session = local_session("4", "tests", partitions=4, memory="4g")
     yield session
     session.stop()
-
-
-def rows(df, *order):
-    """Rows as plain tuples in a fixed order."""
-    return sorted((tuple(r) for r in df.collect()), key=repr) if not order else \
-        [tuple(r) for r in df.orderBy(*order).collect()]

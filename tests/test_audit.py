@@ -3,7 +3,7 @@ import os
 import time
 from datetime import datetime, timedelta, timezone
 
-from conftest import rows
+from plain_rows import rows
 from pyspark.sql import functions as F
 
 from reviewframe.operators import audit as au

@@ -1,7 +1,7 @@
 import random
 
 import numpy as np
-from conftest import rows
+from plain_rows import rows
 from pyspark.sql import functions as F
 
 from reviewframe import fixed_values as fx

@@ -1,6 +1,6 @@
 import json
 
-from conftest import rows
+from plain_rows import rows
 from pyspark.sql import functions as F
 
 from reviewframe import schemas

@@ -1,6 +1,6 @@
 """The review as one program, on hand-written sources and answers."""
 
-from conftest import rows
+from plain_rows import rows
 
 from reviewframe.plans.review import answered_requests, composed_inputs, context_texts, review_context
 from reviewframe.operators.policy import policy_resolve

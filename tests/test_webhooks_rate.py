@@ -5,7 +5,7 @@ import random
 from datetime import datetime, timedelta, timezone
 
 import pytest
-from conftest import rows
+from plain_rows import rows
 from pyspark.sql import functions as F
 
 from reviewframe import schemas
