@@ -84,8 +84,8 @@ def train(docs: DataFrame, learn_from: Column | None = None, profile_size: int =
         labelled = labelled.where(learn_from)
     counts = labelled.groupBy("lang").agg(F.count("*").alias("texts"))
     share = F.least(F.lit(1.0), F.lit(float(max_docs)) / F.col("texts"))
-    # A few rows usually, which the planner broadcasts by their size.
-    sample = labelled.join(counts, "lang").where(
+    # A row for each language: less than the profiles, which the driver holds and sends to the tasks anyway.
+    sample = labelled.join(F.broadcast(counts), "lang").where(
         F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1_000_000)) < share * 1_000_000)
     grams = sample.select(F.col("lang").cast("string"), "text").mapInArrow(
         _partial_counts, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
