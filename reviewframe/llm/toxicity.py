@@ -142,8 +142,8 @@ class _Landmarks:
     def gram(self, words: list[str]) -> np.ndarray:
         """Kernel of each word (a window) with each landmark."""
         out = []
-        for at in range(0, len(words), 4000):
-            rows, triples, value, owner = features(words[at:at + 4000])
+        for at in range(0, len(words), 400):
+            rows, triples, value, owner = features(words[at:at + 400])
             unit, place = _unit(rows, value, len(owner)), self.place[triples]
             known = np.flatnonzero(place >= 0)
             rows, products = rows[known], unit[known, None] * self.units[place[known]]
@@ -188,11 +188,15 @@ def machine(toxic: list[str], texts: list[int], clean_: list[str], landmarks: li
 
 
 def unlike(words: list[str], most: int, likeness: float = 0.8) -> list[str]:
-    """The first words that are not too alike, ``most`` at most."""
-    units = _Landmarks(words).units
+    """The first words (a window each) that are not too alike, ``most`` at most."""
+    rows, triples, value, owner = features(words)
+    unit, starts = _unit(rows, value, len(owner)), np.searchsorted(rows, np.arange(len(words) + 1))
     chosen: list[int] = []
+    held = np.zeros((most, _LETTERS ** 3), dtype=np.float32)
     for i in range(len(words)):
-        if len(chosen) < most and (not chosen or (units[:, chosen].T @ units[:, i]).max() < likeness):
+        own = slice(starts[i], starts[i + 1])
+        if len(chosen) < most and not (held[:len(chosen), triples[own]] @ unit[own] >= likeness).any():
+            held[len(chosen), triples[own]] = unit[own]
             chosen.append(i)
     return [words[i] for i in chosen]
 
