@@ -6,15 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.audit_log import audit_lines
+from ..sources.audit_log import append_batch
 
 
 def audit_append_stream(rows: DataFrame, path: str, checkpoint: str,
                         default_actor: str) -> StreamingQuery:
-    """Appends (event, data[, actor][, ts]) rows as log lines under date folders."""
-    return (audit_lines(rows, default_actor).writeStream.format("text").partitionBy("dt")
-            .option("path", path).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+    """Appends (event, data[, actor][, ts]) rows as log lines under day and epoch folders."""
+    return (rows.writeStream.foreachBatch(lambda batch, n: append_batch(batch, path, default_actor, n))
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def audit_counts_stream(entries: DataFrame, out: str, checkpoint: str) -> StreamingQuery:

@@ -8,42 +8,62 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .. import fixed_values as fx
 from ..operators.rate import accept_sorted
 
 _OUT = "request_id string, key string, t bigint, allowed boolean"
-_STATE = "accepted array<bigint>"
 
 
-def _limiter(limit: int, window_us: int):
-    def decide(key: tuple, frames: Iterator[pd.DataFrame],
-               state: GroupState) -> Iterator[pd.DataFrame]:
+class Limiter(StatefulProcessor):
+    """Accepted times of the last window as a list state, and a timer that empties it."""
+
+    def __init__(self, limit: int, window_us: int):
+        self.limit, self.window_us = limit, window_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.accepted = handle.getListState("accepted", "t bigint")
+
+    def _keep(self, times: list[int]) -> None:
+        """Stores the times; the timer fires when the watermark has passed the last one by a window."""
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        if times:
+            self.accepted.put([(t,) for t in times])
+            self.handle.registerTimer(-(-(times[-1] + self.window_us) // 1000))
+        elif self.accepted.exists():
+            self.accepted.clear()
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # A micro-batch may reach a key in several frames; decisions need them in time order.
-        frame = pd.concat(list(frames)).sort_values(["t", "request_id"], kind="stable")
+        frame = pd.concat(list(rows)).sort_values(["t", "request_id"], kind="stable")
         times = frame["t"].to_numpy(dtype=np.int64)
-        recent = deque(int(t) for t in state.get[0]) if state.exists else deque()
-        mask = accept_sorted(times, recent, limit, window_us)
+        recent = deque(t for (t,) in self.accepted.get()) if self.accepted.exists() else deque()
+        mask = accept_sorted(times, recent, self.limit, self.window_us)
         newest = int(times[-1])
-        live = [t for t in recent if newest - t < window_us]
-        if live:
-            state.update((live,))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame({"request_id": frame["request_id"].to_numpy(), "key": key[0],
-                            "t": times, "allowed": mask})
+        self._keep([t for t in recent if newest - t < self.window_us])
+        yield pd.DataFrame({"request_id": frame["request_id"].to_numpy(), "key": key[0], "t": times, "allowed": mask})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.accepted.clear()
+        return iter([])
 
-    return decide
+    def close(self) -> None:
+        pass
 
 
 def rate_limit_stream(requests: DataFrame, max_requests: int = fx.RATE_LIMIT_REQUESTS,
-                      window_seconds: int = fx.RATE_LIMIT_WINDOW_SECONDS) -> DataFrame:
+                      window_seconds: int = fx.RATE_LIMIT_WINDOW_SECONDS, late: str = "1 minute") -> DataFrame:
     """Streaming (request_id, key, t, allowed) for rows (request_id, key, t in microseconds).
 
-    The state of a key is the times of its last accepted requests, at most ``max_requests``. Rows
-    that come late, in a later micro-batch, are decided on arrival.
+    The state of a key is the times of its last accepted requests, at most ``max_requests``; it is gone once
+    the watermark, ``late`` behind the newest request, is a window past the last of them. No row is dropped:
+    those that come late, in a later micro-batch, are decided on arrival, by the state that is left.
     """
-    return requests.select("request_id", "key", "t").groupBy("key").applyInPandasWithState(
-        _limiter(max_requests, window_seconds * 1_000_000), _OUT, _STATE, "append",
-        GroupStateTimeout.NoTimeout)
+    timed = requests.select("request_id", "key", "t", F.timestamp_micros("t").alias("at")).withWatermark("at", late)
+    # The watermark drives the timers; without its column no row is dropped for being behind it.
+    return timed.select("request_id", "key", "t").groupBy("key").transformWithStateInPandas(
+        Limiter(max_requests, window_seconds * 1_000_000), _OUT, "append", "EventTime")

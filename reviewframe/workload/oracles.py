@@ -424,6 +424,12 @@ ENDING = """CASE WHEN event_id % 2 = 0 THEN 'review_started' WHEN user_id % 4 =
 ORACLES["audit_append"] = f"""
 SELECT epoch_us(ts) AS ts_us, {ENDING} AS event, 'svc' AS actor,
   't' || (event_id // 2) AS task_id, false AS malformed FROM events"""
+ORACLES["retention_boundary_day"] = f"""
+WITH l AS (SELECT ts, {ENDING} AS event, 't' || (event_id // 2) AS task_id FROM events),
+k AS (SELECT * FROM l WHERE ts >= TIMESTAMP '2024-01-15 12:00:00')
+SELECT strftime(ts, '%Y-%m-%d') AS item, count(*) AS entries FROM k GROUP BY 1
+UNION ALL SELECT 'purged', (SELECT count(*) FROM l) - (SELECT count(*) FROM k)
+UNION ALL (SELECT task_id, epoch_us(ts) FROM k WHERE event = 'review_started' ORDER BY ts, task_id LIMIT 50)"""
 ORACLES["audit_query_after_retention"] = f"""
 WITH hit AS (SELECT epoch_us(ts) AS ts_us, 't' || (event_id // 2) AS task_id FROM events
   WHERE {ENDING} = 'review_completed' AND ts >= TIMESTAMP '2024-01-18' ORDER BY ts_us, task_id LIMIT 100)

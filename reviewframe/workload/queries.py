@@ -365,11 +365,30 @@ def audit_append(spark: SparkSession, sf: str) -> DataFrame:
         au.data_field("task_id").alias("task_id"), "malformed")
 
 
+def _arrivals(spark: SparkSession, sf: str) -> DataFrame:
+    """The run log in an order of arrival that SQL can state."""
+    log = fx_.run_log(spark, sf)
+    return log.orderBy("ts", F.get_json_object("data", "$.task_id"), "event")
+
+
+@query
+def retention_boundary_day(spark: SparkSession, sf: str) -> DataFrame:
+    """A log purged in place at noon: entries of each day that is left and of the cut, and the first ones in order."""
+    log = shared_dir(spark, "audit-log")
+    sa.audit_append(_arrivals(spark, sf), log, "svc")
+    gone = sa.retain(spark, log, NOW.replace(hour=12), RETENTION_DAYS)
+    left = sa.audit_read(spark, log)
+    days = left.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("item")).agg(F.count("*").alias("entries"))
+    first = au.audit_query(left, "review_started", None, None, 50).select(
+        au.data_field("task_id").alias("item"), F.unix_micros("ts").alias("entries"))
+    return days.union(spark.createDataFrame([("purged", gone)], days.schema)).union(first)
+
+
 @query
 def audit_query_after_retention(spark: SparkSession, sf: str) -> DataFrame:
     """The first entries since a day, before and after the log was written anew."""
     since, (log, kept) = datetime(2024, 1, 18), (shared_dir(spark, "audit-log"), shared_dir(spark, "audit-kept"))
-    sa.audit_append(fx_.run_log(spark, sf), log, "svc")
+    sa.audit_append(_arrivals(spark, sf), log, "svc")
     sa.enforce_retention(spark, log, kept, NOW, RETENTION_DAYS)
     both = [au.audit_query(sa.audit_read(spark, path, since), "review_completed", None, since, 100)
             .select(F.lit(name).alias("log"), F.unix_micros("ts").alias("ts_us"),
@@ -387,7 +406,7 @@ def retention_job(spark: SparkSession, sf: str) -> DataFrame:
     summary, _ = ret.retention_job(spark, log, kept, [cache, cache], NOW, RETENTION_DAYS)
     left = sa.audit_read(spark, kept).agg(F.count(F.lit(1)).alias("purged")).select(
         F.lit("left in the log").alias("storage"), "purged", F.lit("ok").alias("status"))
-    return summary.unionByName(left)
+    return summary.drop("error").unionByName(left)
 
 
 @query

@@ -94,7 +94,7 @@ def test_append_read_and_job(spark, tmp_path):
     assert back["one"].ts.timestamp() == old.timestamp() and back["one"].actor == "svc"
     assert (back["two"].actor, back["two"].data, back["three"].actor) == ("me", "{}", "svc")
     ordered = [r.event for r in au.audit_query(sa.audit_read(spark, path)).collect()]
-    assert ordered[0] == "one" and sorted(ordered[1:]) == ["three", "two"]
+    assert ordered == ["one", "two", "three"]  # as they arrived
     assert rows(retention_preview(spark, path, NOW, 90)) == [("one", 1)]
 
     cache = tmp_path / "cache" / "deep"
@@ -126,3 +126,88 @@ def test_order_survives_retention_and_since_prunes_days(spark, tmp_path):
     assert [r.data for r in audit_read(spark, kept).orderBy("log_pos").collect()] == order
     since = audit_read(spark, log, datetime(2024, 1, 9, 12))
     assert {r.d for r in since.selectExpr("date_format(ts, 'dd') AS d").collect()} == {"09", "10"}
+
+
+def arrived(spark, path, since=None):
+    return [r.data for r in sa.audit_read(spark, path, since).filter("NOT malformed").orderBy("log_pos").collect()]
+
+
+def day_log(spark, path):
+    """Entries of five days that arrive against their times' order, in two appends."""
+    entries = spark.range(100).selectExpr("timestamp_seconds(1704067200 + (99 - id) * 4320) AS ts", "'e' AS event",
+                                          "concat('{\"n\":', id, '}') AS data").coalesce(1)
+    sa.audit_append(entries.filter("data < '{\"n\":5'"), path, "svc")
+    sa.audit_append(entries.filter("data >= '{\"n\":5'"), path, "svc")
+    numbers = sorted(range(100), key=lambda n: ('{"n":%d' % n >= '{"n":5', n))
+    return [(f'{{"n":{n}}}', datetime.fromtimestamp(1704067200 + (99 - n) * 4320, timezone.utc)) for n in numbers]
+
+
+def test_order_of_arrival_and_partition_filters(spark, tmp_path):
+    path = str(tmp_path / "log")
+    entries = day_log(spark, path)
+    (tmp_path / "log" / "other.jsonl").write_text(entry(ts="2020-01-01T00:00:00+00:00", n=-1) + "\n{broken\n")
+    assert arrived(spark, path) == ['{"n":-1}', *(d for d, _ in entries)]
+    since = datetime(2024, 1, 4, 7)
+    assert arrived(spark, path, since) == ['{"n":-1}', *(d for d, t in entries if t.day >= 4)]
+    plan = sa.audit_read(spark, path, since)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and ">= 2024-01-04" in plan.split("PartitionFilters: [", 1)[1].split("]")[0]
+
+
+def files_of(path):
+    return {str(f): f.stat().st_mtime_ns for f in path.rglob("*.txt")}
+
+
+def test_retention_by_day(spark, tmp_path, monkeypatch):
+    root = tmp_path / "log"
+    path = str(root)
+    entries = day_log(spark, path)
+    before = files_of(root)
+    cut = datetime(2024, 1, 3, 12, tzinfo=timezone.utc)
+    now = cut + timedelta(days=30)
+    kept = [d for d, t in entries if t >= cut]
+
+    def broken(*a, **kw):
+        raise ValueError("lost")
+    with monkeypatch.context() as m:  # the run breaks before its version is written
+        m.setattr(spark, "createDataFrame", broken)
+        try:
+            sa.retain(spark, path, now, 30)
+        except ValueError:
+            pass
+    assert arrived(spark, path) == [d for d, _ in entries]
+    assert sa.retain(spark, path, now, 30) == len(entries) - len(kept)
+    assert arrived(spark, path) == kept
+    assert before.items() <= files_of(root).items()  # no file of any day was touched
+    assert all("dt=2024-01-03" in f for f in files_of(root).keys() - before.keys())
+    assert sa.retain(spark, path, now, 30) == 0 and arrived(spark, path) == kept
+    late = spark.createDataFrame([(cut + timedelta(hours=1), "late", "{}"), (cut - timedelta(hours=1), "old", "{}")],
+                                 "ts timestamp, event string, data string")
+    sa.audit_append(late, path, "svc")
+    assert arrived(spark, path) == [*kept, "{}", "{}"]
+    assert sa.retain(spark, path, now + timedelta(hours=2), 30) == 1 + 1 + sum(
+        cut <= t < cut + timedelta(hours=2) for _, t in entries)
+    assert arrived(spark, path) == [d for d, t in entries if t >= cut + timedelta(hours=2)]
+    dead = {(r.dt, r.epoch[0]) for r in sa.dead_folders(spark, path).collect()}
+    assert {("2024-01-01", "a"), ("2024-01-03", "a"), ("2024-01-03", "r")} <= dead
+    assert ("2024-01-04", "a") not in dead
+    summary, _ = retention_job(spark, path, None, [str(tmp_path / "no cache")], now + timedelta(days=1), 30)
+    assert {r.storage: r.status for r in summary.collect()} == {"audit_logs": "ok", "cache_files": "ok"}
+    assert arrived(spark, path)[-1] != "{}" and "retention_policy_run" in [
+        r.event for r in sa.audit_read(spark, path).collect()]
+
+
+def test_a_failing_kind_is_an_error_of_its_own(spark, tmp_path, monkeypatch):
+    from reviewframe.operators import retention
+    path = str(tmp_path / "log")
+    day_log(spark, path)
+
+    def fails(*a):
+        raise OSError("no such store")
+    monkeypatch.setattr(retention, "cache_manifest", fails)
+    summary, manifest = retention.retention_job(spark, path, None, ["x"], datetime(2024, 2, 2), 30)
+    got = {r.storage: (r.purged, r.status, r.error) for r in summary.collect()}
+    assert got == {"audit_logs": (40, "ok", None), "cache_files": (None, "error", "no such store")}
+    assert manifest.count() == 0
+    run = sa.audit_read(spark, path).filter("event = 'retention_policy_run'").first()
+    assert json.loads(run.data) == {"audit_logs": {"purged": 40, "status": "ok"},
+                                    "cache_files": {"status": "error", "error": "no such store"}}

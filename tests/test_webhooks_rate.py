@@ -128,6 +128,40 @@ def test_limiter_equals_the_model(spark, limit, window, span):
     assert refused == {k for k, ok in want.items() if not ok}
 
 
+def test_saturated_key_in_small_blocks(monkeypatch):
+    """Counts, ties and repeats of one key that is always over its limit, packed into blocks of a few times."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(rate, "BLOCK", 7)
+    rng = random.Random(6)
+    items = [(f"{i:05d}", "k", rng.randrange(3000)) for i in range(4000)]
+    times, counts = np.unique([t for _, _, t in items], return_counts=True)
+    n = len(times)
+    batch = pa.RecordBatch.from_arrays([pa.array(["k"] * n), pa.array(np.zeros(n, np.int64)), pa.array(times),
+                                        pa.array(counts)], names=["key", "g", "t", "n"])
+    blocks = list(rate._pack([batch.slice(0, 500), batch.slice(500)]))
+    assert max(len(x) // 8 for b in blocks for x in b.column("t").to_pylist()) == 7
+    looked = []
+    whole = rate.accept_counted
+    monkeypatch.setattr(rate, "accept_counted", lambda *a: looked.append(1) or whole(*a))
+    got = {}
+    for b in rate._walker(5, 400)(blocks):
+        got.update(zip(b.column("t").to_pylist(), b.column("k").to_pylist()))
+    want = model_limit(items, 5, 400)
+    assert got == {int(t): sum(want[i] for i, _, x in items if x == t) for t in times}
+    assert len(looked) < sum(b.num_rows for b in blocks) / 2  # blocks that end before a slot is free are passed over
+
+
+def test_rows_stay_out_of_the_walk(spark):
+    df = as_frame(spark, [(f"{i:03d}", "k", i // 20 * 1_000_000) for i in range(400)])
+    plan = rate.rate_limit(df, 5, 10)._jdf.queryExecution().optimizedPlan().toString()
+    packing = plan[plan.index("MapInArrow _pack"):] if "MapInArrow _pack" in plan else plan[plan.index("_pack"):]
+    assert "request_id" not in packing.split("Relation")[0].split("LogicalRDD")[0]
+    got = {r.request_id: r.allowed for r in rate.rate_limit(df, 5, 10).collect()}
+    assert got == model_limit([(f"{i:03d}", "k", i // 20 * 1_000_000) for i in range(400)], 5, 10_000_000)
+
+
 def test_limiter_details(spark):
     second = 1_000_000
     items = [("a", "k", 0), ("b", "k", 9 * second), ("c", "k", 10 * second), ("d", "k", 10 * second),
@@ -157,6 +191,25 @@ def test_stream_equals_batch_over_a_restart(spark, tmp_path):
     assert got == model_limit(items, 3, 100 * 1_000_000)
 
 
+def test_idle_state_goes(spark, tmp_path):
+    """A key's state is empty once the watermark is a window past its last accepted request."""
+    src, out, cp = (str(tmp_path / n) for n in ("src", "out", "cp"))
+    second = 1_000_000
+    parts = [[("a", "idle", 1000 * second), ("b", "live", 1000 * second)],
+             [("c", "idle", 1010 * second), ("d", "live", 2000 * second)],
+             [("e", "live", 2010 * second), ("f", "idle", 5 * second)]]  # the last one comes late and is decided
+    held = []
+    for part in parts:
+        as_frame(spark, part).select("request_id", "key", "t").coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema("request_id string, key string, t long").parquet(src)
+        rate_limit_stream(stream, 3, 100).writeStream.format("parquet").option("path", out) \
+            .option("checkpointLocation", cp).trigger(availableNow=True).start().awaitTermination()
+        state = spark.read.format("statestore").option("path", cp).option("stateVarName", "accepted").load()
+        held.append(sorted({r.key.key for r in state.collect()}))
+    assert held[0] == ["idle", "live"] and held[1] == ["live"]
+    assert {r.request_id for r in spark.read.parquet(out).filter("allowed").collect()} == set("abcdef")
+
+
 def test_webhook_stream_equals_batch(spark, tmp_path):
     flat = [(*case, sign(case[0], case[2])) for cases in CASES.values() for case in cases]
     flat += [(*gh(number=n), sign("github", gh(number=n)[2])) for n in range(1, 6)]
