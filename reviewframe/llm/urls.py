@@ -143,8 +143,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], redirects: Da
     spread = parts.join(parts.join(seeds, "node", "left_semi").select("component").distinct(), "component",
                         "left_semi").select("node")
     blocked = seeds.union(spread).distinct().withColumn("blocked", F.lit(True))
-    # Most pages fit a rule or have no blocked alias; only those without a rule ask for one.
-    asked = found.withColumn("ask", F.when(F.col("fit").isNull(), F.col("node")))
-    judged = asked.join(blocked.withColumnRenamed("node", "ask"), "ask", "left")
-    return judged.select("page_id", "url", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce(
+    # Pages that fit a rule ask for no alias, and neither do those without a host: they would all meet in one task.
+    alone = found.where(F.col("fit").isNotNull() | F.col("node").isNull()).withColumn("blocked", F.lit(None).cast("boolean"))
+    asked = found.where(F.col("fit").isNull() & F.col("node").isNotNull()).join(blocked, "node", "left")
+    return alone.unionByName(asked).select("page_id", "url", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce(
         F.col("fit.verdict"), F.when(F.col("blocked"), F.lit(BLOCK)).otherwise(F.lit(ALLOW))).alias("verdict"))
