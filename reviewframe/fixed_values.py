@@ -84,6 +84,7 @@ DESCRIPTION_BUDGET = 8000
 FULL_REVIEW_BUDGET = 12000
 MAX_REFINE_ROUNDS = 3
 BLAST_DEPTH = 2
+DEPENDENCY = "Dependency: "
 
 # --- fixed values: text joiners -----------------------------------------------------------
 BLOCK_SEPARATOR = "\n\n---\n\n"

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fx
+from ..functions.once import computed
 from ..session import materialise
 
+
 def _walk(edges: DataFrame, seeds: DataFrame, max_depth: int, salts: int) -> DataFrame:
     """Shortest hop counts along ``edges`` (graph_id, here, there) from each seed.
 
@@ -57,7 +61,7 @@ def blast_parts(radius: DataFrame, nodes: DataFrame, seeds: DataFrame) -> DataFr
     described = nodes.select("graph_id", "name", "content").filter(F.length("content") > 0)
     return outside.join(described, ["graph_id", "name"]).select(
         "graph_id", "name",
-        F.concat(F.lit("Dependency: "), "name", F.lit("\n"), "content").alias("part"))
+        F.concat(F.lit(fx.DEPENDENCY), "name", F.lit("\n"), "content").alias("part"))
 
 
 def review_parts(radius: DataFrame, nodes: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -73,7 +77,48 @@ def review_parts(radius: DataFrame, nodes: DataFrame, seeds: DataFrame) -> DataF
     described = nodes.select("graph_id", "name", "content").filter(F.length("content") > 0)
     return outside.join(described, ["graph_id", "name"]).select(
         "review_id", "graph_id", "name",
-        F.concat(F.lit("Dependency: "), "name", F.lit("\n"), "content").alias("part"))
+        F.concat(F.lit(fx.DEPENDENCY), "name", F.lit("\n"), "content").alias("part"))
+
+
+def _reached(rows: DataFrame, names: str, there: Callable[[Column], Column], found: str, max_depth: int) -> DataFrame:
+    """Adds ``found``: names within ``max_depth`` steps of ``names``; each step is an array computed once."""
+    keep = rows.columns
+    empty = F.array().cast("array<string>")
+    rows = computed(rows, keep, _front=F.col(names), _found=empty)
+    for _ in range(max_depth):
+        step = computed(rows, [*keep, "_front", "_found"], _step=there(F.col("_front")))
+        rows = computed(step, keep, _front=F.array_except("_step", "_found"), _found=F.array_union("_found", "_step"))
+    return rows.select(*keep, F.col("_found").alias(found))
+
+
+def file_contexts(nodes: DataFrame, touched: DataFrame, max_depth: int = fx.BLAST_DEPTH) -> DataFrame:
+    """(review_id, filename, name, part): definitions near the changed ones, in call graphs of one file each.
+
+    A file's graph is one row, and so is its walk: what a seed calls or is called by, within ``max_depth``
+    steps each, without further exchanges. ``touched`` has review_id, repo, ref, file_path and line_nums; a
+    definition that holds such a line is a seed, and no seed is part of the context.
+    """
+    file = ["repo", "ref", "file_path"]
+    # Dealt by file once; both groupings are satisfied by it.
+    names = nodes.repartition(*file).groupBy(*file, "node_name").agg(
+        F.max_by("content", F.struct("start_line", "end_line")).alias("content"),
+        F.collect_list(F.struct("start_line", "end_line")).alias("spans"),
+        F.array_distinct(F.flatten(F.collect_list("dependencies"))).alias("calls"))
+    graphs = names.groupBy(*file).agg(F.collect_list(F.struct("node_name", "content", "spans", "calls")).alias("graph"))
+    rows = touched.select("review_id", *file, "line_nums").join(graphs, file)
+    changed = F.filter("graph", lambda n: F.exists(n["spans"], lambda s: F.exists(
+        "line_nums", lambda x: x.between(s["start_line"], s["end_line"]))))
+    rows = computed(rows, ["review_id", "file_path", "graph"], seeds=F.transform(changed, lambda n: n["node_name"]))
+    rows = rows.filter(F.size("seeds") > 0)
+    rows = _reached(rows, "seeds", lambda front: F.array_distinct(F.flatten(F.transform(F.filter(
+        "graph", lambda n: F.array_contains(front, n["node_name"])), lambda n: n["calls"]))), "down", max_depth)
+    rows = _reached(rows, "seeds", lambda front: F.transform(F.filter(
+        "graph", lambda n: F.arrays_overlap(n["calls"], front)), lambda n: n["node_name"]), "up", max_depth)
+    near = computed(rows, ["review_id", "file_path", "graph"], near=F.array_except(F.array_union("down", "up"), "seeds"))
+    found = near.select("review_id", F.col("file_path").alias("filename"), F.explode(F.filter(
+        "graph", lambda n: F.array_contains(F.col("near"), n["node_name"]) & (F.length(n["content"]) > 0))).alias("n"))
+    return found.select("review_id", "filename", F.col("n.node_name").alias("name"),
+                        F.concat(F.lit(fx.DEPENDENCY), "n.node_name", F.lit("\n"), "n.content").alias("part"))
 
 
 def blast_context(radius: DataFrame, nodes: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fx
 from ..operators.comments import ground_comments, noise_control, parse_findings, review_summary, suppress_repeats
-from ..operators.diffs import added_lines_json, hunk_table, hunks_nested, touched_lines
+from ..operators.diffs import added_lines_json, changed_lines, hunk_table, hunks_nested, touched_lines
 from ..operators.feedback import feedback_stats
 from ..operators.files import reviewable_files, scannable_files
-from ..operators.graph import blast_radius, review_parts
+from ..operators.graph import file_contexts
 from ..operators.infer import review_inputs
-from ..operators.nodes import call_edges, changed_code, extract_nodes, graph_nodes, modified_nodes
+from ..operators.nodes import changed_code, extract_nodes, modified_nodes
 from ..operators.policy import policy_text
 from ..operators.rules import gate, scan_hunks, scan_nodes, with_apis
 from ..sources.outbox import review_outbox
@@ -62,18 +62,11 @@ def review_context(code: DataFrame, lines: DataFrame, reviews: DataFrame,
     """(review_id, filename, name, part): definitions near the changed ones of each changed file.
 
     A call graph is one file's: a name that many files define, such as ``main``, is resolved in the
-    file that calls it. Only the code of changed files is parsed, and once.
+    file that calls it. Only the code of changed files is parsed, once, and nothing runs while the plan is made.
     """
-    spark, scope = code.sparkSession, ("repo", "ref", "file_path")
-    nodes = materialise(spark, extract_nodes(changed_code(code, lines, reviews)), "nodes")
-    changed = modified_nodes(nodes, lines, reviews)
-    seeds = materialise(spark, changed.select(
-        "review_id", F.concat_ws("@", *scope).alias("graph_id"), F.col("file_path").alias("filename"),
-        F.col("node_name").alias("name")).distinct(), "seeds")
-    edges = call_edges(nodes, scope)
-    parts = review_parts(blast_radius(edges, seeds, max_depth), graph_nodes(nodes, edges, scope), seeds)
-    files = seeds.select("review_id", "graph_id", "filename").distinct()
-    return parts.join(files, ["review_id", "graph_id"]).select("review_id", "filename", "name", "part")
+    touched = (changed_lines(lines).join(reviews.select("review_id", "repo", "ref"), "review_id")
+               .withColumnRenamed("filename", "file_path"))
+    return file_contexts(extract_nodes(changed_code(code, lines, reviews)), touched, max_depth)
 
 
 def context_texts(parts: DataFrame) -> DataFrame:

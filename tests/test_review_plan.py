@@ -56,3 +56,56 @@ def test_answers_to_requests(spark):
     policies = policy_resolve(reviews, spark.createDataFrame([], "repo string, config string"))
     sent = answered_requests(answers, files, policies, posted, reviews, "Bot").collect()
     assert [(r.seq.seq, r.seq.pos, r.fallback, r.sendable) for r in sent] == [(1, 0, "**[INFO] Bot**\n\nnew", True)]
+
+
+def random_graphs(spark, seed):
+    """Definitions of six files with repeated names, undefined callees, empty texts and self calls; changed lines."""
+    import random
+
+    rng = random.Random(seed)
+    nodes, touched = [], []
+    for f in range(6):
+        for i in range(rng.randrange(1, 25)):
+            start = 10 * i
+            calls = sorted({f"n{rng.randrange(30)}" for _ in range(rng.randrange(4))})
+            nodes.append(("o/r", "main", f"f{f}.py", "function", f"n{rng.randrange(18)}",
+                          rng.choice(["", None, f"text {f} {i}", f"more {i}"]), start, start + rng.randrange(14), calls, False))
+        for review in ("a", "b"):
+            touched.append((review, f"f{f}.py", sorted(rng.sample(range(260), rng.randrange(0, 4)))))
+    return (spark.createDataFrame(nodes, "repo string, ref string, file_path string, node_type string, node_name string, "
+                                  "content string, start_line int, end_line int, dependencies array<string>, "
+                                  "has_docstring boolean"),
+            spark.createDataFrame(touched, "review_id string, filename string, line_nums array<int>"),
+            spark.createDataFrame([("a", "o/r", "main"), ("b", "o/r", "main")], "review_id string, repo string, ref string"))
+
+
+def test_walk_in_the_row_equals_the_joined_walk(spark):
+    from pyspark.sql import functions as F
+
+    from reviewframe.operators import graph as gr
+    from reviewframe.operators.nodes import call_edges, graph_nodes, modified_nodes
+
+    scope = ("repo", "ref", "file_path")
+    for seed, depth in ((1, 1), (2, 2), (3, 3)):
+        nodes, lines, reviews = random_graphs(spark, seed)
+        touched = lines.join(reviews, "review_id").withColumnRenamed("filename", "file_path")
+        seeds = modified_nodes(nodes, lines, reviews).select(
+            "review_id", F.concat_ws("@", *scope).alias("graph_id"), F.col("node_name").alias("name")).distinct()
+        edges = call_edges(nodes, scope)
+        joined = gr.review_parts(gr.blast_radius(edges, seeds, depth), graph_nodes(nodes, edges, scope), seeds).select(
+            "review_id", F.element_at(F.split("graph_id", "@"), -1).alias("filename"), "name", "part")
+        want = rows(joined)
+        assert want and rows(gr.file_contexts(nodes, touched, depth)) == want
+
+
+def test_no_job_runs_while_the_context_is_planned(spark):
+    given = inputs(spark)
+    spark.sparkContext.setJobGroup("planning", "no job")
+    try:
+        found = review_context(*given)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("planning")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1  # code is parsed once
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found.count() > 0
