@@ -206,10 +206,16 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int = fx.SEARCH_K, by: str | N
     return first_n(hits, ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k)
 
 
-def search_text(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """One text per query over its ranked hits, as a search tool would answer."""
-    told = hits.join(chunks.select("chunk_id", "file_path", "node_type", "node_name", "content"),
-                     "chunk_id")
+def search_text(hits: DataFrame, chunks: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """One text per query over its ranked hits, as a search tool would answer.
+
+    With ``queries`` (query_id, repo) a hit is a chunk of its query's repo: other repos may use the same id.
+    """
+    described = chunks.select("repo", "chunk_id", "file_path", "node_type", "node_name", "content")
+    if queries is None:
+        told = hits.join(described, "chunk_id")
+    else:
+        told = hits.join(queries.select("query_id", "repo").distinct(), "query_id").join(described, ["repo", "chunk_id"])
     block = search_result_block(F.col("file_path"), F.col("node_type"), F.col("node_name"),
                                 F.col("score"), F.col("content"))
     ordered = F.array_sort(F.collect_list(F.struct("rank", block.alias("block"))))

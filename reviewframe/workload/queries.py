@@ -612,7 +612,7 @@ def knn_blocked(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def search_text(spark: SparkSession, sf: str) -> DataFrame:
     queries, chunks = fx_.vectors(spark, sf)
-    return ve.search_text(ve.knn(queries, chunks, fx.SEARCH_K_TOOL, by="repo"), chunks)
+    return ve.search_text(ve.knn(queries, chunks, fx.SEARCH_K_TOOL, by="repo"), chunks, queries)
 
 
 @query

@@ -292,3 +292,14 @@ def test_waterfall(spark):
     assert [(e.provider, e.kind) for e in one.errors] == [("p", "rate_limited")]
     assert two.provider is None and two.content is None
     assert [e.kind for e in two.errors] == ["not_found", "other"]
+
+
+def test_search_text_keeps_to_the_query_s_repo(spark):
+    from reviewframe.operators.vectors import search_text
+
+    chunks = spark.createDataFrame([("a", 1, "a.py", "f", "x", "own"), ("b", 1, "b.py", "f", "y", "other")],
+                                   "repo string, chunk_id long, file_path string, node_type string, node_name string, content string")
+    hits = spark.createDataFrame([(7, 1, 0.5, 1)], "query_id long, chunk_id long, score double, rank int")
+    queries = spark.createDataFrame([(7, "a")], "query_id long, repo string")
+    (found,) = search_text(hits, chunks, queries).collect()
+    assert "own" in found.result and "other" not in found.result

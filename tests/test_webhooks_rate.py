@@ -238,6 +238,11 @@ def test_audit_streams_over_a_restart(spark, tmp_path):
         audit_counts_stream(stream(), counts, str(tmp_path / "cp2")).awaitTermination()
     assert rows(current_counts(spark.read.parquet(counts))) == [("a", 3), ("b", 1), ("c", 1)]
     assert audit_read(spark, log).filter("NOT malformed").count() == 5
+    for n in range(4):  # what is kept doesn't grow with the batches
+        spark.createDataFrame([("d", None)], "event string, data string").write.mode("append").parquet(src)
+        audit_counts_stream(stream(), counts, str(tmp_path / "cp2")).awaitTermination()
+    assert rows(current_counts(spark.read.parquet(counts))) == [("a", 3), ("b", 1), ("c", 1), ("d", 4)]
+    assert spark.read.parquet(counts).count() <= 2 * 4 and len(list((tmp_path / "counts").rglob("*.parquet"))) == 2
 
 
 def test_repeated_and_missing_request_ids_stay_rows(spark):
