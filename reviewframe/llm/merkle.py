@@ -1,18 +1,27 @@
-"""Document fingerprints: a Merkle tree over sections, paragraphs and phrases, in DataFrame functions only.
+"""Document fingerprints: a Merkle tree over sections, paragraphs and leaves, in DataFrame functions only.
 
 A text is cut, without losing a character, into sections (after blank lines), paragraphs (after line
-ends) and phrases (after a blank that follows a word with one of a fixed set of last letters, or a sign
-that ends a sentence). The cuts depend on the text around them alone, so an edit moves no cut elsewhere.
-A paragraph's digest covers its text, a section's digest its paragraphs' digests, the root its sections'
-digests: equal roots mean equal texts. Where roots differ, the differing section and paragraph digests
-locate the edit, and the phrases that two trees share measure how alike the texts are.
-
-A fingerprint is a string: the root, a colon, and the phrases' hashes in order, eight digits each. Null
-and empty texts are the empty tree, whose fingerprint is the digest of nothing and no phrase.
+ends) and leaves. For the leaves a paragraph is read as short tokens (up to 16 cased letters and digits, or
+one letter of a script without case, and the signs that follow), and cut after every token whose hash isn't
+above the next one's: about two tokens a leaf, whatever the script. The cuts depend on the text around them
+alone, so an edit moves no cut elsewhere, and repeated or periodic text is cut in every period.
+
+A leaf's digest covers its text, a paragraph's its leaves' digests, a section's its paragraphs', the root its
+sections': equal roots mean equal texts. A fingerprint is a string that carries the tree: the root, a colon, and
+the sections joined by ``/``; a section is its digest, ``=`` and its paragraphs joined by ``,``; a paragraph is its
+digest, ``-`` and its leaves (inner digests have sixteen digits there, leaves eight). ``parse`` reads it back.
+
+Likeness descends from the root: branches with equal digests are set against each other, as often as both trees
+hold them, and only what differs is opened, down to the leaves. It is the share of leaves that are common.
+
+Null and empty texts are the empty tree, whose root is the digest of nothing. Repeated rows each give a row;
+columns beside ``doc_id`` and ``text`` are not read, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,65 +29,146 @@ from .common import prepared
 
 SECTION = r"(?<=\n\n)(?!\n)"
 PARAGRAPH = r"(?<=\n)"
-PHRASE = r"(?<=[adehlnostxéADEHLNOSTX0-9.!?,;:|&%*\n][ \n])"
+TOKEN = r"(?:[\p{L}\p{N}&&[^\p{Lo}]]{1,16}|\p{Lo})[^\p{L}\p{N}]{0,16}|[^\p{L}\p{N}]{1,16}"
+#: Digits of a digest in a fingerprint string: sections and paragraphs, leaves.
+INNER, LEAF = 16, 8
 
 
 def _parts(text: Column, pattern: str) -> Column:
     return F.filter(F.split(text, pattern), lambda x: x != "")
 
 
-def sections(text: Column) -> Column:
-    """The tree's inner nodes: array of (digest, paragraphs: array of digests)."""
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once in the row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _positions(array: Column, chosen: Callable[[Column, Column], Column]) -> Column:
+    """Places (from 0) of the elements for which ``chosen`` (element, place) holds, in order."""
+    return F.filter(F.transform(array, lambda x, i: F.when(chosen(x, i), i)), lambda i: i.isNotNull())
+
+
+def leaves(paragraph: Column) -> Column:
+    """The leaves of a paragraph, in order; joined they are the paragraph."""
+    def cut(tokens: Column) -> Column:
+        ends = _with(F.transform(tokens, lambda t: F.xxhash64(t)), lambda hashes: _positions(
+            hashes, lambda h, i: F.coalesce(h <= F.get(hashes, i + 1), F.lit(True))))
+        return _with(ends, lambda e: F.transform(e, lambda end, j: _with(
+            F.coalesce(F.get(e, j - 1), F.lit(-1)),
+            lambda before: F.array_join(F.slice(tokens, before + 2, end - before), ""))))
+
+    return _with(F.regexp_extract_all(paragraph, F.lit(TOKEN), F.lit(0)), cut)
+
+
+def _digest(children: Column) -> Column:
+    return F.sha2(F.array_join(children, ""), 256)
+
+
+def tree(text: Column) -> Column:
+    """(root, sections: array of (digest, paragraphs: array of (digest, leaves: array of digests)))."""
+    def paragraph(part: Column) -> Column:
+        return _with(F.transform(leaves(part), lambda x: F.sha2(x, 256)), lambda digests: F.struct(
+            _digest(digests).alias("digest"), F.transform(digests, lambda d: F.left(d, F.lit(LEAF))).alias("leaves")))
+
     def section(part: Column) -> Column:
-        paragraphs = F.transform(_parts(part, PARAGRAPH), lambda p: F.sha2(p, 256))
-        return F.struct(F.sha2(F.array_join(paragraphs, ""), 256).alias("digest"), paragraphs.alias("paragraphs"))
+        return _with(F.transform(_parts(part, PARAGRAPH), paragraph), lambda found: F.struct(
+            _digest(found["digest"]).alias("digest"), found.alias("paragraphs")))
+
+    return _with(F.transform(_parts(text, SECTION), section), lambda found: F.struct(
+        _digest(found["digest"]).alias("root"), found.alias("sections")))
+
+
+def fingerprint(node: Column) -> Column:
+    """A tree as a string."""
+    def paragraph(p: Column) -> Column:
+        return F.concat(F.left(p["digest"], F.lit(INNER)), F.lit("-"), F.array_join(p["leaves"], ""))
+
+    def section(s: Column) -> Column:
+        return F.concat(F.left(s["digest"], F.lit(INNER)), F.lit("="),
+                        F.array_join(F.transform(s["paragraphs"], paragraph), ","))
+
+    return F.concat(node["root"], F.lit(":"), F.array_join(F.transform(node["sections"], section), "/"))
+
+
+def parse(value: Column) -> Column:
+    """The tree that a fingerprint string carries, digests as long as they are there."""
+    def paragraph(p: Column) -> Column:
+        return F.struct(F.substring_index(p, "-", 1).alias("digest"), F.regexp_extract_all(
+            F.substring_index(p, "-", -1), F.lit("[0-9a-f]{%d}" % LEAF), F.lit(0)).alias("leaves"))
+
+    def section(s: Column) -> Column:
+        return F.struct(F.substring_index(s, "=", 1).alias("digest"), F.transform(
+            F.split(F.substring_index(s, "=", -1), ","), paragraph).alias("paragraphs"))
+
+    return F.struct(F.substring_index(value, ":", 1).alias("root"), F.transform(
+        F.filter(F.split(F.substring_index(value, ":", -1), "/"), lambda s: s != ""), section).alias("sections"))
+
+
+def _counted(nodes: Column, side: int) -> Column:
+    """(digest, side, n, below) of each distinct digest among nodes (digest, below)."""
+    def runs(held: Column) -> Column:
+        starts = _positions(held, lambda x, i: F.coalesce(x["digest"] != F.get(held, i - 1)["digest"], F.lit(True)))
+        return _with(starts, lambda at: F.transform(at, lambda p, j: F.struct(
+            F.get(held, p)["digest"].alias("digest"), F.lit(side).alias("side"),
+            (F.coalesce(F.get(at, j + 1), F.size(held)) - p).alias("n"), F.get(held, p)["below"].alias("below"))))
+
+    return _with(F.array_sort(nodes), runs)
+
+
+def _unmatched(a: Column, b: Column) -> Column:
+    """(digest, side, n, below) of nodes that one side holds ``n`` times more than the other."""
+    def rest(all_: Column) -> Column:
+        def partner(x: Column, i: Column) -> Column:
+            beside = F.array(F.get(all_, i - 1), F.get(all_, i + 1))
+            return F.coalesce(F.get(F.filter(beside, lambda y: y["digest"] == x["digest"]), F.lit(0))["n"], F.lit(0))
+
+        return F.filter(F.transform(all_, lambda x, i: x.withField("n", x["n"] - partner(x, i))), lambda x: x["n"] > 0)
 
-    return F.transform(_parts(text, SECTION), section)
+    return _with(F.array_sort(F.concat(_counted(a, 0), _counted(b, 1))), rest)
 
 
-def root(text: Column) -> Column:
-    """Digest of the sections' digests."""
-    digests = F.transform(_parts(text, SECTION), lambda s: F.sha2(F.array_join(
-        F.transform(_parts(s, PARAGRAPH), lambda p: F.sha2(p, 256)), ""), 256))
-    return F.sha2(F.array_join(digests, ""), 256)
+def _opened(rest: Column, side: int) -> Column:
+    """What lies below the unmatched nodes of a side, as often as they are unmatched."""
+    return F.flatten(F.transform(F.filter(rest, lambda x: x["side"] == side),
+                                 lambda x: F.flatten(F.array_repeat(x["below"], x["n"]))))
 
 
-def phrases(text: Column) -> Column:
-    """32-bit hashes of the text's phrases, in order."""
-    return F.transform(_parts(text, PHRASE), lambda p: F.hash(p))
+def _nodes(found: Column, below: str) -> Column:
+    return F.transform(found, lambda x: F.struct(x["digest"].alias("digest"), x[below].alias("below")))
 
 
-def fingerprint(root_digest: Column, phrase_hashes: Column) -> Column:
-    digits = F.transform(phrase_hashes, lambda h: F.lpad(F.hex(h.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))
-    return F.lower(F.concat_ws(":", root_digest, F.array_join(digits, "")))
+def _leaf_nodes(digests: Column) -> Column:
+    return F.transform(digests, lambda d: F.struct(d.alias("digest"), F.lit(0).alias("below")))
 
 
-def fingerprint_phrases(value: Column) -> Column:
-    """Phrase hashes (as digits) that a fingerprint string holds."""
-    digits = F.substring_index(value, ":", -1)
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.length(digits) / 8 - 1, F.lit(-1)).cast("int"), F.lit(1)),
-                       lambda i: F.substring(digits, i * 8 + 1, 8))
+def differing(a: Column, b: Column) -> Column:
+    """(digest, side, n, below) of the leaves in which two trees differ, found below differing branches only."""
+    paragraphs = _unmatched(_nodes(a["sections"], "paragraphs"), _nodes(b["sections"], "paragraphs"))
+    found = _with(paragraphs, lambda s: _unmatched(_nodes(_opened(s, 0), "leaves"), _nodes(_opened(s, 1), "leaves")))
+    return _with(found, lambda p: _unmatched(_leaf_nodes(_opened(p, 0)), _leaf_nodes(_opened(p, 1))))
 
 
-def likeness(root_a: Column, phrases_a: Column, root_b: Column, phrases_b: Column) -> Column:
-    """1 for equal roots; else the share of distinct phrases that both have (twice the common ones by both sizes)."""
-    common = F.size(F.array_intersect(phrases_a, phrases_b))
-    all_ = F.size(F.array_distinct(phrases_a)) + F.size(F.array_distinct(phrases_b))
-    return F.when(root_a == root_b, F.lit(1.0)).when(all_ == 0, F.lit(0.0)).otherwise(2.0 * common / all_)
+def leaf_count(node: Column) -> Column:
+    return F.aggregate(node["sections"], F.lit(0), lambda n, s: n + F.aggregate(
+        s["paragraphs"], F.lit(0), lambda m, p: m + F.size(p["leaves"])))
 
 
-def tree(docs: DataFrame) -> DataFrame:
-    """(doc_id, root, section, section_digest, paragraph, paragraph_digest): the nodes above the phrases."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    nodes = docs.select("doc_id", root(text).alias("root"), F.posexplode_outer(sections(text)).alias("section", "node"))
-    return nodes.select("doc_id", "root", "section", F.col("node.digest").alias("section_digest"),
-                        F.posexplode_outer("node.paragraphs").alias("paragraph", "paragraph_digest"))
+def likeness(a: Column, b: Column) -> Column:
+    """1 for equal roots; else the share of the two trees' leaves that have a partner in the other tree."""
+    left = F.aggregate(differing(a, b), F.lit(0), lambda n, x: n + x["n"])
+    return F.when(a["root"] == b["root"], F.lit(1.0)).otherwise(_with(
+        leaf_count(a) + leaf_count(b), lambda all_: (all_ - left) / all_))
 
 
-def fingerprints(docs: DataFrame, *kept: str) -> DataFrame:
-    """doc_id, text, the columns ``kept``, ``root`` and ``phrases``."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", *kept, text.alias("text"), root(text).alias("root"), phrases(text).alias("phrases"))
+def nodes(docs: DataFrame) -> DataFrame:
+    """(doc_id, root, section, section_digest, paragraph, paragraph_digest, leaves): a row for each paragraph."""
+    found = docs.select("doc_id", tree(F.coalesce(F.col("text"), F.lit(""))).alias("tree"))
+    rows = found.select("doc_id", F.col("tree.root").alias("root"), F.posexplode_outer("tree.sections").alias(
+        "section", "node"))
+    return rows.select("doc_id", "root", "section", F.col("node.digest").alias("section_digest"),
+                       F.posexplode_outer("node.paragraphs").alias("paragraph", "part")).select(
+        "doc_id", "root", "section", "section_digest", "paragraph", F.col("part.digest").alias("paragraph_digest"),
+        F.col("part.leaves").alias("leaves"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -121,11 +211,10 @@ def edit_report(docs: DataFrame) -> DataFrame:
     prepared(docs.sparkSession)
     # Only texts travel to their neighbours; fingerprints are cheaper to make again than to carry.
     found = with_next(docs).withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    changed = found.select("doc_id", "text", "edited", *(f(F.col(c)).alias(f"{p}{n}") for c, p in (
-        ("text", ""), ("edited", "edited_"), ("next_text", "next_")) for n, f in (("root", root), ("phrases", phrases))))
+    changed = found.select("doc_id", "text", "edited", *(
+        tree(F.col(c)).alias(n) for c, n in (("text", "own"), ("edited", "new"), ("next_text", "after"))))
     return changed.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprint(F.col("root"), F.col("phrases")).alias("fingerprint"),
-        fingerprint(F.col("edited_root"), F.col("edited_phrases")).alias("edited_fingerprint"),
-        likeness(F.col("root"), F.col("phrases"), F.col("edited_root"), F.col("edited_phrases")).alias("near_edited"),
-        likeness(F.col("root"), F.col("phrases"), F.col("next_root"), F.col("next_phrases")).alias("near_next"))
+        fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("new")).alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("new")).alias("near_edited"),
+        likeness(F.col("own"), F.col("after")).alias("near_next"))

@@ -1,12 +1,19 @@
 """URL verdicts, chat formatting and Merkle fingerprints against brute force."""
 
 import hashlib
+import random
 import re
+from collections import Counter
 
+import regex
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from reviewframe.llm import chat, merkle, urls
+from reviewframe.llm.queries import QUERIES
+
+SF = "/root/testdata/sf0.01"
 
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
          ("net", "/es/", "block"))
@@ -95,40 +102,100 @@ def test_expansion(spark):
     assert chat.read_back(chat.expand(frame.limit(0))).count() == 0
 
 
-def brute_root(text):
+def brute_tree(text, hashes):
+    """(root, leaves) with the hashes of tokens given; sections, paragraphs and leaves as nested lists."""
     def digest(x):
         return hashlib.sha256(x.encode()).hexdigest()
-    parts = [s for s in re.split(r"(?<=\n\n)(?!\n)", text) if s]
-    return digest("".join(digest("".join(digest(p) for p in re.split(r"(?<=\n)", s) if p)) for s in parts))
+
+    def cut(paragraph):
+        tokens, out, held = tokens_of(paragraph), [], ""
+        for i, t in enumerate(tokens):
+            held += t
+            if i + 1 == len(tokens) or hashes[t] <= hashes[tokens[i + 1]]:
+                out.append(held)
+                held = ""
+        assert "".join(out) == paragraph
+        return [digest(x) for x in out]
+
+    sections = [[cut(p) for p in re.split(r"(?<=\n)", s) if p] for s in re.split(r"(?<=\n\n)(?!\n)", text) if s]
+    root = digest("".join(digest("".join(digest("".join(p)) for p in s)) for s in sections))
+    return root, Counter(leaf[:8] for s in sections for p in s for leaf in p)
+
+
+def tokens_of(text):
+    return regex.findall(r"(?V1)(?:[[\p{L}\p{N}]--\p{Lo}]{1,16}|\p{Lo})[^\p{L}\p{N}]{0,16}|[^\p{L}\p{N}]{1,16}", text)
+
+
+def brute_likeness(a, b):
+    if a[0] == b[0]:
+        return 1.0
+    return 2 * (a[1] & b[1]).total() / (a[1].total() + b[1].total())
 
 
 def test_fingerprints(spark, make_docs):
     texts = ["One two three.\nFour five.\n\nSix.", "One two three.\nFour five.\n \nSix.", "", None, "a", "ab\n\n\n\nc",
-             "One two three.\nFour five.\n\nSix.", "é🙂 end of it. " * 9, "long words of text. " * 5000]
+             "One two three.\nFour five.\n\nSix.", "é🙂 end of it. " * 9, "long words of text. " * 5000,
+             "x" * 20_000, "\u6f22\u5b57\u3068\u4eee\u540d\u306e\u6587\u7ae0" * 30]
     rows = [*enumerate(texts), (4, "twice"), (None, "no id")]
     frame = make_docs(rows, "doc_id long, text string, root int, phrases string")
     got = merkle.edit_report(frame).collect()
     ordered = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] if r[0] is not None else -1, r[1]), reverse=True)
-    expected = []
-    for n, (i, t) in enumerate(ordered):
-        after = ordered[(n + 1) % len(ordered)][1]
-        cut = len(t) // 3
-        new = t[:len(t) - cut] + after[:cut]
-        expected.append((i, len(t), hashlib.sha256(new.encode()).hexdigest(), brute_root(t), brute_root(new)))
-    assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_chars, r.edited_sha256, r.fingerprint.split(":")[0],
-                   r.edited_fingerprint.split(":")[0]) for r in got) == \
-        sorted((e[0] if e[0] is not None else -1, *e[1:]) for e in expected)
+    check_report(spark, ordered, got)
     by_id = {r.doc_id: r for r in got}
     assert by_id[0].fingerprint == by_id[6].fingerprint != by_id[1].fingerprint
     assert by_id[2].fingerprint == by_id[3].fingerprint and by_id[3].near_edited == 1.0
-    assert all(0 <= x <= 1 for r in got for x in (r.near_edited, r.near_next))
     assert by_id[8].near_edited > by_id[8].near_next
+    assert by_id[7].near_edited > 0.4 and by_id[9].near_edited > 0.4 and by_id[10].near_edited > 0.4
     assert merkle.edit_report(frame.limit(0)).count() == 0
 
 
+def check_report(spark, ordered, got):
+    """Every column of the report against trees built in plain Python; ``ordered``: (doc_id, text), descending."""
+    cut = [len(t) // 3 for _, t in ordered]
+    after = [ordered[(n + 1) % len(ordered)][1] for n in range(len(ordered))]
+    new = [t[:len(t) - c] + a[:c] for (_, t), c, a in zip(ordered, cut, after)]
+    words = spark.createDataFrame([(w,) for w in sorted({w for t in [*new, *after] for p in re.split(
+        r"(?<=\n)", t) for w in tokens_of(p)})], "w string")
+    hashes = {r.w: r.h for r in words.selectExpr("w", "xxhash64(w) AS h").collect()}
+    expected = []
+    for (i, t), changed, following in zip(ordered, new, after):
+        own, edited, other = (brute_tree(x, hashes) for x in (t, changed, following))
+        expected.append((-1 if i is None else i, len(t), hashlib.sha256(changed.encode()).hexdigest(), own[0], edited[0],
+                         round(brute_likeness(own, edited), 9), round(brute_likeness(own, other), 9)))
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint.split(":")[0],
+                   r.edited_fingerprint.split(":")[0], round(r.near_edited, 9), round(r.near_next, 9))
+                  for r in got) == sorted(expected)
+
+
+def test_query_against_brute_force(spark):
+    """The registered query over a whole table."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    ordered = sorted(((r.doc_id, r.text or "") for r in rows), reverse=True)
+    got = QUERIES["op10_merkle"](spark, SF).collect()
+    check_report(spark, ordered, got)
+    assert all(r.near_edited >= 0.3 for r in got if r.n_chars >= 60)
+
+
+def test_likeness_counts_repeats_and_reads_fingerprints(spark, make_docs):
+    """Repeated sections, paragraphs and leaves pair off as often as both trees hold them; what is printed is enough."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["aa ", "bb ", "cc.", "\n", "\n\n"]) for _ in range(rng.randrange(40))) for _ in range(60)]
+    pairs = make_docs([(i, a, texts[(i + 1) % 60]) for i, a in enumerate(texts)], "doc_id long, text string, other string")
+    found = pairs.select("*", merkle.tree(F.col("text")).alias("a"), merkle.tree(F.col("other")).alias("b"))
+    found = found.select("*", merkle.fingerprint(F.col("a")).alias("x"), merkle.fingerprint(F.col("b")).alias("y")).select(
+        "text", "other", merkle.likeness(F.col("a"), F.col("b")).alias("whole"),
+        merkle.likeness(merkle.parse(F.col("x")), merkle.parse(F.col("y"))).alias("printed")).collect()
+    hashes = {r.w: r.h for r in spark.createDataFrame(
+        [(w,) for w in {w for t in texts for p in re.split(r"(?<=\n)", t) for w in tokens_of(p)}], "w string").selectExpr(
+        "w", "xxhash64(w) AS h").collect()}
+    for r in found:
+        wanted = brute_likeness(brute_tree(r.text, hashes), brute_tree(r.other, hashes))
+        assert abs(r.whole - wanted) < 1e-9 and abs(r.printed - wanted) < 1e-9
+
+
 def test_branches_locate_an_edit(make_docs):
     a, b = "p1\np2\n\nq1\nq2\n", "p1\np2\n\nq1\nchanged\n"
-    nodes = merkle.tree(make_docs([(1, a), (2, b)])).collect()
+    nodes = merkle.nodes(make_docs([(1, a), (2, b)])).collect()
     sections = [{(r.section, r.section_digest) for r in nodes if r.doc_id == i} for i in (1, 2)]
     leaves = [{(r.section, r.paragraph, r.paragraph_digest) for r in nodes if r.doc_id == i} for i in (1, 2)]
     assert {s for s, _ in sections[0] ^ sections[1]} == {1}
