@@ -112,19 +112,22 @@ def _counted(nodes: Column, side: int) -> Column:
             F.get(held, p)["digest"].alias("digest"), F.lit(side).alias("side"),
             (F.coalesce(F.get(at, j + 1), F.size(held)) - p).alias("n"), F.get(held, p)["below"].alias("below"))))
 
-    return _with(F.array_sort(nodes), runs)
+    return _with(F.sort_array(nodes), runs)
 
 
 def _unmatched(a: Column, b: Column) -> Column:
     """(digest, side, n, below) of nodes that one side holds ``n`` times more than the other."""
     def rest(all_: Column) -> Column:
-        def partner(x: Column, i: Column) -> Column:
-            beside = F.array(F.get(all_, i - 1), F.get(all_, i + 1))
-            return F.coalesce(F.get(F.filter(beside, lambda y: y["digest"] == x["digest"]), F.lit(0))["n"], F.lit(0))
+        def more(x: Column, i: Column) -> Column:
+            before, after = F.get(all_, i - 1), F.get(all_, i + 1)
+            return F.when(before["digest"] == x["digest"], x["n"] - before["n"]).when(
+                after["digest"] == x["digest"], x["n"] - after["n"]).otherwise(x["n"])
 
-        return F.filter(F.transform(all_, lambda x, i: x.withField("n", x["n"] - partner(x, i))), lambda x: x["n"] > 0)
+        return F.filter(F.transform(all_, lambda x, i: F.struct(
+            x["digest"].alias("digest"), x["side"].alias("side"), more(x, i).alias("n"), x["below"].alias("below"))),
+            lambda x: x["n"] > 0)
 
-    return _with(F.array_sort(F.concat(_counted(a, 0), _counted(b, 1))), rest)
+    return _with(F.sort_array(F.concat(_counted(a, 0), _counted(b, 1))), rest)
 
 
 def _opened(rest: Column, side: int) -> Column:
