@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 from plain_rows import rows
+import pytest
 from pyspark.sql import functions as F
 
 from reviewframe import fixed_values as fx
@@ -16,7 +17,8 @@ from reviewframe.operators import vectors as ve
 from reviewframe.operators import diffs
 from reviewframe.plans.index import build_index
 from reviewframe.plans.review import review_changes
-from reviewframe.sources.index_store import clear_repo, index_replace, read_index
+from reviewframe.sources import index_store
+from reviewframe.sources.index_store import clear_repo, dead_snapshots, index_replace, index_version, read_index
 
 SOURCE = '''import os
 
@@ -205,6 +207,34 @@ def test_index(spark, tmp_path):
     assert read_index(spark, path).count() == 0
 
 
+def test_index_versions(spark, tmp_path, monkeypatch):
+    """A run that breaks before its commit changes nothing; a reader keeps the version it began with."""
+    path = str(tmp_path / "index")
+    assert read_index(spark, path).count() == 0 and clear_repo(spark, path, "o") == 0
+    text = "def f():\n" + "    call()\n" * 10
+    chunks = build_index(files(spark, ("a.py", text)))
+    both = chunks.unionByName(chunks.withColumn("repo", F.lit("p")))
+    index_replace(both, path)
+    reader = read_index(spark, path)
+    commit = index_store._commit
+    monkeypatch.setattr(index_store, "_commit", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        index_replace(chunks.withColumn("content", F.lit("half")), path)
+    monkeypatch.setattr(index_store, "_commit", commit)
+    assert index_version(spark, path) == 1
+    assert {r.content for r in read_index(spark, path).collect()} == {text.rstrip()}
+    assert dead_snapshots(spark, path).count() == 1
+    index_replace(chunks.withColumn("content", F.lit("new")), path)
+    assert sorted((r.repo, r.content) for r in read_index(spark, path).collect()) == [
+        ("o", "new"), ("p", text.rstrip())]
+    assert {r.content for r in reader.collect()} == {text.rstrip()}
+    assert sorted(r.repo for r in read_index(spark, path, 1).collect()) == ["o", "p"]
+    with pytest.raises(RuntimeError):  # a second writer that began with version 1
+        commit(spark, path, index_store.manifest(spark, path, 1), 2)
+    assert index_version(spark, path) == 2
+    assert clear_repo(spark, path, "p") == 1 and rows(ve.index_size(read_index(spark, path))) == [("o", 1)]
+
+
 CODE = ["for x in xs:", "    db.execute(q)", "    for y in db.query(x):", "        find(y)",
         "    find_one(y)", "find(z)", "return 1", "dead()", "    not_dead()", "", "raise E",
         "", "requests.get(u)", "requests.get(u, timeout=3)", 'api_key = "12345678"',
