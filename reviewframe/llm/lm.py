@@ -10,8 +10,8 @@ Training sees every pair of neighbouring symbols of the corpus, as counts: with
 expectation over data and noise is a sum over the table of pairs, taken in whole by matrix products in
 every step. The table's size is the square of the number of symbols, whatever the corpus.
 
-Counts of the ``known_words`` most frequent words travel to every worker (a fixed number of short words);
-those of all others stay in the counts table and are joined to the texts that hold them.
+Counts of the most frequent words, ``known_words`` at most (levels of equal counts are taken whole), travel to
+every worker (a fixed number of short words); those of all others stay in the counts table and are joined to the texts that hold them.
 
 Words: runs of anything but the six ASCII blanks, A-Z lower-cased. Null texts are empty ones, which are
 the end alone. Without training texts all counts are 0 and the model is uniform over its symbols.
@@ -159,6 +159,20 @@ class Model:
     ends: int                 # training texts
 
 
+def most_frequent(counts: DataFrame, most: int) -> tuple[list[bytes], list[int]]:
+    """Words and their counts, most frequent first: as many whole levels of equal counts as hold ``most`` words at most.
+
+    The least count is found from the counts of counts, so no task sorts or gathers words that are not taken.
+    """
+    levels = counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(most).toArrow()
+    taken = np.cumsum(levels["words"].to_numpy()) <= most
+    if not taken.any():
+        return [], []
+    least = int(levels["n"].to_numpy()[taken][-1])
+    found = counts.where(F.col("n") >= least).select("word", "n").toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    return found["word"].to_pylist(), found["n"].to_pylist()
+
+
 def train(docs: DataFrame, learn_from: Column | None = None, known_words: int = KNOWN_WORDS) -> Model:
     spark = prepared(docs.sparkSession)
     texts = (docs if learn_from is None else docs.where(learn_from)).select(utf8().alias("t"))
@@ -167,8 +181,7 @@ def train(docs: DataFrame, learn_from: Column | None = None, known_words: int =
     by_bucket = counts.groupBy("bucket").agg(F.sum(F.col("n") + 1).alias("mass"), F.sum("n").alias("n"),
                                              F.count("*").alias("words")).collect()
     ends = texts.count()
-    frequent = counts.where(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(known_words).toArrow()
-    words, numbers = frequent["word"].to_pylist(), frequent["n"].to_pylist()
+    words, numbers = most_frequent(counts.where(F.length("word") <= LONGEST), known_words)
     mass = np.ones(BUCKETS)
     for row in by_bucket:
         mass[row["bucket"]] += row["mass"]

@@ -182,6 +182,15 @@ def test_language_model(spark, make_docs, monkeypatch):
     assert lm.score(docs.limit(0), model, F.lit(False)).count() == 0
 
 
+def test_most_frequent_words(spark):
+    counts = spark.createDataFrame([(w.encode(), n) for w, n in (
+        ("a", 9), ("c", 5), ("b", 5), ("d", 1), ("e", 1), ("f", 1))], "word binary, n long")
+    assert lm.most_frequent(counts, 6) == ([b"a", b"b", b"c", b"d", b"e", b"f"], [9, 5, 5, 1, 1, 1])
+    assert lm.most_frequent(counts, 5) == ([b"a", b"b", b"c"], [9, 5, 5])
+    assert lm.most_frequent(counts, 2) == ([b"a"], [9])
+    assert lm.most_frequent(counts.where("n < 5"), 2) == lm.most_frequent(counts.limit(0), 2) == ([], [])
+
+
 def test_noise_contrastive_estimation_learns_pairs():
     rng = np.random.default_rng(0)
     true = rng.dirichlet(np.full(12, 0.3), size=12)
