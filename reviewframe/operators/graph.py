@@ -3,55 +3,98 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fx
 from ..functions.once import computed
-from ..session import materialise
 
 
-def _walk(edges: DataFrame, seeds: DataFrame, max_depth: int, salts: int) -> DataFrame:
-    """Shortest hop counts along ``edges`` (graph_id, here, there) from each seed.
+#: Seeds are walked in blocks of this many words of 64; a row of the frontier carries one block's bits.
+WORDS = 8
 
-    A hub (a name everybody calls) may own a large share of the edges, so these are salted by their
-    far end and the frontier, which is smaller, is repeated per salt. Every hop is written to the
-    shared folder: later hops and the result read it instead of walking again.
+
+def _bits() -> list[str]:
+    return [f"w{i}" for i in range(WORDS)]
+
+
+def _numbered(seeds: DataFrame) -> DataFrame:
+    """(graph_id, name, block, bit): distinct seeds, each with a place of its own in a block of its graph.
+
+    A graph's seeds are dealt by hash into parts that about half fill a block and numbered within a part,
+    so a graph that owns most seeds is numbered by many tasks. A part that runs over opens another block.
+    """
+    roots = seeds.select("graph_id", "name").filter("graph_id IS NOT NULL AND name IS NOT NULL").distinct()
+    parts = roots.groupBy("graph_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(32 * WORDS)).alias("parts"))
+    dealt = roots.join(parts, "graph_id").select(
+        "graph_id", "name", F.pmod(F.xxhash64("name"), F.col("parts")).alias("part"))
+    at = F.row_number().over(Window.partitionBy("graph_id", "part").orderBy("name")) - 1
+    return dealt.withColumn("at", at).select(
+        "graph_id", "name", F.expr(f"shiftleft(part, 32) + at DIV {64 * WORDS}").alias("block"),
+        F.expr(f"at % {64 * WORDS}").alias("bit"))
+
+
+def _steps(edges: DataFrame, salts: int) -> DataFrame:
+    """(graph_id, direction, here, there, salt): every edge both ways, once."""
+    ways = F.inline(F.array(
+        F.struct(F.lit("callee").alias("direction"), F.col("src").alias("here"), F.col("dst").alias("there")),
+        F.struct(F.lit("caller").alias("direction"), F.col("dst").alias("here"), F.col("src").alias("there"))))
+    pairs = edges.select("graph_id", "src", "dst").filter("src <> dst AND graph_id IS NOT NULL")
+    both = pairs.select("graph_id", ways).filter("here IS NOT NULL AND there IS NOT NULL").distinct()
+    return both.withColumn("salt", F.pmod(F.xxhash64("there"), F.lit(salts)))
+
+
+def seed_bits(edges: DataFrame, numbered: DataFrame, max_depth: int, salts: int) -> list[DataFrame]:
+    """For each hop (graph_id, direction, block, name, w0..): the seeds whose walks of that many steps end at a name.
+
+    Walks of a block's seeds that meet at a name go on as one row, their bits joined by OR, so the rows that
+    travel follow names and blocks, not seeds. A hub (a name everybody calls) may own a large share of the
+    edges, so these are salted by their far end and the frontier, which is smaller, is repeated for every salt.
     """
-    edges = edges.withColumn("salt", F.pmod(F.xxhash64("there"), F.lit(salts)))
+    steps = _steps(edges, salts)
+    both = F.explode(F.array(F.lit("callee"), F.lit("caller"))).alias("direction")
+    own = [F.expr(f"if(bit DIV 64 = {i}, shiftleft(1L, bit % 64), 0L)").alias(w) for i, w in enumerate(_bits())]
+    front = numbered.select("graph_id", both, "block", "name", *own)
     every_salt = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
-    frontier = seeds.select("graph_id", F.col("name").alias("seed"), "name")
-    reached = None
-    for hop in range(1, max_depth + 1):
-        spread = frontier.withColumnRenamed("name", "here").withColumn("salt", every_salt)
-        step = (spread.join(edges, ["graph_id", "here", "salt"])
-                .select("graph_id", "seed", F.col("there").alias("name"))
-                .filter(F.col("name") != F.col("seed")).distinct())
-        if reached is not None:
-            step = step.join(reached, ["graph_id", "seed", "name"], "left_anti")
-        step = materialise(step.sparkSession, step, f"frontier-{hop}")
-        found = step.withColumn("hops", F.lit(hop))
-        reached = found if reached is None else reached.unionByName(found)
-        frontier = step
-    return reached
+    hops = []
+    for _ in range(max_depth):
+        spread = front.withColumnRenamed("name", "here").withColumn("salt", every_salt)
+        front = (spread.join(steps, ["graph_id", "direction", "here", "salt"])
+                 .groupBy("graph_id", "direction", "block", F.col("there").alias("name"))
+                 .agg(*[F.bit_or(w).alias(w) for w in _bits()]))
+        hops.append(front)
+    return hops
 
 
 def blast_radius(edges: DataFrame, seeds: DataFrame, max_depth: int = fx.BLAST_DEPTH,
                  salts: int = 4) -> DataFrame:
     """(graph_id, seed, name, direction, hops) within ``max_depth`` of each seed.
 
-    Callees and callers are walked apart and never mixed; seeds outside the graph give nothing.
-    Distinct edges and seeds are written once and read by every hop of both walks.
+    Callees and callers are walked apart and never mixed; seeds outside the graph give nothing. The seeds
+    of a graph are walked together, as bits (``seed_bits``); they become rows again only in the result, in
+    the row, from one list of names a block. Nothing runs while the plan is built, and the hops share
+    their exchanges.
     """
-    spark = edges.sparkSession
-    pairs = materialise(spark, edges.select("graph_id", "src", "dst").filter("src <> dst").distinct(), "edges")
-    roots = materialise(spark, seeds.select("graph_id", "name").distinct(), "seeds")
-    down = _walk(pairs.select("graph_id", F.col("src").alias("here"), F.col("dst").alias("there")),
-                 roots, max_depth, salts).withColumn("direction", F.lit("callee"))
-    up = _walk(pairs.select("graph_id", F.col("dst").alias("here"), F.col("src").alias("there")),
-               roots, max_depth, salts).withColumn("direction", F.lit("caller"))
-    return down.unionByName(up).select("graph_id", "seed", "name", "direction", "hops")
+    numbered = _numbered(seeds)
+    words = F.array(*_bits())
+    hops = [h.select("graph_id", "direction", "block", "name", F.struct(F.lit(i).alias("hop"), words.alias("words")).alias("met"))
+            for i, h in enumerate(seed_bits(edges, numbered, max_depth, salts), 1)]
+    met = reduce(DataFrame.unionByName, hops).groupBy("graph_id", "direction", "block", "name").agg(
+        F.array_sort(F.collect_list("met")).alias("met"))
+    # What a hop meets first: its bits without those of the hops before.
+    key = ["graph_id", "direction", "block", "name"]
+    fresh = computed(met, key, met=F.expr("""transform(met, (m, k) -> struct(m.hop AS hop, transform(m.words, (w, i) ->
+        w & ~aggregate(slice(met, 1, k), 0L, (seen, e) -> seen | e.words[i])) AS words))"""))
+    # A block holds at most 64 * WORDS seeds, so its list of names is bounded.
+    names = numbered.groupBy("graph_id", "block").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("bit", "name"))), lambda s: s["name"]).alias("seeds"))
+    found = F.expr("""flatten(transform(met, m -> flatten(transform(m.words, (w, i) -> if(w = 0, array(), transform(
+        filter(sequence(0, 63), b -> getbit(w, b) = 1), b -> struct(seeds[64 * i + b] AS seed, m.hop AS hops)))))))""")
+    return (fresh.join(names, ["graph_id", "block"])
+            .select("graph_id", "name", "direction", F.inline(found)).filter("seed <> name")
+            .select("graph_id", "seed", "name", "direction", "hops"))
 
 
 def blast_parts(radius: DataFrame, nodes: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.once import computed
 from ..functions.text import extension
 from .diffs import changed_lines
 
@@ -136,19 +137,45 @@ def changed_code(code: DataFrame, files: DataFrame, reviews: DataFrame) -> DataF
     return code.join(changed, ["repo", "ref", "file_path"], "left_semi")
 
 
+#: A file's changed lines travel in pieces of this many, found by the stretch of line numbers they answer for.
+PIECE, STRETCH = 512, 2048
+
+
+def _line_pieces(touched: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys``, _after, _nums, _stretch: sorted changed lines in pieces, each once for every stretch it answers for.
+
+    A piece answers for the lines behind the piece before (``_after``) up to its own last one, so the first
+    changed line at or below any line is in exactly one piece.
+    """
+    nums = F.array_sort(F.array_distinct(F.array_compact("line_nums")))
+    file = computed(touched, keys, _all=nums).filter(F.size("_all") > 0)
+    starts = F.sequence(F.lit(0), F.floor((F.size("_all") - 1) / PIECE).cast("int"))
+    pieces = file.select(*keys, F.inline(F.transform(starts, lambda i: F.struct(
+        F.when(i == 0, F.lit(-1)).otherwise(F.get("_all", i * PIECE - 1)).alias("_after"),
+        F.slice("_all", i * PIECE + 1, F.lit(PIECE)).alias("_nums")))))
+    first, last = F.expr(f"(_after + 1) DIV {STRETCH}"), F.expr(f"element_at(_nums, -1) DIV {STRETCH}")
+    return pieces.filter(last >= first).select("*", F.explode(F.sequence(first, last)).alias("_stretch"))
+
+
 def modified_nodes(nodes: DataFrame, lines: DataFrame, reviews: DataFrame) -> DataFrame:
     """Definitions whose span holds an added line, once per review; nested ones both count.
 
-    ``reviews`` maps review_id to (repo, ref). The diff side is one row per changed file holding
-    its line numbers, so the join neither multiplies a node nor needs a later distinct.
+    ``reviews`` maps review_id to (repo, ref). A definition meets the one piece of its file's changed lines
+    that holds the first line at or below its start, so neither a long diff nor many definitions make the
+    other dearer, and no later distinct is needed. Lines are counted from 0 up.
     ``start_added`` tells whether the definition's first line is an added one.
     """
+    file = ["repo", "ref", "file_path"]
     touched = (changed_lines(lines).join(reviews.select("review_id", "repo", "ref"), "review_id")
                .withColumnRenamed("filename", "file_path"))
-    inside = F.exists("line_nums", lambda n: n.between(F.col("start_line"), F.col("end_line")))
-    return (nodes.join(touched, ["repo", "ref", "file_path"]).filter(inside)
-            .withColumn("start_added", F.array_contains(F.col("line_nums"), F.col("start_line")))
-            .drop("line_nums"))
+    pieces = _line_pieces(touched, [*file, "review_id"])
+    start = F.greatest("start_line", F.lit(0))
+    answers = (start > F.col("_after")) & (start <= F.element_at("_nums", -1))
+    inside = F.exists("_nums", lambda n: n.between(F.col("start_line"), F.col("end_line")))
+    return (nodes.withColumn("_stretch", F.expr(f"greatest(start_line, 0) DIV {STRETCH}"))
+            .join(pieces, [*file, "_stretch"]).filter(answers & inside)
+            .withColumn("start_added", F.array_contains(F.col("_nums"), F.col("start_line")))
+            .drop("_stretch", "_after", "_nums"))
 
 
 def _graph_id(graph_keys: tuple[str, ...]):

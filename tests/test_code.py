@@ -106,9 +106,72 @@ def test_blast_radius_against_brute_force(spark):
     sd = spark.createDataFrame(seeds, "graph_id string, name string")
     for depth, salts in ((1, 1), (2, 1), (2, 8), (4, 4)):
         radius = gr.blast_radius(df, sd, depth, salts)
-        assert set(rows(radius)) == brute_radius(edges, seeds, depth)
-        plan = radius._jdf.queryExecution().executedPlan().toString()
-        assert plan.count("FileScan") == 2 * depth
+        found = rows(radius)
+        assert set(found) == brute_radius(edges, seeds, depth) and len(found) == len(set(found))
+
+
+def test_seeds_of_a_graph_walk_together(spark, tmp_path):
+    """600 seeds call one helper, which calls 30 others: two blocks of bits pass the helper, not 600 rows."""
+    edges = [("g", f"s{i}", "helper", "CALLS") for i in range(600)] + [("g", "helper", f"t{i}", "CALLS") for i in range(30)]
+    seeds = [("g", f"s{i}") for i in range(600)] + [(None, "x"), ("g", None), ("g", "s1")]
+    spark.createDataFrame(edges * 2, schemas.EDGE).write.parquet(f"{tmp_path}/edges")
+    spark.createDataFrame(seeds, "graph_id string, name string").write.parquet(f"{tmp_path}/seeds")
+    df, sd = (spark.read.parquet(f"{tmp_path}/{t}") for t in ("edges", "seeds"))
+    numbered = gr._numbered(sd)
+    assert numbered.count() == 600 == numbered.select("graph_id", "block", "bit").distinct().count()
+    assert numbered.agg({"bit": "max"}).first()[0] < 64 * gr.WORDS
+    blocks = numbered.select("block").distinct().count()
+    first, second = gr.seed_bits(df, numbered, 2, 4)
+    assert first.filter("direction = 'callee'").count() == blocks < 8
+    assert second.filter("direction = 'callee'").count() == 30 * blocks
+    spark.sparkContext.setJobGroup("planning", "no job")
+    try:
+        radius = gr.blast_radius(df, sd)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("planning")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    found = rows(radius)
+    assert set(found) == brute_radius([e[:3] for e in edges], seeds[:600], 2) and len(found) == len(set(found))
+    plan = radius._jdf.queryExecution().executedPlan().toString()
+    print(plan)
+    assert "ReusedExchange" in plan
+
+
+def test_changed_lines_meet_definitions_in_linear_time(spark):
+    """100,000 changed lines and 10,000 definitions in one file; the first, outer one spans them all."""
+    from pyspark.sql import functions as F
+
+    span = [(1, 400000)] + [(20 * i, 20 * i + i % 7) for i in range(1, 10000)]
+    nodes = spark.createDataFrame([("o", "m", "f.py", f"n{i}", a, b) for i, (a, b) in enumerate(span)],
+                                  "repo string, ref string, file_path string, node_name string, start_line int, end_line int")
+    lines = spark.range(100000).groupBy(F.lit("r").alias("review_id"), F.lit("f.py").alias("filename")).agg(
+        F.collect_list((F.col("id") * 4 + 3).cast("int")).alias("line_nums"))
+    reviews = spark.createDataFrame([("r", "o", "m")], "review_id string, repo string, ref string")
+    hit = nd.modified_nodes(nodes, lines, reviews)
+    pieces = nd._line_pieces(lines.withColumnRenamed("filename", "file_path"), ["review_id", "file_path"])
+    # Pieces and stretches: linear in the lines, each bounded; a definition meets those of its stretch only.
+    assert pieces.count() <= 100000 // nd.PIECE + 400000 // nd.STRETCH + 2
+    assert pieces.agg(F.max(F.size("_nums"))).first()[0] <= nd.PIECE
+    changed = set(range(3, 400000, 4))
+    want = [(f"n{i}", a in changed) for i, (a, b) in enumerate(span) if i == 0 or changed.intersection(range(a, b + 1))]
+    assert rows(hit.select("node_name", "start_added")) == sorted(want, key=repr)
+
+
+def test_modified_nodes_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(nd, "PIECE", 3)
+    monkeypatch.setattr(nd, "STRETCH", 10)
+    rng = random.Random(5)
+    span = [(f"f{rng.randrange(3)}", a, a + rng.randrange(40)) for a in (rng.randrange(-2, 120) for _ in range(80))]
+    span += [("f0", None, 4), ("f0", 3, None), ("f9", 1, 200)]
+    nodes = spark.createDataFrame([("o", "m", f, f"n{i}", a, b) for i, (f, a, b) in enumerate(span)],
+                                  "repo string, ref string, file_path string, node_name string, start_line int, end_line int")
+    given = {(r, f"f{f}"): [rng.randrange(130) for _ in range(rng.randrange(12))] + [None]
+             for r in "ab" for f in range(4)}
+    lines = spark.createDataFrame([(*k, v) for k, v in given.items()], "review_id string, filename string, line_nums array<int>")
+    reviews = spark.createDataFrame([("a", "o", "m"), ("b", "o", "m")], "review_id string, repo string, ref string")
+    want = [(r, f"n{i}", a in nums) for (r, g), nums in given.items() for i, (f, a, b) in enumerate(span)
+            if f == g and a is not None and b is not None and any(n is not None and a <= n <= b for n in nums)]
+    assert rows(nd.modified_nodes(nodes, lines, reviews).select("review_id", "node_name", "start_added")) == sorted(want, key=repr)
 
 
 def vectors(spark, n, dim, groups, seed):
