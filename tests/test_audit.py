@@ -115,6 +115,26 @@ def test_append_read_and_job(spark, tmp_path):
     assert "content" not in plan
 
 
+def test_many_cache_folders_are_one_read(spark, tmp_path):
+    names = [f"c{i}" for i in range(120)] + ["odd {a,b}", "star*", "deep/er", "[x]", "back\\slash"]
+    for name in names:
+        folder = tmp_path / "caches" / name
+        folder.mkdir(parents=True)
+        (folder / "f.bin").write_bytes(b"x")
+    (tmp_path / "caches" / "starling").mkdir()
+    (tmp_path / "caches" / "starling" / "g.bin").write_bytes(b"x")
+    dirs = [f"{tmp_path}/caches/{n}" for n in [*names, *(f"gone{i}" for i in range(300))]] + [f"{tmp_path}/caches/c1/"]
+    later = datetime(2100, 1, 1)
+    found = cache_manifest(spark, dirs, later)
+    assert found.count() == len(names)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") == 1 and "Union" not in plan
+    # Parents that hold none of their folders, folders in each other, no folder at all.
+    assert cache_manifest(spark, [*dirs, f"{tmp_path}/nowhere/a", f"{tmp_path}/caches/deep"], later).count() == len(names)
+    assert cache_manifest(spark, [f"{tmp_path}/nowhere/a"], later).count() == 0 == cache_manifest(spark, ["", "/"][:1], later).count()
+    assert cache_manifest(spark, dirs, datetime(2000, 1, 1)).count() == 0
+
+
 def test_order_survives_retention_and_since_prunes_days(spark, tmp_path):
     from reviewframe.sources.audit_log import audit_append, audit_read, enforce_retention
     log, kept = str(tmp_path / "log"), str(tmp_path / "kept")
