@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.once import computed
 from .policy import default_group, default_ignore_regex
 
 # What the rules look for in a line or a definition.
@@ -132,23 +133,63 @@ def with_prev(lines: DataFrame) -> DataFrame:
     return lines.withColumn("prev_content", F.when(adjacent, F.lag("content").over(above)))
 
 
+#: A list of more names than this is indexed by the last GRAM characters of each, so that a text is
+#: searched for the few names whose ends it holds. Shorter names are searched for one by one.
+LONG_LIST, GRAM = 64, 5
+
+
+def _api_index(apis: Column) -> Column:
+    """Names by their last GRAM characters, made in the row: sorted entries cut where the end changes."""
+    ended = F.array_sort(F.transform(F.filter(apis, lambda a: F.length(a) >= GRAM),
+                                     lambda a: F.struct(F.substring(a, -GRAM, GRAM).alias("end"), a.alias("name"))))
+    # Each step is bound once through a one-element array, so no lambda recomputes it.
+    cut = F.transform(F.array(ended), lambda e: F.struct(e.alias("e"), F.filter(F.transform(
+        e, lambda x, i: F.when((i == 0) | (x["end"] != F.get(e, i - 1)["end"]), i)), lambda i: i.isNotNull()).alias("at")))
+    return F.map_from_entries(F.flatten(F.transform(cut, lambda c: F.transform(c["at"], lambda p, j: F.struct(
+        F.get(c["e"], p)["end"], F.transform(F.slice(
+            c["e"], p + 1, F.coalesce(F.get(c["at"], j + 1), F.size(c["e"])) - p), lambda x: x["name"]))))))
+
+
+def indexed_apis(df: DataFrame) -> DataFrame:
+    """Moves the names of a long ``forbidden_apis`` into ``api_index``; short lists have none."""
+    apis = F.col("forbidden_apis")
+    many = F.size(apis) > LONG_LIST
+    rest = [c for c in df.columns if c != "forbidden_apis"]
+    return computed(df, rest, forbidden_apis=F.when(many, F.filter(apis, lambda a: F.length(a) < GRAM)).otherwise(apis),
+                    api_index=F.when(many, _api_index(apis)))
+
+
+def _candidates(text: Column, apis: Column, index: Column | None) -> Column:
+    """The names that may be in ``text``: those of the list, and of the index those whose end is in it."""
+    if index is None:
+        return apis
+    ends = F.array_intersect(F.map_keys(index), F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+    listed = F.flatten(F.transform(ends, lambda g: F.element_at(index, g)))
+    return F.when(index.isNull(), apis).otherwise(F.concat(apis, F.coalesce(listed, F.array().cast("array<string>"))))
+
+
+def _index_of(df: DataFrame) -> Column | None:
+    return F.col("api_index") if "api_index" in df.columns else None
+
+
 def with_apis(lines: DataFrame, policies: DataFrame) -> DataFrame:
-    """Adds the review's ``forbidden_apis`` unless they came along with the files.
+    """Adds the review's ``forbidden_apis`` and ``api_index`` unless they came along with the files.
 
     A review without a policy row has the default list. The planner broadcasts the lists where they
-    are small and else meets them by review, splitting large reviews.
+    are small and else meets them by review, splitting large reviews. Lists are indexed before they meet.
     """
     if "forbidden_apis" in lines.columns:
         return lines
     default = default_group("security").cast(policies.schema["security"].dataType)
-    apis = policies.select("review_id", F.col("security")["forbidden_apis"].alias("forbidden_apis"))
+    apis = indexed_apis(policies.select("review_id", F.col("security")["forbidden_apis"].alias("forbidden_apis")))
     return lines.join(apis, "review_id", "left").withColumn(
         "forbidden_apis", F.coalesce("forbidden_apis", default["forbidden_apis"]))
 
 
 def _g1(lines: DataFrame, policies: DataFrame) -> DataFrame:
-    hits = with_apis(lines, policies).select("*", F.explode(F.filter(
-        "forbidden_apis", lambda a: F.col("content").contains(a))).alias("api"))
+    known = with_apis(lines, policies)
+    names = _candidates(F.col("content"), F.col("forbidden_apis"), _index_of(known))
+    hits = known.select("*", F.explode(F.filter(names, lambda a: F.col("content").contains(a))).alias("api"))
     return _line_findings(hits, "G1", F.col("api"))
 
 
@@ -231,10 +272,12 @@ def _hunk_line_hits(hunk: Column) -> Column:
     return F.flatten(F.transform(hunk, hits))
 
 
-def _hunk_api_hits(hunk: Column, apis: Column) -> Column:
-    return F.flatten(F.transform(hunk, lambda x: F.transform(
-        F.filter(apis, lambda a: x["content"].contains(a)),
-        lambda a: _hit("G1", x["line_num"], a))))
+def _hunk_api_hits(hunk: Column, apis: Column, index: Column | None) -> Column:
+    text = F.array_join(F.transform(hunk, lambda x: x["content"]), "\n")
+    # The names are bound once for all lines.
+    return F.flatten(F.flatten(F.transform(F.array(_candidates(text, apis, index)), lambda names: F.transform(
+        hunk, lambda x: F.transform(F.filter(names, lambda a: x["content"].contains(a)),
+                                    lambda a: _hit("G1", x["line_num"], a))))))
 
 
 def _hunk_loop_hits(hunk: Column) -> Column:
@@ -264,9 +307,9 @@ def _as_findings(hits: DataFrame) -> DataFrame:
 
 def scan_hunks(hunks: DataFrame) -> DataFrame:
     """All line rules over (review_id, filename, hunk, forbidden_apis): lines stay in their array
-    and only hits become rows, so the scan has no exchange."""
+    and only hits become rows, so the scan has no exchange. Long lists come with their ``api_index``."""
     found = F.flatten(F.array(_hunk_line_hits(F.col("hunk")),
-                              _hunk_api_hits(F.col("hunk"), F.col("forbidden_apis")),
+                              _hunk_api_hits(F.col("hunk"), F.col("forbidden_apis"), _index_of(hunks)),
                               _hunk_loop_hits(F.col("hunk"))))
     return _as_findings(hunks.select("review_id", F.col("filename").alias("file_path"),
                                      F.inline(found)))
@@ -284,8 +327,7 @@ def hunks_of_lines(lines: DataFrame) -> DataFrame:
     """Long lines back to one row per hunk, for tables that no longer have the patch."""
     keys = ["review_id", "filename", "hunk_no"]
     entry = F.struct("line_num", "content", "prev_content")
-    extra = [F.first("forbidden_apis").alias("forbidden_apis")] \
-        if "forbidden_apis" in lines.columns else []
+    extra = [F.first(c).alias(c) for c in ("forbidden_apis", "api_index") if c in lines.columns]
     return with_prev(lines).groupBy(*keys).agg(
         F.array_sort(F.collect_list(entry)).alias("hunk"), *extra)
 

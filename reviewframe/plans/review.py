@@ -27,7 +27,7 @@ def raw_findings(files: DataFrame, policies: DataFrame, code: DataFrame | None =
     to the hits. Only the code of changed files is parsed. A finding on
     a definition stays only if its line is part of the diff; line findings always are.
     """
-    found = scan_hunks(hunk_table(with_apis(scannable_files(files), policies), ["forbidden_apis"]))
+    found = scan_hunks(hunk_table(with_apis(scannable_files(files), policies), ["forbidden_apis", "api_index"]))
     if code is not None:
         lines = touched_lines(scannable_files(files))
         changed = modified_nodes(extract_nodes(changed_code(code, files, reviews)), lines, reviews)

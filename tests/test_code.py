@@ -337,6 +337,41 @@ def test_rules_one_by_one_equal_the_scan(spark):
     assert "Exchange" not in plan and "Python" not in plan
 
 
+def test_long_lists_of_names(spark):
+    """Names of one to many characters, repeated, overlapping, null, empty, beyond the basic plane; one list short, one long."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    names = ["eval(", "val(x", "x", "", None, "é😀é😀é", "aa", "aaaaaa", "aaaaaaa", "eval(", "end of line"]
+    names += ["".join(rng.choices("abc.(", k=rng.randrange(1, 9))) for _ in range(300)]
+    text = ["eval(x)", "aaaaaaaaa", "zé😀é😀éz", "", "(", "the end of line"]
+    text += ["".join(rng.choices("abc.( ", k=rng.randrange(60))) for _ in range(40)]
+    hunk = [(i, t, None) for i, t in enumerate(text)] + [(99, None, None)]
+    hunks = spark.createDataFrame([("r", "f", 1, hunk, names), ("s", "f", 1, hunk, names[:20]), ("t", "f", 1, [], names)],
+                                  "review_id string, filename string, hunk_no int, hunk array<struct<line_num int, "
+                                  "content string, prev_content string>>, forbidden_apis array<string>")
+    want = [(r, i, a) for r, listed in (("r", names), ("s", names[:20])) for i, t, _ in hunk if t is not None
+            for a in listed if a is not None and a in t]
+    indexed = ru.indexed_apis(hunks)
+    assert {r.review_id: r.api_index is not None for r in indexed.collect()} == {"r": True, "s": False, "t": True}
+    for source in (hunks, indexed):
+        found = ru.scan_hunks(source).filter("rule = 'G1'")
+        assert rows(found.select("review_id", "line", "detail")) == sorted(want, key=repr)
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    lines = indexed.select("review_id", "filename", "hunk_no", F.inline("hunk"), "forbidden_apis", "api_index")
+    alone = ru._g1(lines, None)
+    assert rows(alone.select("review_id", "line")) == sorted(((r, i) for r, i, _ in want), key=repr)
+
+
+def test_a_text_is_searched_for_few_names_of_a_long_list(spark):
+    from pyspark.sql import functions as F
+
+    many = spark.range(10000).agg(F.collect_list(F.concat(F.lit("library.module.call_"), "id", F.lit("("))).alias("forbidden_apis"))
+    text = "x = library.module.call_77(1)\n" * 20 + "library.module.call_9999(y)"
+    tried = ru.indexed_apis(many).select(F.size(ru._candidates(F.lit(text), F.col("forbidden_apis"), F.col("api_index"))))
+    assert 2 <= tried.first()[0] <= 30
+
+
 def test_node_rules(spark):
     nodes = spark.createDataFrame(
         [("r", "f.py", "function_definition", n, c, 1, 2, d) for n, c, d in [
