@@ -69,11 +69,16 @@ def touched_lines(files: DataFrame) -> DataFrame:
 
 def hunks_nested(lines: DataFrame) -> DataFrame:
     """Long lines back to one row per file with ARRAY<ARRAY<STRUCT<line_num, content>>>."""
-    per_hunk = lines.groupBy("review_id", "filename", "hunk_no").agg(
-        F.array_sort(F.collect_list(F.struct("line_num", "content"))).alias("hunk"))
-    return per_hunk.groupBy("review_id", "filename").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("hunk_no", "hunk"))),
-                    lambda h: h["hunk"]).alias("hunks"))
+    # Lines travel once, by file; a file's sorted lines are cut in the row where the hunk changes.
+    file = lines.groupBy("review_id", "filename").agg(
+        F.array_sort(F.collect_list(F.struct("hunk_no", "line_num", "content"))).alias("_lines"))
+    starts = F.filter(F.transform("_lines", lambda x, i: F.when(
+        (i == 0) | ~x["hunk_no"].eqNullSafe(F.get("_lines", i - 1)["hunk_no"]), i)), lambda i: i.isNotNull())
+    # The cuts are bound once through a one-element array.
+    cut = F.flatten(F.transform(F.array(starts), lambda at: F.transform(at, lambda p, j: F.transform(
+        F.slice("_lines", p + 1, F.coalesce(F.get(at, j + 1), F.size("_lines")) - p),
+        lambda x: F.struct(x["line_num"].alias("line_num"), x["content"].alias("content"))))))
+    return file.select("review_id", "filename", cut.alias("hunks"))
 
 
 def nested_hunks(files: DataFrame) -> DataFrame:
@@ -90,6 +95,13 @@ def lines_of_nested(nested: DataFrame) -> DataFrame:
             .select("review_id", "filename", (F.col("p") + 1).alias("hunk_no"), F.inline("hunk")))
 
 
+def lines_in_hunks(nested: DataFrame) -> DataFrame:
+    """(review_id, filename, line_nums) of the nested form: what ``changed_lines`` finds, without meeting again."""
+    nums = F.array_sort(F.array_distinct(F.array_compact(F.transform(F.flatten("hunks"), lambda x: x["line_num"]))))
+    # The keys pass the generator too: no filter of a later join goes below it, so what made ``nested`` is shared.
+    return computed(nested, [], review_id=F.col("review_id"), filename=F.col("filename"), line_nums=nums)
+
+
 def added_lines_json(nested: DataFrame) -> DataFrame:
     """All added lines of a file as one JSON array, the form a model is given."""
     return computed(nested, ["review_id", "filename"], added_lines=F.to_json(F.flatten("hunks")))

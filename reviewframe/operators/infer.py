@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fx
+from ..functions.joins import spread_join
 from ..functions.text import classify_error
 from ..functions.windows import first_n
 from .feedback import first_review
@@ -56,9 +57,12 @@ def review_inputs(diffs: DataFrame, context: DataFrame, policies: DataFrame,
     """
     blank = F.lit("")
     place = [c for c in ("review_id", "filename") if c in context.columns]
-    joined = (diffs.join(policies.select("review_id", "policy_text"), "review_id", "left")
-              .join(feedback.select("review_id", "summary"), "review_id", "left")
-              .join(context.select(*place, "context"), place, "left")
+    # A review's texts name all its files' paths: they join what is there by file last, and go nowhere from it.
+    known = policies.select("review_id", "policy_text").join(
+        feedback.select("review_id", "summary"), "review_id", "full")
+    by_file = diffs.join(context.select(*place, "context"), place, "left")
+    joined = (spread_join(by_file, known, "review_id", leave=("added_lines", "context"))
+              .select(*[c for c in by_file.columns if c != "context"], "policy_text", "summary", "context")
               .withColumn("summary", F.coalesce("summary", first_review(service))))
     parts = [F.coalesce(F.col(c), blank) for c in ("added_lines", "context", "policy_text",
                                                    "summary")]
