@@ -17,10 +17,12 @@ from ..functions.text import embed_text, search_result_block
 from ..functions.vector import is_zero
 from ..functions.windows import first_n
 
-# Rows of a block: a task holds one block of each side and scores of a strip of queries.
-CHUNK_BLOCK = 20000
-QUERY_BLOCK = 16384
-SCORE_CELLS = 4_000_000
+# Rows that meet in a task, at least: what travels for a query does not follow the size of a block.
+CHUNK_TILE, QUERY_TILE = 20000, 16384
+# Rows of a block: a task has one block of each side as numbers, and scores of a strip of queries.
+CHUNK_BLOCK = 4096
+QUERY_BLOCK = 4096
+SCORE_CELLS = 1_000_000
 
 
 # --- admission ---------------------------------------------------------------------------------
@@ -111,69 +113,75 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best of one query: score down, then id up."""
-    if len(scores) > k:
-        floor = np.partition(scores, len(scores) - k)[len(scores) - k]
-        at = np.flatnonzero(scores >= floor)
-    else:
-        at = np.arange(len(scores))
-    return at[np.lexsort((ids[at], -scores[at]))][:k]
+_Hits = tuple[np.ndarray, np.ndarray, np.ndarray]  # query's position, id, score
+
+
+def _first_k(hits: _Hits, k: int) -> _Hits:
+    """The k best of each query: score down, then id up."""
+    at, ids, scores = hits
+    order = np.lexsort((ids, -scores, at))
+    at = at[order]
+    place = np.arange(len(at)) - np.searchsorted(at, at)
+    return at[place < k], ids[order][place < k], scores[order][place < k]
+
+
+def _joined(parts: list[_Hits]) -> _Hits:
+    return tuple(np.concatenate(side) for side in zip(*parts))
 
 
-def _best_per_query(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray,
-                    k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, scores) of each query's k best rows; scores exist for a strip of queries at a time."""
-    strip = max(1, SCORE_CELLS // max(1, len(ids)))
+def _best_per_query(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> _Hits:
+    """Each query's k best rows; scores exist for a strip of queries at a time."""
+    strip, found = max(1, SCORE_CELLS // max(1, len(ids))), []
     for start in range(0, len(queries), strip):
         # Rounded, so that ties do not depend on the shape of a block.
-        for scores in np.round(queries[start:start + strip] @ rows.T, 12):
-            keep = _best(scores, ids, k)
-            yield ids[keep], scores[keep]
+        scores = np.round(queries[start:start + strip] @ rows.T, 12)
+        floor = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k, None] if len(ids) > k else -np.inf
+        at, col = np.nonzero(scores >= floor)
+        found.append(_first_k((at + start, ids[col], scores[at, col]), k))
+    return _joined(found)
 
 
 _HIT = pa.schema([("query_id", pa.int64()), ("chunk_id", pa.int64()), ("score", pa.float64())])
 _HIT_DDL = "query_id bigint, chunk_id bigint, score double"
 
 
-def _hits(query_ids: list, chunk_ids: list, scores: list) -> pa.RecordBatch:
-    def joined(parts, dtype):
-        return np.concatenate(parts) if parts else np.zeros(0, dtype=dtype)
-
-    return pa.RecordBatch.from_arrays(
-        [pa.array(joined(query_ids, np.int64)), pa.array(joined(chunk_ids, np.int64)),
-         pa.array(joined(scores, np.float64))], schema=_HIT)
-
-
-def _match_blocks(k: int):
-    """One (chunk block, query block) pair to its k hits per query."""
+def _match_blocks(k: int, chunk_block: int, query_block: int):
+    """One pair of tiles to its k hits per query, block by block."""
 
     def match(queries: pa.Table, chunks: pa.Table) -> pa.Table:
         if queries.num_rows == 0 or chunks.num_rows == 0:
             return _HIT.empty_table()
-        ids = chunks.column("chunk_id").to_numpy()
-        query_ids = queries.column("query_id").to_numpy()
-        found = list(_best_per_query(_matrix(queries.column("embedding")),
-                                     _matrix(chunks.column("embedding")), ids, k))
-        batch = _hits([np.full(len(c), q, dtype=np.int64) for q, (c, _) in zip(query_ids, found)],
-                      [c for c, _ in found], [s for _, s in found])
-        return pa.Table.from_batches([batch])
+        made = []
+        for q in range(0, queries.num_rows, query_block):
+            asked = queries.slice(q, query_block)
+            vectors, held = _matrix(asked.column("embedding")), []
+            for c in range(0, chunks.num_rows, chunk_block):
+                met = chunks.slice(c, chunk_block)
+                held.append(_best_per_query(vectors, _matrix(met.column("embedding")), met.column("chunk_id").to_numpy(), k))
+                if len(held) > 16:
+                    held = [_first_k(_joined(held), k)]
+            at, ids, scores = _first_k(_joined(held), k)
+            made.append(pa.RecordBatch.from_arrays(
+                [pa.array(asked.column("query_id").to_numpy()[at]), pa.array(ids), pa.array(scores)], schema=_HIT))
+        return pa.Table.from_batches(made)
 
     return match
 
 
 def _block_hits(queries: DataFrame, chunks: DataFrame, k: int, chunk_block: int,
                 query_block: int, one_owner: bool) -> DataFrame:
-    """Both sides cut into blocks of bounded size, so a repo of any size spreads over many tasks."""
+    """Both sides cut into tiles of bounded size, so a repo of any size spreads over many tasks."""
+    chunk_tile, query_tile = max(CHUNK_TILE, chunk_block), max(QUERY_TILE, query_block)
+
     def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
         return df.groupBy("by").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias(name))
 
     if one_owner:  # all rows have the same key: two counts instead of a join on it
         shape = {name: F.lit(max(1, -(-df.count() // size))) for df, size, name in
-                 ((chunks, chunk_block, "nc"), (queries, query_block, "nq"))}
+                 ((chunks, chunk_tile, "nc"), (queries, query_tile, "nq"))}
         sized = lambda df: df.withColumns(shape)
     else:
-        by_owner = blocks(chunks, chunk_block, "nc").join(blocks(queries, query_block, "nq"), "by")
+        by_owner = blocks(chunks, chunk_tile, "nc").join(blocks(queries, query_tile, "nq"), "by")
         sized = lambda df: df.join(by_owner, "by")
 
     def place(df: DataFrame, key: str, own: str, own_n: str, other: str, other_n: str) -> DataFrame:
@@ -184,7 +192,7 @@ def _block_hits(queries: DataFrame, chunks: DataFrame, k: int, chunk_block: int,
 
     left = place(queries, "query_id", "qb", "nq", "cb", "nc").groupBy("by", "cb", "qb")
     right = place(chunks, "chunk_id", "cb", "nc", "qb", "nq").groupBy("by", "cb", "qb")
-    return left.cogroup(right).applyInArrow(_match_blocks(k), _HIT_DDL)
+    return left.cogroup(right).applyInArrow(_match_blocks(k, chunk_block, query_block), _HIT_DDL)
 
 
 def knn(queries: DataFrame, chunks: DataFrame, k: int = fx.SEARCH_K, by: str | None = None,
@@ -192,8 +200,8 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int = fx.SEARCH_K, by: str | N
     """Exact top ``k`` chunks per query by cosine score, ties by chunk id; ``by`` limits a query to
     chunks with the same value (the repo). Returns (query_id, chunk_id, score, rank).
 
-    Both sides meet in blocks of bounded size. Pairs exist only inside a numpy block: a task hands on
-    k hits per query. Chunks travel once for each ``query_block`` queries of their owner.
+    Both sides meet in tiles of bounded size, scored block by block. Pairs exist only inside a numpy block:
+    a task hands on k hits per query. Chunks travel once for each tile of queries of their owner.
     """
     owner = (lambda df: F.col(by).cast("string")) if by else (lambda df: F.lit("*"))
     # Fresh aliases: both sides may come from one table.

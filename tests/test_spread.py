@@ -55,3 +55,22 @@ def test_lines_meet_once_for_the_nested_form(spark):
     got = {(n.review_id, n.filename): [[tuple(x) for x in h] for h in n.hunks] for n in nested.collect()}
     assert got == {k: list(v.values()) for k, v in want.items()}
     assert rows(df_.lines_in_hunks(nested)) == rows(df_.changed_lines(df))
+
+
+def test_blocks_of_any_size_travel_alike(spark):
+    """Small blocks are cut inside a task: no row is repeated for them."""
+    import numpy as np
+    from reviewframe.operators import vectors as ve
+
+    rng = np.random.default_rng(7)
+    data = [(i, [float(x) for x in v]) for i, v in enumerate(rng.integers(-2, 3, size=(300, 4)))]
+    df = spark.createDataFrame(data, "id long, embedding array<float>")
+    q, c = df.withColumnRenamed("id", "query_id"), df.withColumnRenamed("id", "chunk_id")
+    unit = ve._matrix(__import__("pyarrow").array([v for _, v in data]))
+    scores = np.round(unit @ unit.T, 12)
+    want = {(i, int(j), n + 1) for i in range(300) for n, j in enumerate(np.lexsort((np.arange(300), -scores[i]))[:5])}
+    small = ve.knn(q, c, 5, chunk_block=3, query_block=7)
+    assert {(r.query_id, r.chunk_id, r["rank"]) for r in small.collect()} == want
+    copies = [line for line in _plan(small).splitlines() if "Generate explode(sequence(0" in line]
+    assert not copies or all("sequence(0, 0" in line for line in copies)
+    assert {(r.query_id, r.chunk_id, r["rank"]) for r in ve.knn(q, c, 5).collect()} == want
