@@ -13,7 +13,10 @@ from ..functions.once import computed
 
 
 #: Seeds are walked in blocks of this many words of 64; a row of the frontier carries one block's bits.
-WORDS = 8
+WORDS = 2
+
+#: The set bits of every byte.
+BITS_OF = [[b for b in range(8) if byte >> b & 1] for byte in range(256)]
 
 
 def _bits() -> list[str]:
@@ -23,11 +26,11 @@ def _bits() -> list[str]:
 def _numbered(seeds: DataFrame) -> DataFrame:
     """(graph_id, name, block, bit): distinct seeds, each with a place of its own in a block of its graph.
 
-    A graph's seeds are dealt by hash into parts that about half fill a block and numbered within a part,
+    A graph's seeds are dealt by hash into parts that fill four fifths of a block and numbered within a part,
     so a graph that owns most seeds is numbered by many tasks. A part that runs over opens another block.
     """
     roots = seeds.select("graph_id", "name").filter("graph_id IS NOT NULL AND name IS NOT NULL").distinct()
-    parts = roots.groupBy("graph_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(32 * WORDS)).alias("parts"))
+    parts = roots.groupBy("graph_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(51 * WORDS)).alias("parts"))
     dealt = roots.join(parts, "graph_id").select(
         "graph_id", "name", F.pmod(F.xxhash64("name"), F.col("parts")).alias("part"))
     at = F.row_number().over(Window.partitionBy("graph_id", "part").orderBy("name")) - 1
@@ -69,32 +72,39 @@ def seed_bits(edges: DataFrame, numbered: DataFrame, max_depth: int, salts: int)
 
 
 def blast_radius(edges: DataFrame, seeds: DataFrame, max_depth: int = fx.BLAST_DEPTH,
-                 salts: int = 4) -> DataFrame:
+                 salts: int = 1) -> DataFrame:
     """(graph_id, seed, name, direction, hops) within ``max_depth`` of each seed.
 
     Callees and callers are walked apart and never mixed; seeds outside the graph give nothing. The seeds
-    of a graph are walked together, as bits (``seed_bits``); they become rows again only in the result, in
-    the row, from one list of names a block. Nothing runs while the plan is built, and the hops share
-    their exchanges.
+    of a graph are walked together, as bits (``seed_bits``); they become rows again only in the result,
+    from one list of names a block. Nothing runs while the plan is built, and the hops share
+    their exchanges. Large hubs are split by the adaptive planner; ``salts`` over 1 repeats the frontier
+    for so many parts of every name's edges where that is not enough.
     """
     numbered = _numbered(seeds)
-    words = F.array(*_bits())
-    hops = [h.select("graph_id", "direction", "block", "name", F.struct(F.lit(i).alias("hop"), words.alias("words")).alias("met"))
-            for i, h in enumerate(seed_bits(edges, numbered, max_depth, salts), 1)]
-    met = reduce(DataFrame.unionByName, hops).groupBy("graph_id", "direction", "block", "name").agg(
-        F.array_sort(F.collect_list("met")).alias("met"))
-    # What a hop meets first: its bits without those of the hops before.
     key = ["graph_id", "direction", "block", "name"]
-    fresh = computed(met, key, met=F.expr("""transform(met, (m, k) -> struct(m.hop AS hop, transform(m.words, (w, i) ->
-        w & ~aggregate(slice(met, 1, k), 0L, (seen, e) -> seen | e.words[i])) AS words))"""))
+    # Each hop has its own words, so that one grouping in fixed columns brings a name's hops together.
+    at = lambda hop, i: f"h{hop}w{i}"
+    every = [(hop, i) for hop in range(1, max_depth + 1) for i in range(WORDS)]
+    hops = [h.select(*key, *[(F.col(f"w{i}") if hop == own else F.lit(None).cast("bigint")).alias(at(hop, i)) for hop, i in every])
+            for own, h in enumerate(seed_bits(edges, numbered, max_depth, salts), 1)]
+    met = reduce(DataFrame.unionByName, hops).groupBy(*key).agg(
+        *[F.coalesce(F.bit_or(at(hop, i)), F.lit(0).cast("bigint")).alias(at(hop, i)) for hop, i in every])
+    # What a hop meets first: its bits without those of the hops before.
+    first = lambda hop, i: reduce(lambda seen, h: seen.bitwiseAND(F.bitwise_not(at(h, i))), range(1, hop), F.col(at(hop, i)))
+    fresh = met.select(*key, *[first(hop, i).alias(at(hop, i)) for hop, i in every])
     # A block holds at most 64 * WORDS seeds, so its list of names is bounded.
     names = numbered.groupBy("graph_id", "block").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("bit", "name"))), lambda s: s["name"]).alias("seeds"))
-    found = F.expr("""flatten(transform(met, m -> flatten(transform(m.words, (w, i) -> if(w = 0, array(), transform(
-        filter(sequence(0, 63), b -> getbit(w, b) = 1), b -> struct(seeds[64 * i + b] AS seed, m.hop AS hops)))))))""")
-    return (fresh.join(names, ["graph_id", "block"])
-            .select("graph_id", "name", "direction", F.inline(found)).filter("seed <> name")
-            .select("graph_id", "seed", "name", "direction", "hops"))
+    # Word, byte, bit: three generators in compiled code, which pass over what is empty.
+    keep = ["graph_id", "name", "direction", "seeds"]
+    words = fresh.join(names, ["graph_id", "block"]).select(*keep, F.inline(F.array(*[F.struct(
+        F.lit(hop).alias("hops"), F.lit(64 * i).alias("base"), F.col(at(hop, i)).alias("word")) for hop, i in every]))).filter("word <> 0")
+    bytes_ = words.select(*keep, "hops", "base", F.posexplode(F.array(*[F.shiftrightunsigned("word", 8 * b).bitwiseAND(
+        F.lit(255)).cast("int") for b in range(8)])).alias("place", "byte")).filter("byte <> 0")
+    bits = bytes_.select(*keep, "hops", "base", "place", F.explode(F.get(F.lit(BITS_OF), "byte")).alias("bit"))
+    return (bits.select("graph_id", F.get("seeds", F.expr("base + 8 * place + bit")).alias("seed"), "name", "direction", "hops")
+            .filter("seed <> name"))
 
 
 def blast_parts(radius: DataFrame, nodes: DataFrame, seeds: DataFrame) -> DataFrame:

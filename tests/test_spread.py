@@ -74,3 +74,16 @@ def test_blocks_of_any_size_travel_alike(spark):
     copies = [line for line in _plan(small).splitlines() if "Generate explode(sequence(0" in line]
     assert not copies or all("sequence(0, 0" in line for line in copies)
     assert {(r.query_id, r.chunk_id, r["rank"]) for r in ve.knn(q, c, 5).collect()} == want
+
+
+def test_walks_decode_compiled(spark):
+    """Over 64 seeds of a graph, with bit 63 and copies of hops: every bit comes back, and no list is walked in a lambda."""
+    from reviewframe.operators import graph as gr
+
+    edges = [("g", f"s{i:03}", f"h{i % 7}", "CALLS") for i in range(150)] + [("g", f"h{i}", "t", "CALLS") for i in range(7)]
+    df = spark.createDataFrame(edges, "graph_id string, src string, dst string, type string")
+    seeds = spark.createDataFrame([("g", f"s{i:03}") for i in range(150)], "graph_id string, name string")
+    found = gr.blast_radius(df, seeds)
+    assert "lambda" not in _plan(found.filter("hops = 1")).split("Project")[1]
+    got = {tuple(r) for r in found.select("seed", "name", "direction", "hops").collect()}
+    assert got == {(f"s{i:03}", f"h{i % 7}", "callee", 1) for i in range(150)} | {(f"s{i:03}", "t", "callee", 2) for i in range(150)}
