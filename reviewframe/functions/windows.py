@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SALTS = 64
+# Sub-groups of the second cut.
+FEWER = 4
 # Largest literal rank for which the planner prunes rows before the exchange
 # (spark.sql.optimizer.windowGroupLimitThreshold).
 MAP_SIDE_LIMIT = 1000
@@ -17,19 +19,24 @@ def _ranked(df: DataFrame, keys: list, order: list, n, rank_col: str) -> DataFra
 
 
 def first_n(df: DataFrame, keys: list, order: list, n: int | Column,
-            rank_col: str = "rank") -> DataFrame:
+            rank_col: str = "rank", group: str | None = None) -> DataFrame:
     """First ``n`` rows per key in ``order``; adds ``rank_col``.
 
     A literal ``n`` within the planner's limit is pruned to n rows per key and map task before the
     exchange. A per-row ``n`` cannot be, so each key is first cut within salted sub-groups (any
-    row beyond rank n of its sub-group is beyond rank n of its key) and then across them.
+    row beyond rank n of its sub-group is beyond rank n of its key), then across ever fewer of
+    them, so that no task but the last, of n rows by FEWER a key, reads more than a share of a key.
+    ``group`` names a column of sub-groups (0 and up) that the rows meet by already; it is dropped.
     """
     if isinstance(n, int) and n <= MAP_SIDE_LIMIT:
         return _ranked(df, keys, order, n, rank_col)
-    order_values = [F.struct(*[c for c in df.columns])]
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order_values), F.lit(SALTS)))
-    cut = _ranked(salted, [*keys, "_salt"], order, n, rank_col).drop(rank_col, "_salt")
-    return _ranked(cut, keys, order, n, rank_col)
+    cut = df
+    if group is None:
+        group = "_salt"
+        cut = df.withColumn(group, F.pmod(F.xxhash64(F.struct(*df.columns)), F.lit(SALTS)))
+    cut = _ranked(cut, [*keys, group], order, n, rank_col).drop(rank_col)
+    cut = _ranked(cut.withColumn(group, F.col(group) % FEWER), [*keys, group], order, n, rank_col)
+    return _ranked(cut.drop(rank_col, group), keys, order, n, rank_col)
 
 
 def first_by(df: DataFrame, keys: list, order: list) -> DataFrame:

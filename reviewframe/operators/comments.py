@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fx
 from .. import schemas
+from ..functions.joins import spread_join
 from ..functions.jsontext import parse_list, whole_value
 from ..functions.text import render_comment, severity_rank, strip_fence_first, strip_fence_last
 from ..functions.windows import first_by, first_n
@@ -65,10 +66,10 @@ def filter_severity(comments: DataFrame, policies: DataFrame) -> DataFrame:
 def cap_comments(comments: DataFrame, policies: DataFrame) -> DataFrame:
     """First ``max_comments`` comments per review in list order."""
     limits = policies.select("review_id", F.col("max_comments").alias("_cap"))
-    joined = (comments.join(limits, "review_id", "left")
+    joined = (spread_join(comments, limits, "review_id")
               .withColumn("_cap", F.coalesce("_cap",
                                              F.lit(fx.DEFAULT_POLICY["max_comments"]))))
-    return first_n(joined, ["review_id"], [F.col("seq")], F.col("_cap"), "_rn").drop("_rn", "_cap")
+    return first_n(joined, ["review_id"], [F.col("seq")], F.col("_cap"), "_rn", "_group").drop("_rn", "_cap")
 
 
 def noise_control(comments: DataFrame, policies: DataFrame) -> DataFrame:

@@ -87,3 +87,22 @@ def test_walks_decode_compiled(spark):
     assert "lambda" not in _plan(found.filter("hops = 1")).split("Project")[1]
     got = {tuple(r) for r in found.select("seed", "name", "direction", "hops").collect()}
     assert got == {(f"s{i:03}", f"h{i % 7}", "callee", 1) for i in range(150)} | {(f"s{i:03}", "t", "callee", 2) for i in range(150)}
+
+
+def test_a_hot_review_meets_its_policy_in_groups(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(4000).selectExpr("if(id % 9 = 0, null, 'hot') as review_id", "id as seq", "cast(id % 5 as string) as file_path",
+                                          "cast(id as int) as line", "'INFO' as severity", "cast(id as string) as body")
+        policies = spark.createDataFrame([("hot", 1, 1500), ("hot2", 1, 1)], "review_id string, min_rank int, max_comments int")
+        for run in (cm.cap_comments, cm.noise_control):
+            found = run(df, policies)
+            # The join's groups serve the first cut: the whole rows are not dealt by review alone before the last cut.
+            assert _plan(found).count("hashpartitioning(review_id") == (4 if run is cm.cap_comments else 5)
+            kept = found.collect()
+            assert [r.seq for r in sorted(kept, key=lambda r: r.seq) if r.review_id] == [i for i in range(4000) if i % 9][:1500]
+            assert len([r for r in kept if r.review_id is None]) == 15
+        assert cm.filter_severity(df, policies).count() == 4000
+        assert "hashpartitioning(review_id#" in _plan(cm.filter_severity(df, policies)) and "_group" in _plan(cm.filter_severity(df, policies))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
