@@ -75,13 +75,13 @@ def cap_comments(comments: DataFrame, policies: DataFrame) -> DataFrame:
 def noise_control(comments: DataFrame, policies: DataFrame) -> DataFrame:
     """De-duplicate, then filter by severity, then cap; one policy join serves the last two."""
     rules = policies.select("review_id", "min_rank", F.col("max_comments").alias("_cap"))
-    kept = (dedup_comments(comments).join(rules, "review_id", "left")
+    kept = (spread_join(dedup_comments(comments), rules, "review_id")
             .filter(severity_rank(F.col("severity"))
                     >= F.coalesce("min_rank", F.lit(fx.DEFAULT_RANK)))
             .drop("min_rank")
             .withColumn("_cap", F.coalesce("_cap",
                                            F.lit(fx.DEFAULT_POLICY["max_comments"]))))
-    return first_n(kept, ["review_id"], [F.col("seq")], F.col("_cap"), "_rn").drop("_rn", "_cap")
+    return first_n(kept, ["review_id"], [F.col("seq")], F.col("_cap"), "_rn", "_group").drop("_rn", "_cap")
 
 
 def ground_comments(comments: DataFrame, lines: DataFrame) -> DataFrame:
