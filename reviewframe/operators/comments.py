@@ -57,10 +57,10 @@ def dedup_comments(comments: DataFrame) -> DataFrame:
 def filter_severity(comments: DataFrame, policies: DataFrame) -> DataFrame:
     """Comments at or above the review's threshold; unknown severities count as the lowest."""
     limits = policies.select("review_id", "min_rank")
-    return (comments.join(limits, "review_id", "left")
+    return (spread_join(comments, limits, "review_id", stay=True)
             .filter(severity_rank(F.col("severity"))
                     >= F.coalesce("min_rank", F.lit(fx.DEFAULT_RANK)))
-            .drop("min_rank"))
+            .drop("min_rank", "_group"))
 
 
 def cap_comments(comments: DataFrame, policies: DataFrame) -> DataFrame:
