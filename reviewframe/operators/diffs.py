@@ -115,6 +115,13 @@ def changed_lines(lines: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set("line_num")).alias("line_nums"))
 
 
+def shared_files(lines: DataFrame) -> DataFrame:
+    """``changed_lines`` of files with a line number, for several uses: no filter of a later join goes below the
+    generator, so all uses share the exchange that brought the lines together."""
+    found = changed_lines(lines)
+    return computed(found, [], **{c: F.col(c) for c in ("review_id", "filename", "line_nums")}).filter(F.size("line_nums") > 0)
+
+
 def diff_stats(lines: DataFrame) -> DataFrame:
     """Added lines and hunks per file and per review (``level`` tells which).
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fx
 from ..functions.joins import spread_join
 from ..operators.comments import ground_comments, noise_control, parse_findings, review_summary, suppress_repeats
-from ..operators.diffs import added_lines_json, changed_lines, hunk_table, hunks_nested, lines_in_hunks, touched_lines
+from ..operators.diffs import added_lines_json, hunk_table, hunks_nested, lines_in_hunks, shared_files, touched_lines
 from ..operators.feedback import feedback_stats
 from ..operators.files import reviewable_files, scannable_files
 from ..operators.graph import file_contexts
@@ -66,7 +66,7 @@ def review_context(code: DataFrame, lines: DataFrame, reviews: DataFrame,
     file that calls it. Only the code of changed files is parsed, once, and nothing runs while the plan is made.
     """
     # Lines meet by file once; both uses share that exchange, and only files go on from it.
-    files = changed_lines(lines).filter(F.size("line_nums") > 0)
+    files = shared_files(lines)
     touched = (spread_join(files, reviews.select("review_id", "repo", "ref"), "review_id", "inner").drop("_group")
                .withColumnRenamed("filename", "file_path"))
     return file_contexts(extract_nodes(changed_code(code, files, reviews)), touched, max_depth)

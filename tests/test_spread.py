@@ -106,3 +106,17 @@ def test_a_hot_review_meets_its_policy_in_groups(spark):
         assert "hashpartitioning(review_id#" in _plan(cm.filter_severity(df, policies)) and "_group" in _plan(cm.filter_severity(df, policies))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_changed_lines_meet_once_for_code_and_context(spark, tmp_path):
+    from reviewframe.plans import review as pr
+
+    spark.createDataFrame([("r", "f.py", 1, 1, "x")] * 3 + [("r", "f.py", 1, None, "x")],
+                          "review_id string, filename string, hunk_no int, line_num int, content string").write.parquet(f"{tmp_path}/lines")
+    code = spark.createDataFrame([("o", "m", "f.py", "def a():\n    b()\n\ndef b():\n    pass\n")],
+                                 "repo string, ref string, file_path string, content string")
+    reviews = spark.createDataFrame([("r", "o", "m")], "review_id string, repo string, ref string")
+    parts = pr.review_context(code, spark.read.parquet(f"{tmp_path}/lines"), reviews)
+    assert [tuple(r)[:3] for r in parts.collect()] == [("r", "f.py", "b")]
+    final = _plan(parts).split("Initial Plan")[0]
+    assert "ReusedExchange" in final or final.count("hashpartitioning(review_id") == 1
