@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ast
-import re
 import warnings
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import spread_join
 from ..functions.once import computed
 from ..functions.text import extension
 from .diffs import changed_lines
@@ -18,6 +18,8 @@ from .diffs import changed_lines
 _DEFINITIONS = {ast.FunctionDef: "function_definition",
                 ast.AsyncFunctionDef: "function_definition",
                 ast.ClassDef: "class_definition"}
+# What a tree mostly consists of: values that hold no further nodes.
+_LEAVES = frozenset([int, str, type(None), ast.Name, ast.Constant, ast.Load, ast.Store, ast.Del, ast.Pass])
 _EXTRACTED = pa.schema([
     ("repo", pa.string()), ("ref", pa.string()), ("file_path", pa.string()),
     ("node_type", pa.string()), ("node_name", pa.string()), ("content", pa.string()),
@@ -26,14 +28,14 @@ _EXTRACTED = pa.schema([
 _EXTRACTED_DDL = ("repo string, ref string, file_path string, node_type string, "
                   "node_name string, content string, start_line int, end_line int, "
                   "dependencies array<string>, has_docstring boolean, error string")
-# Files are large, so definitions leave in small batches.
-_ROWS_OUT = 1000
+# Files are large, so they are taken up and definitions leave in small batches.
+_FILES_IN, _ROWS_OUT = 32, 1000
 
 
 def python_nodes(source: str) -> list[dict]:
     """Function and class definitions of one Python file, outer before inner."""
     tree = ast.parse(source)
-    lines = re.split(rb"(?<=\n)|(?<=\r)(?!\n)", source.encode("utf-8"))
+    lines = source.encode("utf-8").splitlines(keepends=True)
 
     def text(node: ast.AST) -> str:
         first, last = node.lineno - 1, node.end_lineno - 1
@@ -47,6 +49,7 @@ def python_nodes(source: str) -> list[dict]:
     found = []
     # One pass: every node carries the call sets of the definitions it lies in.
     pending: list[tuple[ast.AST, tuple[set, ...]]] = [(tree, ())]
+    push = pending.append
     while pending:
         node, owners = pending.pop()
         kind = _DEFINITIONS.get(type(node))
@@ -69,14 +72,15 @@ def python_nodes(source: str) -> list[dict]:
             if name is not None:
                 for calls in owners:
                     calls.add(name)
-        for field in node._fields:
-            value = getattr(node, field, None)
-            # Decorators stand before the definition and are not part of it.
-            scope = owners if field == "decorator_list" else inside
+        for field, value in node.__dict__.items():
             if type(value) is list:
-                pending.extend((child, scope) for child in value if isinstance(child, ast.AST))
-            elif isinstance(value, ast.AST) and not isinstance(value, ast.expr_context):
-                pending.append((value, scope))
+                # Decorators stand before the definition and are not part of it.
+                scope = owners if field == "decorator_list" else inside
+                for child in value:
+                    if type(child) not in _LEAVES and isinstance(child, ast.AST):
+                        push((child, scope))
+            elif type(value) not in _LEAVES and isinstance(value, ast.AST):
+                push((value, inside))
     for node in found:
         node["dependencies"] = sorted(node["dependencies"])
     found.sort(key=lambda n: (n["start_line"], -n["end_line"]))
@@ -98,11 +102,12 @@ def _extract(files: DataFrame, extractors: dict[str, Callable[[str], list[dict]]
         warnings.simplefilter("ignore", SyntaxWarning)
         rows: list[dict] = []
         for batch in batches:
-            for at in range(batch.num_rows):
-                rows.extend(read(batch.slice(at, 1).to_pylist()[0]))
-                if len(rows) >= _ROWS_OUT:
-                    yield pa.RecordBatch.from_pylist(rows, schema=_EXTRACTED)
-                    rows = []
+            for at in range(0, batch.num_rows, _FILES_IN):
+                for file in batch.slice(at, _FILES_IN).to_pylist():
+                    rows.extend(read(file))
+                    if len(rows) >= _ROWS_OUT:
+                        yield pa.RecordBatch.from_pylist(rows, schema=_EXTRACTED)
+                        rows = []
         yield pa.RecordBatch.from_pylist(rows, schema=_EXTRACTED)
 
     readable = (files.select("repo", "ref", "file_path", "content",
@@ -132,8 +137,8 @@ def changed_code(code: DataFrame, files: DataFrame, reviews: DataFrame) -> DataF
 
     ``files`` has review_id and filename, one row or more for each changed file.
     """
-    changed = (files.select("review_id", F.col("filename").alias("file_path"))
-               .join(reviews.select("review_id", "repo", "ref"), "review_id"))
+    changed = spread_join(files.select("review_id", F.col("filename").alias("file_path")),
+                          reviews.select("review_id", "repo", "ref"), "review_id", "inner")
     return code.join(changed, ["repo", "ref", "file_path"], "left_semi")
 
 
@@ -166,8 +171,8 @@ def modified_nodes(nodes: DataFrame, lines: DataFrame, reviews: DataFrame) -> Da
     ``start_added`` tells whether the definition's first line is an added one.
     """
     file = ["repo", "ref", "file_path"]
-    touched = (changed_lines(lines).join(reviews.select("review_id", "repo", "ref"), "review_id")
-               .withColumnRenamed("filename", "file_path"))
+    touched = (spread_join(changed_lines(lines), reviews.select("review_id", "repo", "ref"), "review_id", "inner")
+               .drop("_group").withColumnRenamed("filename", "file_path"))
     pieces = _line_pieces(touched, [*file, "review_id"])
     start = F.greatest("start_line", F.lit(0))
     answers = (start > F.col("_after")) & (start <= F.element_at("_nums", -1))

@@ -538,9 +538,11 @@ def quarantined_files(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def modified_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    lines, reviews = fx_.touched(spark, sf), fx_.source_reviews(spark, sf)
-    code = nd.changed_code(fx_.source_tree(spark, sf), lines, reviews)
-    found = nd.modified_nodes(nd.extract_nodes(code), lines, reviews)
+    # A file's lines meet once; both steps share that exchange. A file with no line number has no changed definition.
+    files = df_.shared_files(fx_.touched(spark, sf))
+    reviews = fx_.source_reviews(spark, sf)
+    code = nd.changed_code(fx_.source_tree(spark, sf), files, reviews)
+    found = nd.modified_nodes(nd.extract_nodes(code), files, reviews)
     return found.select("review_id", "file_path", "node_name", "start_line", "start_added")
 
 
