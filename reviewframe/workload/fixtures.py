@@ -382,7 +382,8 @@ def source_posted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One generated source file per part, in the repo of its brand; it calls its suppliers."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    calls = (table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    # Dealt by part once: distinct pairs, lists and the join with parts are all satisfied by it.
+    calls = (table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").repartition("l_partkey").distinct()
              .groupBy("l_partkey").agg(F.array_sort(F.collect_list("l_suppkey")).alias("supps")))
     k = F.col("p_partkey").cast("string")
     lines = F.concat(

@@ -120,3 +120,15 @@ def test_changed_lines_meet_once_for_code_and_context(spark, tmp_path):
     assert [tuple(r)[:3] for r in parts.collect()] == [("r", "f.py", "b")]
     final = _plan(parts).split("Initial Plan")[0]
     assert "ReusedExchange" in final or final.count("hashpartitioning(review_id") == 1
+
+
+def test_a_parts_calls_are_dealt_once(spark, tmp_path):
+    from reviewframe.workload import fixtures as fx_
+
+    spark.createDataFrame([(1, "B#1"), (2, "B#1")], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(1, 5), (1, 5), (1, 3), (1, None), (None, 4)], "l_partkey long, l_suppkey long").write.parquet(
+        f"{tmp_path}/lineitem.parquet")
+    tree = fx_.source_tree(spark, str(tmp_path))
+    assert _plan(tree).count("hashpartitioning(l_partkey") == 1
+    calls = {r.tree_pos: [x.strip() for x in r.content.split("\n") if x.startswith("    s_")] for r in tree.collect()}
+    assert calls == {1: ["s_3(x)", "s_5(x)"], 2: []}
