@@ -27,11 +27,12 @@ from pyspark.sql import functions as F
 
 from .common import prepared
 
-SECTION = r"(?<=\n\n)(?!\n)"
 PARAGRAPH = r"(?<=\n)"
 TOKEN = r"(?:[\p{L}\p{N}&&[^\p{Lo}]]{1,16}|\p{Lo})[^\p{L}\p{N}]{0,16}|[^\p{L}\p{N}]{1,16}"
 #: Digits of a digest in a fingerprint string: sections and paragraphs, leaves.
 INNER, LEAF = 16, 8
+#: Ends a leaf while a paragraph is cut; paragraphs that hold it are cut by places instead.
+MARK = "\x00"
 
 
 def _parts(text: Column, pattern: str) -> Column:
@@ -50,13 +51,20 @@ def _positions(array: Column, chosen: Callable[[Column, Column], Column]) -> Col
 
 def leaves(paragraph: Column) -> Column:
     """The leaves of a paragraph, in order; joined they are the paragraph."""
-    def cut(tokens: Column) -> Column:
-        ends = _with(F.transform(tokens, lambda t: F.xxhash64(t)), lambda hashes: _positions(
-            hashes, lambda h, i: F.coalesce(h <= F.get(hashes, i + 1), F.lit(True))))
+    def marked(tokens: Column, hashes: Column) -> Column:
+        return F.split(F.array_join(F.transform(tokens, lambda t, i: F.when(
+            F.get(hashes, i) <= F.get(hashes, i + 1), F.concat(t, F.lit(MARK))).otherwise(t)), ""), MARK)
+
+    def placed(tokens: Column, hashes: Column) -> Column:
+        ends = _positions(hashes, lambda h, i: F.coalesce(h <= F.get(hashes, i + 1), F.lit(True)))
         return _with(ends, lambda e: F.transform(e, lambda end, j: _with(
             F.coalesce(F.get(e, j - 1), F.lit(-1)),
             lambda before: F.array_join(F.slice(tokens, before + 2, end - before), ""))))
 
+    def cut(tokens: Column) -> Column:
+        return _with(F.transform(tokens, lambda t: F.xxhash64(t)), lambda hashes: F.when(
+            F.contains(paragraph, F.lit(MARK)), placed(tokens, hashes)).otherwise(marked(tokens, hashes)))
+
     return _with(F.regexp_extract_all(paragraph, F.lit(TOKEN), F.lit(0)), cut)
 
 
@@ -64,18 +72,25 @@ def _digest(children: Column) -> Column:
     return F.sha2(F.array_join(children, ""), 256)
 
 
-def tree(text: Column) -> Column:
-    """(root, sections: array of (digest, paragraphs: array of (digest, leaves: array of digests)))."""
-    def paragraph(part: Column) -> Column:
-        return _with(F.transform(leaves(part), lambda x: F.sha2(x, 256)), lambda digests: F.struct(
-            _digest(digests).alias("digest"), F.transform(digests, lambda d: F.left(d, F.lit(LEAF))).alias("leaves")))
+def _paragraph(part: Column) -> Column:
+    """(digest, leaves) of a paragraph's text."""
+    return _with(F.transform(leaves(part), lambda x: F.sha2(x, 256)), lambda digests: F.struct(
+        _digest(digests).alias("digest"), F.transform(digests, lambda d: F.left(d, F.lit(LEAF))).alias("leaves")))
+
 
-    def section(part: Column) -> Column:
-        return _with(F.transform(_parts(part, PARAGRAPH), paragraph), lambda found: F.struct(
-            _digest(found["digest"]).alias("digest"), found.alias("paragraphs")))
+def _assembled(lines: Column, nodes: Column) -> Column:
+    """The tree over a text's paragraphs (``lines``) whose nodes are known: a section ends with its blank lines."""
+    starts = _positions(lines, lambda x, i: (i == 0) | ((i > 1) & (F.get(lines, i - 1) == "\n") & (x != "\n")))
+    sections = _with(starts, lambda at: F.transform(at, lambda p, j: _with(
+        F.slice(nodes, p + 1, F.coalesce(F.get(at, j + 1), F.size(nodes)) - p), lambda found: F.struct(
+            _digest(found["digest"]).alias("digest"), found.alias("paragraphs")))))
+    return _with(sections, lambda found: F.struct(_digest(found["digest"]).alias("root"), found.alias("sections")))
 
-    return _with(F.transform(_parts(text, SECTION), section), lambda found: F.struct(
-        _digest(found["digest"]).alias("root"), found.alias("sections")))
+
+def tree(text: Column) -> Column:
+    """(root, sections: array of (digest, paragraphs: array of (digest, leaves: array of digests)))."""
+    return _with(_parts(text, PARAGRAPH), lambda lines: _with(
+        F.transform(lines, _paragraph), lambda nodes: _assembled(lines, nodes)))
 
 
 def fingerprint(node: Column) -> Column:
@@ -144,11 +159,30 @@ def _leaf_nodes(digests: Column) -> Column:
     return F.transform(digests, lambda d: F.struct(d.alias("digest"), F.lit(0).alias("below")))
 
 
-def differing(a: Column, b: Column) -> Column:
-    """(digest, side, n, below) of the leaves in which two trees differ, found below differing branches only."""
+def _open_leaves(a: Column, b: Column) -> Column:
+    """(a, b): the leaves of two trees that lie below differing branches."""
     paragraphs = _unmatched(_nodes(a["sections"], "paragraphs"), _nodes(b["sections"], "paragraphs"))
     found = _with(paragraphs, lambda s: _unmatched(_nodes(_opened(s, 0), "leaves"), _nodes(_opened(s, 1), "leaves")))
-    return _with(found, lambda p: _unmatched(_leaf_nodes(_opened(p, 0)), _leaf_nodes(_opened(p, 1))))
+    return _with(found, lambda p: F.struct(_opened(p, 0).alias("a"), _opened(p, 1).alias("b")))
+
+
+def differing(a: Column, b: Column) -> Column:
+    """(digest, side, n, below) of the leaves in which two trees differ, found below differing branches only."""
+    return _with(_open_leaves(a, b), lambda o: _unmatched(_leaf_nodes(o["a"]), _leaf_nodes(o["b"])))
+
+
+def _again(digests: Column) -> Column:
+    """Every occurrence of a digest but one."""
+    return _with(F.sort_array(digests), lambda held: F.filter(held, lambda x, i: x == F.get(held, i - 1)))
+
+
+def _unpaired(a: Column, b: Column) -> Column:
+    """How many digests of two arrays have no partner in the other, each counted as often as it is there.
+
+    One occurrence of each distinct digest meets its partner by hash; only repeats are sorted out and counted.
+    """
+    more = F.aggregate(_unmatched(_leaf_nodes(_again(a)), _leaf_nodes(_again(b))), F.lit(0), lambda n, x: n + x["n"])
+    return F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)) - 2 * F.size(F.array_intersect(a, b)) + more
 
 
 def leaf_count(node: Column) -> Column:
@@ -158,7 +192,7 @@ def leaf_count(node: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """1 for equal roots; else the share of the two trees' leaves that have a partner in the other tree."""
-    left = F.aggregate(differing(a, b), F.lit(0), lambda n, x: n + x["n"])
+    left = _with(_open_leaves(a, b), lambda o: _unpaired(o["a"], o["b"]))
     return F.when(a["root"] == b["root"], F.lit(1.0)).otherwise(_with(
         leaf_count(a) + leaf_count(b), lambda all_: (all_ - left) / all_))
 
@@ -203,21 +237,42 @@ def with_next(docs: DataFrame) -> DataFrame:
         "doc_id", "text", F.coalesce("_next", "_first").alias("next_text"))
 
 
+def _cut(text: Column, share: int) -> Column:
+    return F.floor(F.length(text) / share).cast("int")
+
+
+def _put(text: Column, next_text: Column, share: int = 3) -> Column:
+    """The beginning of the next text that takes the place of a text's end."""
+    return F.substring(next_text, F.lit(1), _cut(text, share))
+
+
 def edited(text: Column, next_text: Column, share: int = 3) -> Column:
     """The last floor(n / share) code points replaced by the first as many (or all) of the next text."""
-    cut = F.floor(F.length(text) / share).cast("int")
-    return F.concat(F.substring(text, F.lit(1), F.length(text) - cut), F.substring(next_text, F.lit(1), cut))
+    return F.concat(F.substring(text, F.lit(1), F.length(text) - _cut(text, share)), _put(text, next_text, share))
 
 
 def edit_report(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every text and of its edited text, and how like the edited and the next text are."""
+    """Fingerprints of every text and of its edited text, and how like the edited and the next text are.
+
+    An edited text takes most of its paragraphs whole from the two texts it is made of; these keep their
+    nodes, and only the others (where the texts meet and where the second one is cut) are read anew.
+    """
     prepared(docs.sparkSession)
     # Only texts travel to their neighbours; fingerprints are cheaper to make again than to carry.
     found = with_next(docs).withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    changed = found.select("doc_id", "text", "edited", *(
-        tree(F.col(c)).alias(n) for c, n in (("text", "own"), ("edited", "new"), ("next_text", "after"))))
-    return changed.select(
+    lines = found.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        F.size(_parts(_put(F.col("text"), F.col("next_text")), PARAGRAPH)).alias("_put"),
+        *(_parts(F.col(c), PARAGRAPH).alias(n) for c, n in (("text", "own"), ("edited", "new"), ("next_text", "after"))))
+    known = lines.select("*", *(F.transform(n, _paragraph).alias(f"{n}_nodes") for n in ("own", "after")))
+    # The edited text's last paragraphs are the next text's first ones.
+    place = lambda i: i - (F.size("new") - F.col("_put"))
+    new_nodes = F.transform("new", lambda x, i: F.when(x == F.get("own", i), F.get("own_nodes", i)).when(
+        x == F.get("after", place(i)), F.get("after_nodes", place(i))).otherwise(_paragraph(x)))
+    trees = known.withColumn("new_nodes", new_nodes).select("doc_id", "n_chars", "edited_sha256", *(
+        _assembled(F.col(n), F.col(f"{n}_nodes")).alias(n) for n in ("own", "new", "after")))
+    return trees.select(
+        "doc_id", "n_chars", "edited_sha256",
         fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("new")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("new")).alias("near_edited"),
         likeness(F.col("own"), F.col("after")).alias("near_next"))

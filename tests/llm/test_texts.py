@@ -193,6 +193,29 @@ def test_likeness_counts_repeats_and_reads_fingerprints(spark, make_docs):
         assert abs(r.whole - wanted) < 1e-9 and abs(r.printed - wanted) < 1e-9
 
 
+def test_an_edited_text_keeps_the_nodes_of_whole_paragraphs(spark, make_docs):
+    """Paragraphs that an edited text takes over are not read again, and the trees are those of the texts."""
+    rng = random.Random(8)
+    pieces = ["aa ", "bb ", "cc.", "d\x00e ", "日本 ", "\n", "\n", "\n\n", "\n\n\n", "\r\n"]
+    texts = ["", "\n", "\n\n", "\na\n\n b", "x y z \x00"] + [
+        "".join(rng.choice(pieces) for _ in range(rng.randrange(60))) for _ in range(60)]
+    report = merkle.edit_report(make_docs(list(enumerate(texts))))
+    plan = report._jdf.queryExecution().analyzed().toString()
+    assert re.search(r"CASE WHEN .{0,80}= get\(own.{0,200}THEN get\(own_nodes", plan)
+    got = {r.doc_id: r for r in report.collect()}
+    after = [texts[i - 1] for i in range(len(texts))]
+    new = [t[:len(t) - len(t) // 3] + a[:len(t) // 3] for t, a in zip(texts, after)]
+    pairs = make_docs([(i, *x) for i, x in enumerate(zip(texts, new, after))], "doc_id long, text string, new string, after string")
+    trees = pairs.select("doc_id", *(merkle.tree(F.col(c)).alias(c) for c in ("text", "new", "after")))
+    wanted = trees.select("doc_id", merkle.fingerprint(F.col("new")).alias("new"), *(F.aggregate(
+        merkle.differing(F.col("text"), F.col(c)), F.lit(0), lambda n, x: n + x["n"]).alias(f"left_{c}") for c in ("new", "after")),
+        *((merkle.leaf_count(F.col("text")) + merkle.leaf_count(F.col(c))).alias(f"all_{c}") for c in ("new", "after"))).collect()
+    for r in wanted:
+        assert got[r.doc_id].edited_fingerprint == r.new
+        for left, all_, value in ((r.left_new, r.all_new, got[r.doc_id].near_edited), (r.left_after, r.all_after, got[r.doc_id].near_next)):
+            assert abs((1.0 if all_ == 0 else (all_ - left) / all_) - value) < 1e-12
+
+
 def test_branches_locate_an_edit(make_docs):
     a, b = "p1\np2\n\nq1\nq2\n", "p1\np2\n\nq1\nchanged\n"
     nodes = merkle.nodes(make_docs([(1, a), (2, b)])).collect()
