@@ -172,17 +172,19 @@ def _index_of(df: DataFrame) -> Column | None:
     return F.col("api_index") if "api_index" in df.columns else None
 
 
-def with_apis(lines: DataFrame, policies: DataFrame) -> DataFrame:
+def with_apis(lines: DataFrame, policies: DataFrame, stay: bool = False) -> DataFrame:
     """Adds the review's ``forbidden_apis`` and ``api_index`` unless they came along with the files.
 
     A review without a policy row has the default list. The planner broadcasts the lists where they
     are small and else meets them by review, splitting large reviews. Lists are indexed before they meet.
+    With ``stay`` they always meet by review: the planner may else find the lists small when the lines have
+    moved, and let one task work on all that one task wrote, however costly what follows is.
     """
     if "forbidden_apis" in lines.columns:
         return lines
     default = default_group("security").cast(policies.schema["security"].dataType)
     apis = indexed_apis(policies.select("review_id", F.col("security")["forbidden_apis"].alias("forbidden_apis")))
-    return lines.join(apis, "review_id", "left").withColumn(
+    return lines.join(apis.hint("shuffle_hash") if stay else apis, "review_id", "left").withColumn(
         "forbidden_apis", F.coalesce("forbidden_apis", default["forbidden_apis"]))
 
 
@@ -335,7 +337,7 @@ def hunks_of_lines(lines: DataFrame) -> DataFrame:
 def rule_scan(source: DataFrame, nodes: DataFrame | None, policies: DataFrame) -> DataFrame:
     """All rules over hunks (``diffs.hunk_table``) or long lines, and over definitions."""
     hunks = source if "hunk" in source.columns else hunks_of_lines(source)
-    found = scan_hunks(with_apis(hunks, policies))
+    found = scan_hunks(with_apis(hunks, policies, stay=True))
     if nodes is not None:
         found = found.unionByName(scan_nodes(nodes))
     return gate(found, policies)

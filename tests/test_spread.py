@@ -5,11 +5,15 @@ import random
 from pyspark.sql import functions as F
 
 from plain_rows import rows
+from reviewframe import fixed_values as fx
 from reviewframe.functions.joins import SPREAD, spread_join
 from reviewframe.functions.windows import first_n
 from reviewframe.operators import comments as cm
 from reviewframe.operators import diffs as df_
 from reviewframe.operators import infer as inf
+from reviewframe.operators import nodes as nd
+from reviewframe.operators import rules as ru
+from reviewframe.operators.policy import policy_resolve
 
 
 def _plan(df):
@@ -132,3 +136,26 @@ def test_changed_lines_meet_once_for_code_and_context(spark, tmp_path):
     assert [tuple(r)[:3] for r in parts.collect()] == [("r", "f.py", "b")]
     final = _plan(parts).split("Initial Plan")[0]
     assert "ReusedExchange" in final or final.count("hashpartitioning(review_id") == 1
+
+
+def test_hunks_stay_by_review_while_they_are_scanned(spark):
+    """Found small when the hunks have moved, the lists would let one task scan all that one task wrote."""
+    hunk = "array(struct(1 AS line_num, 'x = eval(1)' AS content, CAST(NULL AS STRING) AS prev_content)) AS hunk"
+    hunks = spark.range(200).selectExpr("concat('r', id % 20) AS review_id", "concat('f', id) AS filename", "1 AS hunk_no", hunk)
+    reviews = spark.range(15).selectExpr("concat('r', id) AS review_id", "'org/a' AS repo")
+    policies = policy_resolve(reviews, spark.createDataFrame([("org/a", '{"security": {"forbidden_apis": ["eval("]}}')],
+                                                             "repo string, config string"))
+    found = ru.rule_scan(hunks, None, policies)
+    assert "ShuffledHashJoin [review_id" in _plan(found)
+    got = rows(found.select("file_path", "rule").filter("rule = 'G1'"))
+    with_default = {n for n in range(200) if n % 20 < 15 or "eval(" in fx.DEFAULT_POLICY["security"]["forbidden_apis"]}
+    assert got == sorted([(f"f{n}", "G1") for n in with_default], key=repr)
+
+
+def test_definitions_are_batched_by_columns():
+    """A batch is made from columns, not from rows; what a row lacks is null."""
+    made = nd._batch([{"repo": "o", "node_name": "f", "dependencies": ["a", "b"], "has_docstring": True, "start_line": 3},
+                      {"repo": "o", "error": "SyntaxError: x"}])
+    assert made.schema == nd._EXTRACTED and made.num_rows == 2
+    assert made.to_pylist()[0]["dependencies"] == ["a", "b"] and made.to_pylist()[1]["dependencies"] is None
+    assert made.to_pylist()[1]["error"] == "SyntaxError: x" and nd._batch([]).num_rows == 0
