@@ -27,24 +27,28 @@ class Limiter(StatefulProcessor):
         self.handle = handle
         self.accepted = handle.getListState("accepted", "t bigint")
 
-    def _keep(self, times: list[int]) -> None:
-        """Stores the times; the timer fires when the watermark has passed the last one by a window."""
-        for at in list(self.handle.listTimers()):
+    def _keep(self, times: list[int], held: bool) -> None:
+        """Stores the times; the timer fires when the watermark has passed the last one by a window.
+
+        Every call here is a message to the JVM. A key has a timer only while its times are ``held``.
+        """
+        for at in list(self.handle.listTimers()) if held else ():
             self.handle.deleteTimer(at)
         if times:
             self.accepted.put([(t,) for t in times])
             self.handle.registerTimer(-(-(times[-1] + self.window_us) // 1000))
-        elif self.accepted.exists():
+        elif held:
             self.accepted.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # A micro-batch may reach a key in several frames; decisions need them in time order.
         frame = pd.concat(list(rows)).sort_values(["t", "request_id"], kind="stable")
         times = frame["t"].to_numpy(dtype=np.int64)
-        recent = deque(t for (t,) in self.accepted.get()) if self.accepted.exists() else deque()
+        recent = deque(t for (t,) in self.accepted.get())
+        held = len(recent) > 0
         mask = accept_sorted(times, recent, self.limit, self.window_us)
         newest = int(times[-1])
-        self._keep([t for t in recent if newest - t < self.window_us])
+        self._keep([t for t in recent if newest - t < self.window_us], held)
         yield pd.DataFrame({"request_id": frame["request_id"].to_numpy(), "key": key[0], "t": times, "allowed": mask})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:

@@ -273,3 +273,42 @@ def test_findings_on_two_lines_survive_and_need_no_policy_row(spark):
     policies = policy_resolve(reviews, spark.createDataFrame([], "repo string, config string"))
     kept = dedup_comments(raw_findings(files, policies)).filter("rule = 'G2'").collect()
     assert sorted((r.review_id, r.line) for r in kept) == [("r1", 1), ("r1", 2), ("r2", 1), ("r2", 2)]
+
+
+def test_a_new_key_asks_for_no_timers():
+    """Every call of the state is a message to the JVM; a key without held times has no timer to look for."""
+    import pandas as pd
+
+    from reviewframe.streaming.limiter import Limiter
+
+    class State(list):
+        def get(self):
+            return iter([(t,) for t in self])
+
+        def exists(self):
+            raise AssertionError("get tells it")
+
+        def put(self, rows):
+            self[:] = [t for (t,) in rows]
+
+    class Handle:
+        timers, asked = [], 0
+
+        def listTimers(self):
+            self.asked += 1
+            return iter(list(self.timers))
+
+        def deleteTimer(self, at):
+            self.timers.remove(at)
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    limiter = Limiter(2, 10_000_000)
+    limiter.handle, limiter.accepted = Handle(), State()
+    ask = lambda *times: [bool(a) for f in limiter.handleInputRows(("k",), iter([pd.DataFrame(
+        {"request_id": [f"r{t}" for t in times], "t": [t * 1_000_000 for t in times]})]), None) for a in f["allowed"]]
+    assert ask(3, 1, 2) == [True, True, False]
+    assert limiter.handle.asked == 0 and limiter.handle.timers == [12_000] and list(limiter.accepted) == [1_000_000, 2_000_000]
+    assert ask(12, 4) == [False, True]
+    assert limiter.handle.asked == 1 and limiter.handle.timers == [22_000]
