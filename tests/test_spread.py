@@ -159,3 +159,22 @@ def test_definitions_are_batched_by_columns():
     assert made.schema == nd._EXTRACTED and made.num_rows == 2
     assert made.to_pylist()[0]["dependencies"] == ["a", "b"] and made.to_pylist()[1]["dependencies"] is None
     assert made.to_pylist()[1]["error"] == "SyntaxError: x" and nd._batch([]).num_rows == 0
+
+
+def test_a_summary_moves_no_bodies_and_spreads_a_review(spark):
+    """Most comments are one review's: they meet its policy by group, and their texts stay where they are."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        raw = spark.range(400).selectExpr(
+            "if(id % 10 = 0, 'q', 'r') AS review_id", "id AS seq", "concat('f', id % 7) AS file_path", "1 AS line",
+            "if(id % 2 = 0, 'BLOCKER', 'INFO') AS severity", "concat('text ', id) AS body")
+        policies = spark.createDataFrame([("r", 2, 30), ("q", 1, 5), ("none", 1, 5)], "review_id string, min_rank int, max_comments int")
+        made = cm.review_summary(raw, cm.noise_control(raw, policies), policies)
+        plan = _plan(made)
+        assert any("SortMergeJoin" in line and "_group" in line for line in plan.splitlines())
+        # Texts are cut to a key's prefix before anything moves.
+        assert "body#" not in plan.split("Exchange")[1].splitlines()[1]
+        found = {r.review_id: (r["found"], r.blocker, r.info, r.posted) for r in made.collect()}
+        assert found == {"r": (360, 160, 200, 30), "q": (40, 40, 0, 5), "none": (0, 0, 0, 0)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
