@@ -39,36 +39,51 @@ def _numbered(seeds: DataFrame) -> DataFrame:
         F.expr(f"at % {64 * WORDS}").alias("bit"))
 
 
-def _steps(edges: DataFrame, salts: int) -> DataFrame:
-    """(graph_id, direction, here, there, salt): every edge both ways, once."""
-    ways = F.inline(F.array(
-        F.struct(F.lit("callee").alias("direction"), F.col("src").alias("here"), F.col("dst").alias("there")),
-        F.struct(F.lit("caller").alias("direction"), F.col("dst").alias("here"), F.col("src").alias("there"))))
+def _ways(edges: DataFrame, salts: int) -> dict[str, DataFrame]:
+    """(graph_id, here, there) by direction, with a salt where there are several. Copies of an edge set the same bits."""
     pairs = edges.select("graph_id", "src", "dst").filter("src <> dst AND graph_id IS NOT NULL")
-    both = pairs.select("graph_id", ways).filter("here IS NOT NULL AND there IS NOT NULL").distinct()
-    return both.withColumn("salt", F.pmod(F.xxhash64("there"), F.lit(salts)))
+    ways = {"callee": pairs.select("graph_id", F.col("src").alias("here"), F.col("dst").alias("there")),
+            "caller": pairs.select("graph_id", F.col("dst").alias("here"), F.col("src").alias("there"))}
+    if salts == 1:
+        return ways
+    return {way: e.withColumn("salt", F.pmod(F.xxhash64("there"), F.lit(salts))) for way, e in ways.items()}
 
 
-def seed_bits(edges: DataFrame, numbered: DataFrame, max_depth: int, salts: int) -> list[DataFrame]:
-    """For each hop (graph_id, direction, block, name, w0..): the seeds whose walks of that many steps end at a name.
+def _own_bits(numbered: DataFrame) -> DataFrame:
+    """(graph_id, block, name, w0..): every seed with its own bit."""
+    own = [F.expr(f"if(bit DIV 64 = {i}, shiftleft(1L, bit % 64), 0L)").alias(w) for i, w in enumerate(_bits())]
+    return numbered.select("graph_id", "block", "name", *own)
+
+
+def _walked(edges: DataFrame, numbered: DataFrame, max_depth: int, salts: int) -> dict[str, list[DataFrame]]:
+    """For each direction and hop (graph_id, block, name, w0..): the seeds whose walks of that many steps end at a name.
 
     Walks of a block's seeds that meet at a name go on as one row, their bits joined by OR, so the rows that
     travel follow names and blocks, not seeds. A hub (a name everybody calls) may own a large share of the
     edges, so these are salted by their far end and the frontier, which is smaller, is repeated for every salt.
+    The directions are walked apart: one that ends early moves nothing in later hops.
     """
-    steps = _steps(edges, salts)
-    both = F.explode(F.array(F.lit("callee"), F.lit("caller"))).alias("direction")
-    own = [F.expr(f"if(bit DIV 64 = {i}, shiftleft(1L, bit % 64), 0L)").alias(w) for i, w in enumerate(_bits())]
-    front = numbered.select("graph_id", both, "block", "name", *own)
+    on = ["graph_id", "here"] + ["salt"] * (salts > 1)
     every_salt = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
-    hops = []
-    for _ in range(max_depth):
-        spread = front.withColumnRenamed("name", "here").withColumn("salt", every_salt)
-        front = (spread.join(steps, ["graph_id", "direction", "here", "salt"])
-                 .groupBy("graph_id", "direction", "block", F.col("there").alias("name"))
-                 .agg(*[F.bit_or(w).alias(w) for w in _bits()]))
-        hops.append(front)
-    return hops
+    walked = {}
+    for way, steps in _ways(edges, salts).items():
+        # Seeds are distinct, so a table of them is even and small beside the edges, which need no sorting for it.
+        front, hops = _own_bits(numbered).hint("shuffle_hash"), []
+        for _ in range(max_depth):
+            spread = front.withColumnRenamed("name", "here")
+            spread = spread.withColumn("salt", every_salt) if salts > 1 else spread
+            front = (spread.join(steps, on).groupBy("graph_id", "block", F.col("there").alias("name"))
+                     .agg(*[F.bit_or(w).alias(w) for w in _bits()]))
+            hops.append(front)
+        walked[way] = hops
+    return walked
+
+
+def seed_bits(edges: DataFrame, numbered: DataFrame, max_depth: int, salts: int) -> list[DataFrame]:
+    """For each hop (graph_id, direction, block, name, w0..): the walks of both directions (``_walked``)."""
+    walked = _walked(edges, numbered, max_depth, salts)
+    both = zip(*[[h.withColumn("direction", F.lit(way)) for h in hops] for way, hops in walked.items()])
+    return [reduce(DataFrame.unionByName, hop).select("graph_id", "direction", "block", "name", *_bits()) for hop in both]
 
 
 def blast_radius(edges: DataFrame, seeds: DataFrame, max_depth: int = fx.BLAST_DEPTH,
@@ -82,29 +97,38 @@ def blast_radius(edges: DataFrame, seeds: DataFrame, max_depth: int = fx.BLAST_D
     for so many parts of every name's edges where that is not enough.
     """
     numbered = _numbered(seeds)
-    key = ["graph_id", "direction", "block", "name"]
-    # Each hop has its own words, so that one grouping in fixed columns brings a name's hops together.
+    key = ["graph_id", "block", "name"]
+    # Each hop has its own words, so that one grouping in fixed columns brings a name's hops together. Hop 0 is
+    # the seed itself, which no walk meets again.
     at = lambda hop, i: f"h{hop}w{i}"
     every = [(hop, i) for hop in range(1, max_depth + 1) for i in range(WORDS)]
-    hops = [h.select(*key, *[(F.col(f"w{i}") if hop == own else F.lit(None).cast("bigint")).alias(at(hop, i)) for hop, i in every])
-            for own, h in enumerate(seed_bits(edges, numbered, max_depth, salts), 1)]
-    met = reduce(DataFrame.unionByName, hops).groupBy(*key).agg(
-        *[F.coalesce(F.bit_or(at(hop, i)), F.lit(0).cast("bigint")).alias(at(hop, i)) for hop, i in every])
+    held = [(0, i) for i in range(WORDS)] + every
+    # Dealt like the hops, whose grouping then needs no exchange of its own.
+    start = _own_bits(numbered).repartition(*key)
     # What a hop meets first: its bits without those of the hops before.
-    first = lambda hop, i: reduce(lambda seen, h: seen.bitwiseAND(F.bitwise_not(at(h, i))), range(1, hop), F.col(at(hop, i)))
-    fresh = met.select(*key, *[first(hop, i).alias(at(hop, i)) for hop, i in every])
+    first = lambda hop, i: reduce(lambda seen, h: seen.bitwiseAND(F.bitwise_not(at(h, i))), range(hop), F.col(at(hop, i)))
+
+    def fresh(way: str, hops: list[DataFrame]) -> DataFrame:
+        worded = [h.select(*key, *[(F.col(f"w{i}") if hop == own else F.lit(None).cast("bigint")).alias(at(hop, i)) for hop, i in held])
+                  for own, h in enumerate([start, *hops])]
+        met = reduce(DataFrame.unionByName, worded).groupBy(*key).agg(
+            *[F.coalesce(F.bit_or(at(hop, i)), F.lit(0).cast("bigint")).alias(at(hop, i)) for hop, i in held])
+        return met.select(*key, F.lit(way).alias("direction"), *[first(hop, i).alias(at(hop, i)) for hop, i in every])
+
+    walked = _walked(edges, numbered, max_depth, salts)
+    both = reduce(DataFrame.unionByName, [fresh(way, hops) for way, hops in walked.items()])
     # A block holds at most 64 * WORDS seeds, so its list of names is bounded.
     names = numbered.groupBy("graph_id", "block").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("bit", "name"))), lambda s: s["name"]).alias("seeds"))
-    # Word, byte, bit: three generators in compiled code, which pass over what is empty.
+    # Word, byte, bit: three generators in compiled code, which pass over what is empty. Every block has its list:
+    # the join is an outer one so that the planner leaves it out where nobody asks for the seed.
     keep = ["graph_id", "name", "direction", "seeds"]
-    words = fresh.join(names, ["graph_id", "block"]).select(*keep, F.inline(F.array(*[F.struct(
+    words = both.join(names, ["graph_id", "block"], "left").select(*keep, F.inline(F.array(*[F.struct(
         F.lit(hop).alias("hops"), F.lit(64 * i).alias("base"), F.col(at(hop, i)).alias("word")) for hop, i in every]))).filter("word <> 0")
     bytes_ = words.select(*keep, "hops", "base", F.posexplode(F.array(*[F.shiftrightunsigned("word", 8 * b).bitwiseAND(
         F.lit(255)).cast("int") for b in range(8)])).alias("place", "byte")).filter("byte <> 0")
     bits = bytes_.select(*keep, "hops", "base", "place", F.explode(F.get(F.lit(BITS_OF), "byte")).alias("bit"))
-    return (bits.select("graph_id", F.get("seeds", F.expr("base + 8 * place + bit")).alias("seed"), "name", "direction", "hops")
-            .filter("seed <> name"))
+    return bits.select("graph_id", F.get("seeds", F.expr("base + 8 * place + bit")).alias("seed"), "name", "direction", "hops")
 
 
 def blast_parts(radius: DataFrame, nodes: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -431,13 +431,15 @@ def supply_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     supp = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_name")
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    sold = (table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
-            .join(part, F.col("l_partkey") == F.col("p_partkey")))
+    # Dealt by part once: distinct pairs and both joins with parts are satisfied by it.
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").repartition("l_partkey")
+    of_part = F.col("l_partkey") == F.col("p_partkey")
     graph = F.col("p_brand").alias("graph_id")
-    first = sold.select(graph, name("p_", "p_partkey").alias("src"),
-                        name("s_", "l_suppkey").alias("dst"))
-    used = sold.select("p_brand", "l_suppkey").distinct().join(
-        supp, F.col("l_suppkey") == F.col("s_suppkey"))
+    first = computed(lines.distinct().join(part, of_part).select(graph, "p_partkey", "l_suppkey"), ["graph_id"],
+                     src=name("p_", "p_partkey"), dst=name("s_", "l_suppkey"))
+    # Names above are computed values and this join is null-safe: no filter sinks below the exchange, which all share.
+    used = lines.join(part, of_part).select("p_brand", "l_suppkey").distinct().join(
+        supp.filter("s_suppkey IS NOT NULL"), F.col("l_suppkey").eqNullSafe(F.col("s_suppkey")))
     second = used.select(graph, name("s_", "s_suppkey").alias("src"),
                          name("n_", "s_nationkey").alias("dst"))
     edges = first.unionByName(second.distinct()).withColumn("type", F.lit("CALLS"))

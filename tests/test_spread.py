@@ -178,3 +178,40 @@ def test_a_summary_moves_no_bodies_and_spreads_a_review(spark):
         assert found == {"r": (360, 160, 200, 30), "q": (40, 40, 0, 5), "none": (0, 0, 0, 0)}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_names_of_seeds_join_only_where_asked_for(spark):
+    """Who asks for the names met, not for the seeds, moves no lists of seeds; a seed is never met by its own walk."""
+    from reviewframe.operators import graph as gr
+
+    edges = [("g", "a", "b"), ("g", "b", "a"), ("g", "b", "b"), ("g", "b", "c"), ("g", "b", "c"), ("g", None, "c"), ("g", "a", None)]
+    df = spark.createDataFrame(edges, "graph_id string, src string, dst string")
+    seeds = spark.createDataFrame([("g", "a"), ("g", "c"), ("g", "gone")], "graph_id string, name string")
+    found = gr.blast_radius(df, seeds)
+    assert rows(found) == sorted([("g", "a", "b", "callee", 1), ("g", "a", "c", "callee", 2), ("g", "a", "b", "caller", 1),
+                                  ("g", "c", "b", "caller", 1), ("g", "c", "a", "caller", 2)])
+    met = found.select("graph_id", "name").distinct()
+    assert "collect_list" in _plan(found) and "collect_list" not in _plan(met)
+    assert rows(met) == [("g", "a"), ("g", "b"), ("g", "c")]
+
+
+def test_a_graphs_lines_are_dealt_once(spark, tmp_path):
+    """Edges of both directions and nodes share one exchange of lines; what has no supplier or part stays as it was."""
+    from reviewframe.operators import graph as gr
+    from reviewframe.workload import fixtures as fx_
+
+    for name, given, schema in (
+            ("part", [(1, "B1"), (2, "B1"), (3, "B2"), (None, "B2")], "p_partkey long, p_brand string"),
+            ("supplier", [(5, 0, "five"), (6, 1, "six"), (None, 1, "none")], "s_suppkey long, s_nationkey long, s_name string"),
+            ("lineitem", [(1, 5), (1, 5), (2, 6), (3, 6), (2, 9), (1, None), (None, 5), (None, None)], "l_partkey long, l_suppkey long")):
+        spark.createDataFrame(given, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    edges, seeds, nodes = fx_.supply_graph(spark, str(tmp_path))
+    assert rows(edges.select("graph_id", "src", "dst")) == sorted([
+        ("B1", "p_1", "s_5"), ("B1", "p_2", "s_6"), ("B1", "p_2", "s_9"), ("B2", "p_3", "s_6"), ("B1", "p_1", None),
+        ("B1", "s_5", "n_0"), ("B1", "s_6", "n_1"), ("B2", "s_6", "n_1")], key=repr)
+    assert rows(nodes) == [("B1", "s_5", "five"), ("B1", "s_6", "six"), ("B2", "s_6", "six")]
+    made = gr.blast_context(gr.blast_radius(edges, seeds), nodes, seeds)
+    assert {r.graph_id: r.context.count("Dependency: ") for r in made.collect()} == {"B1": 2, "B2": 1}
+    final = _plan(made).split("Initial Plan")[0]
+    dealt = [line for line in final.splitlines() if "Exchange hashpartitioning(l_partkey" in line]
+    assert len([line for line in dealt if "Reused" not in line]) == 1
