@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fx
@@ -80,14 +82,16 @@ def context_texts(parts: DataFrame) -> DataFrame:
 
 
 def composed_inputs(lines: DataFrame, code: DataFrame, reviews: DataFrame, policies: DataFrame,
-                    posted: DataFrame, marker: str, service: str) -> DataFrame:
+                    posted: DataFrame, marker: str, service: str,
+                    of_review: dict[str, Callable[[Column, Column], Column]] | None = None) -> DataFrame:
     """What a model is asked about each changed file: its added lines, the definitions near them, the
-    review's rules and what became of earlier comments. ``reviews``: review_id, repo, ref."""
+    review's rules and what became of earlier comments. ``reviews``: review_id, repo, ref; ``of_review`` as
+    in ``review_inputs``."""
     nested = hunks_nested(lines)
     return review_inputs(
         added_lines_json(nested), context_texts(review_context(code, lines_in_hunks(nested), reviews)),
         policies.select("review_id", policy_text().alias("policy_text")),
-        feedback_stats(posted, marker, service), service)
+        feedback_stats(posted, marker, service), service, of_review)
 
 
 def answered_requests(answers: DataFrame, files: DataFrame, policies: DataFrame, posted: DataFrame,

@@ -819,10 +819,11 @@ def blast_context_per_review(spark: SparkSession, sf: str) -> DataFrame:
 def review_inputs_composed(spark: SparkSession, sf: str) -> DataFrame:
     made = pr.composed_inputs(
         fx_.touched(spark, sf), fx_.source_tree(spark, sf), fx_.source_reviews(spark, sf),
-        fx_.source_policies(spark, sf), fx_.source_posted(spark, sf), fx_.MARKER, fx_.SERVICE)
+        fx_.source_policies(spark, sf), fx_.source_posted(spark, sf), fx_.MARKER, fx_.SERVICE,
+        {"summary_md5": lambda _, summary: F.md5(F.encode(summary, "UTF-8")),
+         "policy_size": lambda policy_text, _: F.length(policy_text)})
     return made.select("review_id", "filename", F.length(F.coalesce("context", F.lit(""))).alias("context_size"),
-                       F.md5(F.encode("summary", "UTF-8")).alias("summary"),
-                       F.length("policy_text").alias("policy_size"),
+                       F.col("summary_md5").alias("summary"), "policy_size",
                        F.json_array_length("added_lines").alias("lines"))
 
 

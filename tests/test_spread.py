@@ -215,3 +215,38 @@ def test_a_graphs_lines_are_dealt_once(spark, tmp_path):
     final = _plan(made).split("Initial Plan")[0]
     dealt = [line for line in final.splitlines() if "Exchange hashpartitioning(l_partkey" in line]
     assert len([line for line in dealt if "Reused" not in line]) == 1
+
+
+def test_what_a_reviews_texts_give_is_worked_out_once_a_review(spark, tmp_path):
+    """A summary names all paths of its review: hashed for each of its files, the work is the square of the files."""
+    import hashlib
+
+    from reviewframe.workload import fixtures as fx_
+    from reviewframe.workload.queries import QUERIES
+
+    spark.createDataFrame([(i, "Brand#12", 30) for i in range(8)] + [(8, "Brand#13", 1)], "p_partkey long, p_brand string, p_size int").write.parquet(
+        f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(i, i, 5) for i in range(9)], "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    made = QUERIES["review_inputs_composed"](spark, str(tmp_path))
+    hashed = [line for line in _plan(made).split("Initial Plan")[0].splitlines() if "md5(" in line]
+    assert hashed and not any("filename#" in line or "added_lines" in line for line in hashed)
+    told = (f"FEEDBACK CONTEXT: {fx_.SERVICE} previously posted 4 comments on this PR. 2 were resolved by the developer (accepted), 2 are still "
+            "open. Previously flagged files: pkg/m0, pkg/m2, pkg/m4, pkg/m6. Avoid re-posting the same issues on unchanged lines.")
+    first = f"This is the first {fx_.SERVICE} review on this PR."
+    want = {"rv-Brand#12": told, "rv-Brand#13": first}
+    got = made.select("review_id", "filename", "summary", "lines").collect()
+    assert sorted(r.filename for r in got) == [f"pkg/m{i}.py" for i in range(9)] and all(r["lines"] == 1 for r in got)
+    assert all(r.summary == hashlib.md5(want[r.review_id].encode()).hexdigest() for r in got)
+
+
+def test_columns_of_a_review_equal_those_of_its_texts(spark):
+    diffs = spark.createDataFrame([("r", "f", "[1]"), ("r", "g", "[2]"), ("q", "f", "[3]"), ("n", "f", "[3]"), ("z", "f", "[5]"), (None, "f", "[4]")],
+                                  "review_id string, filename string, added_lines string")
+    context = spark.createDataFrame([("r", "g", "c")], "review_id string, filename string, context string")
+    policies = spark.createDataFrame([("r", "p"), ("q", "o"), (None, "x")], "review_id string, policy_text string")
+    notes = spark.createDataFrame([("r", "told"), ("z", "none"), ("q", None), (None, "y")], "review_id string, summary string")
+    made = inf.review_inputs(diffs, context, policies, notes, "bot", {"size": lambda p, _: F.length(p), "told": lambda p, s: F.concat(
+        F.lower(s), F.lit("/"), F.coalesce(p, F.lit("-")))})
+    by_file = made.select("review_id", "filename", F.length("policy_text"), F.concat(F.lower("summary"), F.lit("/"), F.coalesce("policy_text", F.lit("-"))))
+    assert rows(made.select("review_id", "filename", "size", "told")) == rows(by_file)
+    assert ("n", "f", None, "this is the first bot review on this pr./-") in rows(by_file) and ("r", "g", 1, "told/p") in rows(by_file)
