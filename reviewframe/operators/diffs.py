@@ -69,15 +69,16 @@ def touched_lines(files: DataFrame) -> DataFrame:
 
 def hunks_nested(lines: DataFrame) -> DataFrame:
     """Long lines back to one row per file with ARRAY<ARRAY<STRUCT<line_num, content>>>."""
-    # Lines travel once, by file; a file's sorted lines are cut in the row where the hunk changes.
-    file = lines.groupBy("review_id", "filename").agg(
-        F.array_sort(F.collect_list(F.struct("hunk_no", "line_num", "content"))).alias("_lines"))
-    starts = F.filter(F.transform("_lines", lambda x, i: F.when(
-        (i == 0) | ~x["hunk_no"].eqNullSafe(F.get("_lines", i - 1)["hunk_no"]), i)), lambda i: i.isNotNull())
-    # The cuts are bound once through a one-element array.
-    cut = F.flatten(F.transform(F.array(starts), lambda at: F.transform(at, lambda p, j: F.transform(
-        F.slice("_lines", p + 1, F.coalesce(F.get(at, j + 1), F.size("_lines")) - p),
-        lambda x: F.struct(x["line_num"].alias("line_num"), x["content"].alias("content"))))))
+    # Lines travel once, by file; a file's sorted lines are cut in the row where the hunk changes. A line's values are
+    # one field beside its hunk, so they sort alike, and a hunk is a slice: per line only the change of hunk is looked for.
+    file = lines.groupBy("review_id", "filename").agg(F.sort_array(F.collect_list(
+        F.struct("hunk_no", F.struct("line_num", "content").alias("line")))).alias("_lines"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: (i == 0) | ~F.get("_lines", i)["hunk_no"].eqNullSafe(
+        F.get("_lines", i - 1)["hunk_no"]))
+    # The cuts and lines are bound once through a one-element array.
+    bound = F.array(F.struct(starts.alias("at"), F.col("_lines")["line"].alias("lines")))
+    cut = F.flatten(F.transform(bound, lambda b: F.transform(b["at"], lambda p, j: F.slice(
+        b["lines"], p + 1, F.coalesce(F.get(b["at"], j + 1), F.size(b["lines"])) - p))))
     return file.select("review_id", "filename", cut.alias("hunks"))
 
 
@@ -97,7 +98,7 @@ def lines_of_nested(nested: DataFrame) -> DataFrame:
 
 def lines_in_hunks(nested: DataFrame) -> DataFrame:
     """(review_id, filename, line_nums) of the nested form: what ``changed_lines`` finds, without meeting again."""
-    nums = F.array_sort(F.array_distinct(F.array_compact(F.transform(F.flatten("hunks"), lambda x: x["line_num"]))))
+    nums = F.sort_array(F.array_compact(F.array_distinct(F.flatten("hunks")["line_num"])))
     # The keys pass the generator too: no filter of a later join goes below it, so what made ``nested`` is shared.
     return computed(nested, [], review_id=F.col("review_id"), filename=F.col("filename"), line_nums=nums)
 

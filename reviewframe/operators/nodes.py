@@ -96,6 +96,11 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
                                       schema=_EXTRACTED)
 
 
+def with_extractor(files: DataFrame, extractors: dict[str, Callable[[str], list[dict]]] = EXTRACTORS) -> DataFrame:
+    """The files whose language is read; the others have no definitions."""
+    return files.filter(extension(F.col("file_path")).isin(list(extractors)))
+
+
 def _extract(files: DataFrame, extractors: dict[str, Callable[[str], list[dict]]]) -> DataFrame:
     def read(file: dict) -> list[dict]:
         base = {"repo": file["repo"], "ref": file["ref"], "file_path": file["file_path"]}
@@ -116,9 +121,8 @@ def _extract(files: DataFrame, extractors: dict[str, Callable[[str], list[dict]]
                         rows = []
         yield _batch(rows)
 
-    readable = (files.select("repo", "ref", "file_path", "content",
-                             extension(F.col("file_path")).alias("ext"))
-                .filter(F.col("ext").isin(list(extractors)) & (F.length("content") > 0)))
+    readable = (with_extractor(files, extractors).filter(F.length("content") > 0)
+                .select("repo", "ref", "file_path", "content", extension(F.col("file_path")).alias("ext")))
     # Parsing costs far more than moving a file: spread the files evenly, whatever the layout of
     # the input, so that neither a big repo nor a single input split keeps one task busy.
     readable = readable.repartition("repo", "ref", "file_path")
@@ -138,14 +142,32 @@ def quarantined_files(files: DataFrame,
             .select("repo", "ref", "file_path", "error"))
 
 
-def changed_code(code: DataFrame, files: DataFrame, reviews: DataFrame) -> DataFrame:
+def changed_code(code: DataFrame, files: DataFrame, reviews: DataFrame | None = None) -> DataFrame:
     """The source files that a review changes, each once: what has to be parsed for ``modified_nodes``.
 
-    ``files`` has review_id and filename, one row or more for each changed file.
+    ``files`` has review_id and filename, one row or more for each changed file; without ``reviews`` it has
+    repo, ref and file_path (``placed_files``).
     """
+    file = ["repo", "ref", "file_path"]
+    if reviews is None:
+        return code.join(files.select(*file), file, "left_semi")
     changed = spread_join(files.select("review_id", F.col("filename").alias("file_path")),
                           reviews.select("review_id", "repo", "ref"), "review_id", "inner")
-    return code.join(changed, ["repo", "ref", "file_path"], "left_semi")
+    return code.join(changed, file, "left_semi")
+
+
+def placed_files(files: DataFrame, reviews: DataFrame) -> DataFrame:
+    """(review_id, repo, ref, file_path, line_nums): changed files at their review's place, dealt by file once for several uses.
+
+    Only files of a language that is read. Both sides of the exchange pass a generator: no use leaves a column out below
+    it, and a ref the planner knows stays a key, so that what is dealt by repo, ref and path meets it as it lies.
+    """
+    file = ["repo", "ref", "file_path"]
+    found = spread_join(files.select("review_id", F.col("filename").alias("file_path"), "line_nums"),
+                        reviews.select("review_id", "repo", "ref"), "review_id", "inner")
+    dealt = computed(found, [], **{c: F.col(c) for c in ("review_id", *file, "line_nums")}).repartition(*file)
+    # The filter is what the planner would take over from the code into one use alone.
+    return with_extractor(computed(dealt, file, review_id=F.col("review_id"), line_nums=F.col("line_nums")))
 
 
 #: A file's changed lines travel in pieces of this many, found by the stretch of line numbers they answer for.

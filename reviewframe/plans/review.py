@@ -8,14 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fx
-from ..functions.joins import spread_join
 from ..operators.comments import ground_comments, noise_control, parse_findings, review_summary, suppress_repeats
 from ..operators.diffs import added_lines_json, hunk_table, hunks_nested, lines_in_hunks, shared_files, touched_lines
 from ..operators.feedback import feedback_stats
 from ..operators.files import reviewable_files, scannable_files
 from ..operators.graph import file_contexts
 from ..operators.infer import review_inputs
-from ..operators.nodes import changed_code, extract_nodes, modified_nodes
+from ..operators.nodes import changed_code, extract_nodes, modified_nodes, placed_files
 from ..operators.policy import policy_text
 from ..operators.rules import gate, scan_hunks, scan_nodes, with_apis
 from ..sources.outbox import review_outbox
@@ -67,11 +66,9 @@ def review_context(code: DataFrame, lines: DataFrame, reviews: DataFrame,
     A call graph is one file's: a name that many files define, such as ``main``, is resolved in the
     file that calls it. Only the code of changed files is parsed, once, and nothing runs while the plan is made.
     """
-    # Lines meet by file once; both uses share that exchange, and only files go on from it.
-    files = shared_files(lines)
-    touched = (spread_join(files, reviews.select("review_id", "repo", "ref"), "review_id", "inner").drop("_group")
-               .withColumnRenamed("filename", "file_path"))
-    return file_contexts(extract_nodes(changed_code(code, files, reviews)), touched, max_depth)
+    # Lines meet by file once and become files once; these are dealt by place, where both uses share them.
+    touched = placed_files(shared_files(lines), reviews)
+    return file_contexts(extract_nodes(changed_code(code, touched)), touched, max_depth)
 
 
 def context_texts(parts: DataFrame) -> DataFrame:

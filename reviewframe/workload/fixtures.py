@@ -400,11 +400,12 @@ def source_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     broken = F.col("p_partkey") % 50 == 49
     content = F.when(broken, F.lit("def broken(:\n")).otherwise(F.array_join(lines, "\n"))
     ext = F.when(F.col("p_partkey") % 20 == 18, ".txt").otherwise(".py")
-    return part.join(calls, F.col("p_partkey") == F.col("l_partkey"), "left").select(
-        F.concat(F.lit("org/"), "p_brand").alias("repo"), F.lit("main").alias("ref"),
-        F.col("p_partkey").cast("int").alias("tree_pos"),
-        F.concat(F.lit("pkg/m"), k, ext).alias("file_path"), F.lit("blob").alias("kind"),
-        F.length(content).cast("bigint").alias("size"), content.alias("content"))
+    # The text is made once, also where a filter asks for its length.
+    made = computed(part.join(calls, F.col("p_partkey") == F.col("l_partkey"), "left").withColumns({
+        "repo": F.concat(F.lit("org/"), "p_brand"), "tree_pos": F.col("p_partkey").cast("int"),
+        "file_path": F.concat(F.lit("pkg/m"), k, ext)}), ["repo", "tree_pos", "file_path"], ref=F.lit("main"), content=content)
+    return made.select("repo", "ref", "tree_pos", "file_path", F.lit("blob").alias("kind"),
+                       F.length("content").cast("bigint").alias("size"), "content")
 
 
 def touched(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -250,3 +250,51 @@ def test_columns_of_a_review_equal_those_of_its_texts(spark):
     by_file = made.select("review_id", "filename", F.length("policy_text"), F.concat(F.lower("summary"), F.lit("/"), F.coalesce("policy_text", F.lit("-"))))
     assert rows(made.select("review_id", "filename", "size", "told")) == rows(by_file)
     assert ("n", "f", None, "this is the first bot review on this pr./-") in rows(by_file) and ("r", "g", 1, "told/p") in rows(by_file)
+
+
+def test_changed_files_are_dealt_by_place_once(spark):
+    """Code and context share one exchange of files, by repo, ref and path also where the planner knows the reviews' only ref."""
+    from reviewframe.plans import review as pr
+
+    a = "def a():\n    b()\n\ndef b():\n    pass\n"
+    code = spark.createDataFrame([(*c, a) for c in (("o", "m", "f.py"), ("o", "m", "g.py"), ("o", "m", "h.txt"), ("p", "m", "f.py"), ("o", "m", None),
+                                                    ("o", "m", "f.py"), ("o", "n", "f.py"))],
+                                 "repo string, ref string, file_path string, content string")
+    lines = spark.createDataFrame(
+        [("r", "f.py", 1, 1, "x")] * 2 + [("q", "f.py", 1, 4, "x"), ("q", "g.py", 1, None, "x"), ("q", "h.txt", 1, 1, "x"),
+                                          ("r", None, 1, 1, "x"), (None, "f.py", 1, 1, "x"), ("gone", "f.py", 1, 1, "x")],
+        "review_id string, filename string, hunk_no int, line_num int, content string")
+    reviews = spark.createDataFrame([("r", "o"), ("q", "o"), ("s", "p")], "review_id string, repo string").withColumn("ref", F.lit("m"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for given in (lines, df_.lines_in_hunks(df_.hunks_nested(lines))):
+            parts = pr.review_context(code, given, reviews)
+            assert sorted(tuple(r)[:3] for r in parts.collect()) == [("q", "f.py", "a"), ("r", "f.py", "b")]
+            final = _plan(parts).split("Initial Plan")[0]
+            dealt = [line for line in final.splitlines() if "Exchange hashpartitioning(repo" in line]
+            made = [line for line in dealt if "Reused" not in line]
+            # Files, code and definitions, once each.
+            assert len(made) == 3 and len(dealt) == 4 and all("ref#" in line.split(")")[0] for line in dealt)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_source_text_is_made_once(spark, tmp_path):
+    from reviewframe.workload import fixtures as fx_
+
+    spark.createDataFrame([(1, "B#1"), (49, "B#1")], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(1, 5), (1, 3)], "l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    tree = fx_.source_tree(spark, str(tmp_path)).filter("length(content) > 0 AND size < 1000")
+    assert _plan(tree).count("array_join") == 1
+    assert rows(tree.select("repo", "ref", "file_path", "kind", "size")) == [
+        ("org/B#1", "main", "pkg/m1.py", "blob", 125), ("org/B#1", "main", "pkg/m49.py", "blob", 13)]
+
+
+def test_hunks_are_slices(spark):
+    """Per line only the change of hunk is looked for; the lines of a hunk are not made again one by one."""
+    df = spark.createDataFrame([("r", "f", 2, 5, "b"), ("r", "f", None, 7, None), ("r", "f", 1, None, "a"), ("r", "f", 2, 3, "c"), ("r", "f", 1, 9, "d")],
+                               "review_id string, filename string, hunk_no int, line_num int, content string")
+    nested = df_.hunks_nested(df)
+    assert [[tuple(x) for x in h] for h in nested.first().hunks] == [[(7, None)], [(None, "a"), (9, "d")], [(3, "c"), (5, "b")]]
+    plan = _plan(nested)
+    assert "slice(" in plan and "named_struct(line_num, lambda" not in plan and "struct(line_num, lambda" not in plan
