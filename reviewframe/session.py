@@ -47,6 +47,8 @@ def local_session(cpus: str = "*", app: str = "reviewframe", partitions: int | N
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        # Plans name their filters whole, however long the numbers of columns have grown in a session.
+        .config("spark.sql.maxMetadataStringLength", "1000")
     )
     spark = configure(builder.getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
